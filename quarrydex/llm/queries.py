@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring
+from . import quality_rules, sharding, simhash, substring
 from .common import table
 
 
@@ -18,5 +18,13 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_substring": op5_substring}
-ORACLES: dict[str, str] = {}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op10_sharding": op10_sharding, "op1_simhash": op1_simhash, "op5_substring": op5_substring}
+ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL}
