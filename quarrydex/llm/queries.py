@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding, simhash, substring
+from . import mixing, quality_rules, sharding, simhash, substring
 from .common import table
 
 
@@ -26,5 +26,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op10_sharding": op10_sharding, "op1_simhash": op1_simhash, "op5_substring": op5_substring}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_mixing": op6_mixing, "op2_quality_rules": op2_quality_rules, "op10_sharding": op10_sharding, "op1_simhash": op1_simhash, "op5_substring": op5_substring}
 ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL}
