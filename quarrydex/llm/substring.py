@@ -10,7 +10,7 @@
    themselves, into an Aho-Corasick automaton over word codes, and stream the
    batch's documents through it to locate every occurrence.  The automaton holds
    no more phrases than the batch has words, whatever the corpus holds.
-4. *Resolve*: windows round an occurrence meet by 128-bit hash; the smallest
+4. *Resolve*: windows whose anchor is such an occurrence meet by 128-bit hash; the smallest
    document of each is its first.  Windows of an anchor's last document can't be
    anyone's first, those of its first can't be removed; neither is sent.
 5. *Remove*: words covered by windows whose first document is smaller.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import discard, materialize, prepare
 
 #: Words of a window and of an anchor phrase.
 WINDOW, PHRASE = 50, 8
@@ -67,17 +67,24 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - have)], x[size - have :]) if size > have else x
 
 
+def _phrases(words: list[bytes], phrase: int) -> np.ndarray:
+    return _runs(np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), "<u8"), phrase, _ODD[0])
+
+
+def anchor_runs(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Runs of windows that share an anchor: first window and anchor position of each; number of windows."""
+    g, span = _phrases(words, phrase), window - phrase + 1
+    low = _sliding_min(g, span)
+    start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    return start, start + np.argmin(g[start[:, None] + np.arange(span)], axis=1), len(low)
+
+
 def anchors(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a document's windows and where one of each starts."""
     if len(words) < window:
         return np.empty(0, np.int64), np.empty(0, np.int32)
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), "<u8")
-    g = _runs(h, phrase, _ODD[0])
-    span = window - phrase + 1
-    low = _sliding_min(g, span)
-    start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    at = start + np.argmin(g[start[:, None] + np.arange(span)], axis=1)
-    value, first = np.unique(low[start], return_index=True)
+    at = anchor_runs(words, window, phrase)[1]
+    value, first = np.unique(_phrases(words, phrase)[at], return_index=True)
     return value.view(np.int64), at[first].astype(np.int32)
 
 
@@ -115,22 +122,18 @@ def _locate(window: int, phrase: int):
         automaton.make_automaton()
         out = []
         for (doc_id, tkey, text, words, _, _, _), c in zip(shard, codes):
-            n = len(words) - window + 1
-            # a window is a source if it holds an anchor that a later document has, a target if an earlier one has it
-            source, target = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+            # an occurrence is a source if a later document has its phrase, a target if an earlier one has it
+            use = np.zeros(len(words) - phrase + 1, np.int8)
             for end, k in automaton.iter(c):
                 x, y = limits[k]
-                lo, hi = max(0, end - window + 1), min(n, end - phrase + 2)
-                for mark, wanted in ((source, doc_id < y), (target, doc_id > x)):
-                    if wanted:
-                        mark[lo] += 1
-                        mark[hi] -= 1
-            source, target = np.cumsum(source[:-1]) > 0, np.cumsum(target[:-1]) > 0
+                use[end - phrase + 1] = (doc_id < y) + 2 * (doc_id > x)
+            begin, at, n = anchor_runs(words, window, phrase)
+            use = np.repeat(use[at], np.diff(np.append(begin, n)))
+            source, target = use & 1 > 0, use & 2 > 0
             start = np.flatnonzero(source | target)
             if len(start):
                 h1, h2 = window_hashes(words, window)
-                use = 1 * source[start] + 2 * target[start]
-                out.append((doc_id, tkey, text if target.any() else None, start.astype(np.int32), h1[start], h2[start], use.astype(np.int32)))
+                out.append((doc_id, tkey, text if target.any() else None, start.astype(np.int32), h1[start], h2[start], use[start].astype(np.int32)))
         return pd.DataFrame(out, columns=["doc_id", "tkey", "text", "start", "h1", "h2", "use"])
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,13 +209,16 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keyed.filter("doc_id IS NOT NULL").join(found, ["doc_id", "tkey"]).mapInPandas(_locate(window, phrase), "doc_id long, tkey long, text binary, start array<int>, h1 array<long>, h2 array<long>, use array<int>"),
         "located",
     )
+    discard(sampled)
     windows = located.select("doc_id", "tkey", F.explode(F.arrays_zip("start", "h1", "h2", "use")).alias("x")).select("doc_id", "tkey", "x.*")
     first = windows.filter("use & 1 = 1").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     late = windows.filter("use & 2 = 2").join(first, ["h1", "h2"]).filter("first < doc_id")
     starts = late.groupBy("doc_id", "tkey").agg(F.collect_set("start").alias("starts"))
     part = located.filter("text IS NOT NULL").select("doc_id", "tkey", "text").dropDuplicates(["doc_id", "tkey"]).join(starts, ["doc_id", "tkey"])
     parts = part.mapInPandas(_cut(window), "doc_id long, tkey long, n_removed long, sha string, kept string, spans array<struct<first:int,stop:int>>")
-    return each, materialize(parts, "parts")
+    parts = materialize(parts, "parts")
+    discard(located)
+    return each, parts
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
