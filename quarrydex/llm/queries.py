@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, simhash, substring
+from . import classifier, mixing, quality_rules, sharding, simhash, substring
 from .common import table
 
 
@@ -30,5 +30,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_mixing": op6_mixing, "op2_quality_rules": op2_quality_rules, "op10_sharding": op10_sharding, "op1_simhash": op1_simhash, "op5_substring": op5_substring}
+def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = classifier.graded(spark, docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("p_top", 6).alias("p_top"), "kept")
+
+
+QUERIES = {"op9_classifier": op9_classifier, "op6_mixing": op6_mixing, "op2_quality_rules": op2_quality_rules, "op10_sharding": op10_sharding, "op1_simhash": op1_simhash, "op5_substring": op5_substring}
 ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL}
