@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, mixing, quality_rules, sharding, simhash, substring
+from . import classifier, embed_dedup, mixing, quality_rules, sharding, simhash, substring
 from .common import table
 
 
@@ -36,5 +36,9 @@ def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("p_top", 6).alias("p_top"), "kept")
 
 
-QUERIES = {"op9_classifier": op9_classifier, "op6_mixing": op6_mixing, "op2_quality_rules": op2_quality_rules, "op10_sharding": op10_sharding, "op1_simhash": op1_simhash, "op5_substring": op5_substring}
+def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op4_embed_dedup": op4_embed_dedup, "op9_classifier": op9_classifier, "op6_mixing": op6_mixing, "op2_quality_rules": op2_quality_rules, "op10_sharding": op10_sharding, "op1_simhash": op1_simhash, "op5_substring": op5_substring}
 ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL}
