@@ -1,15 +1,58 @@
-"""The corpus pipeline: documents in, selected and encoded documents out."""
+"""The corpus pipeline: documents in, selected and encoded documents out.
+
+Every stage works on all documents that the one before it kept.  All but the last
+return the columns of ``documents``; ``n_chars`` follows a changed text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrydex.llm import classifier, mixing, sentence_pieces, simhash, substring
+from quarrydex.llm.common import materialize, table
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely of the highest grade than not."""
+    return classifier.graded(spark, docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every group of near-duplicates (five-word shingles, three bits)."""
+    return simhash.keep_first(docs, simhash.near_duplicates(docs, shingle=5)).select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-word passages that an earlier document has."""
+    return substring.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's documents as often as its target asks for, a row a copy."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids."""
+    return sentence_pieces.encode(docs).withColumn("n_tokens", F.size("ids").cast("long")).select("doc_id", "lang", "source", "text", "n_chars", "ids", "n_tokens")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", select_quality),
+    ("SimHash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeats),
+    ("mixing", mix_sources),
+    ("SentencePiece", encode_texts),
+]
+#: A trained classifier and a tokenizer can't be put into SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"stage{k + 1}")
     return docs

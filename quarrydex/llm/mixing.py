@@ -184,10 +184,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``slot`` orders a shard's rows at random; every shard is shuffled by itself.
     """
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.struct(*keep).alias("_r")
-    )
-    out = plan(materialize(rows, "mixed"), shards=shards, seed=seed)
-    each = out.select("_r", "key", "row", F.posexplode("shards").alias("_copy", "shard"))
-    slot = F.xxhash64(F.lit(seed), "shard", "key", "row", "_copy")
-    return each.select("_r.*", "shard", slot.alias("slot"))
+    whole = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*keep).alias("_r")), "mixed")
+    slim = whole.select("row", F.col(f"_r.{id_col}").alias("doc_id"), F.col(f"_r.{source_col}").alias("source"), word_count(F.col(f"_r.{text_col}")).alias("size"))
+    chosen = plan(materialize(slim, "sizes"), shards=shards, seed=seed).filter("copies > 0").select("row", "key", "shards")
+    each = whole.join(chosen, "row").select("_r", "key", "row", F.posexplode("shards").alias("_copy", "shard"))
+    return each.select("_r.*", "shard", F.xxhash64(F.lit(seed), "shard", "key", "row", "_copy").alias("slot"))

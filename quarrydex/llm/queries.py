@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, embed_dedup, mixing, quality_rules, sharding, simhash, substring
+from . import classifier, embed_dedup, html_extract, mixing, quality_rules, sentence_pieces, sharding, simhash, substring, url_filter
 from .common import table
 
 
@@ -40,5 +40,20 @@ def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op4_embed_dedup": op4_embed_dedup, "op9_classifier": op9_classifier, "op6_mixing": op6_mixing, "op2_quality_rules": op2_quality_rules, "op10_sharding": op10_sharding, "op1_simhash": op1_simhash, "op5_substring": op5_substring}
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL}
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.apply_lists(url_filter.dated(table(spark, sf_dir, "pages")), url_filter.list_events(spark))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_quality_rules, op3_sentence_pieces, op4_embed_dedup, op5_substring, op6_mixing, op7_url_filter, op8_html_extract, op9_classifier, op10_sharding)
+}
+ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}
