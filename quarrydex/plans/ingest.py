@@ -84,11 +84,12 @@ def scan(store: Store, repo_id: str, root: str, *, settings: Settings | None = N
     mark = repos.filter(F.col("id") == repo_id).select("last_scanned").first()
     mark = mark[0] if mark else None
 
-    tree = FS.read_tree(spark, root, paths)
-    rules = FS.ignore_rules(FS.read_tree(spark, root).select("path", "content"))
-    names = FS.not_ignored(FS.ignored_by_dirs(tree.select("path", "mtime"), list(s.ignored_dirs)), rules).cache()
+    tree = FS.list_tree(spark, root, paths, skip_dirs=tuple(s.ignored_dirs)).cache()
+    ruled = tree if paths is None else FS.list_tree(spark, root, skip_dirs=tuple(s.ignored_dirs))
+    rules = FS.ignore_rules(FS.with_content(ruled.filter(F.col("path").rlike(r"(^|/)\.gitignore$")), root))
+    names = FS.not_ignored(tree, rules).cache()
     stored = store.read("files").filter(F.col("repo_id") == repo_id)
-    fresh = FS.read_tree(spark, root, paths, mark).join(names.select("path"), "path", "left_semi")
+    fresh = FS.with_content(names if mark is None else names.filter(F.col("mtime") > mark), root)
     fresh = fresh.withColumn("hash", F.sha2("content", 256))
     todo = SN.changes(fresh, stored, mark).filter("action IN ('insert', 'update')")
     todo = FS.parser_of(todo, s.parser_extensions, s.language_extensions)
@@ -101,7 +102,7 @@ def scan(store: Store, repo_id: str, root: str, *, settings: Settings | None = N
     done = parsed.filter("status <> 'error'")
     with_packages = done.filter(F.col("parser").isin(*PACKAGED) & (F.col("status") == "parsed_file"))
     virtual = P.module_path(F.col("path"), F.col("parser"))
-    modules = go_modules(tree.select("path", "content"))
+    modules = go_modules(FS.with_content(names.filter(F.col("path").rlike(r"(^|/)go\.mod$")), root))
     if not modules.isEmpty():
         folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
         placed = G.longest_prefix(with_packages.filter("parser = 'go'").select("path", folder.alias("folder")).distinct(), modules, "folder").join(modules, "prefix", "left")
@@ -155,11 +156,15 @@ def scan(store: Store, repo_id: str, root: str, *, settings: Settings | None = N
     store.write("nodes", all_nodes)
     used = all_packages.join(files_now.select(F.col("package_id").alias("_p")), F.col("id") == F.col("_p"), "left_semi")
     packages_now = store.write("packages", used)
-    store.write("import_edges", G.resolve_imports(all_edges.drop("to_package_id"), packages_now))
+    # a Go import names a package by its module path, which only the packages tell
+    inside = packages_now.filter("language = 'go'").select(F.col("repo_id").alias("_r"), F.col("virtual_path").alias("_v"), F.lit(True).alias("_in"))
+    edges_now = all_edges.drop("to_package_id").join(inside, (F.col("repo_id") == F.col("_r")) & (F.col("to_package_virtual_path") == F.col("_v")), "left")
+    edges_now = edges_now.withColumn("external", F.col("external") & F.col("_in").isNull()).drop("_r", "_v", "_in")
+    store.write("import_edges", G.resolve_imports(edges_now, packages_now))
     entry = spark.createDataFrame([(repo_id, root, start_ns)], "id string, root_path string, last_scanned bigint")
     old = repos.filter(F.col("id") == repo_id).select("id", "name", "remote_url", "default_branch", "description")
     store.write("repos", SN.upsert(repos, entry.join(old, "id", "left").withColumn("name", F.coalesce("name", F.lit(repo_id))), ["id"]))
-    for df in (names, parsed, changed, gone):
+    for df in (tree, names, parsed, changed, gone):
         df.unpersist()
     result.seconds = time.time() - began
     if progress:

@@ -463,11 +463,12 @@ class JavaScript(Scanner):
                 return i + 1
             if c == "\n" and i > start and self.ends(t, last, i, stop):
                 return last + 1
+            typed = c == "{" and t[last] == ":"  # an object type, not a body
             if not c.isspace():
                 last = i
             if c in "([{":
                 last = i = min(self.closing(i), stop - 1)
-                if c == "{" and block and not re.compile(r"\s*(else|catch|finally|while)\b").match(t, i + 1, stop):
+                if c == "{" and block and not typed and not re.compile(r"\s*(else|catch|finally|while)\b").match(t, i + 1, stop):
                     return i + 1
             i += 1
         return last + 1
@@ -633,8 +634,8 @@ class JavaScript(Scanner):
 
 class TypeScript(JavaScript):
     def typed(self, a: int, b: int, t: str) -> list[Node]:
-        m = re.match(r"(?:declare\s+)?(interface|(?:const\s+)?enum|namespace|module|type)\b\s*([\w.$\"']+)?", t)
-        if not m or not m[2]:
+        m = re.match(r"(?:declare\s+)?(interface|(?:const\s+)?enum|namespace|module|type)\s+([\w$\"'][\w.$\"']*)", t)
+        if not m:
             m = re.match(r"declare\s+(?:global\b|module\b)?", t)
             return [Node("custom", a, b, subtype="ambient", header=m[0].strip())] if m else []
         kind = m[1].split()[-1]

@@ -266,7 +266,7 @@ def file_summaries(t):
 
 
 @query("""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)
-SELECT page_id FROM f WHERE NOT (regexp_matches(path, '^[^/]*/fr/.') OR regexp_matches(path, '(^|/)[0-9]*7$') AND NOT regexp_matches(path, '(^|/)[0-9]*77$'))""")
+SELECT page_id FROM f WHERE NOT (regexp_matches(path, '^[^/]*/fr/.') OR regexp_matches(path, '(^|/)[^/]*7(/|$)') AND NOT regexp_matches(path, '(^|/)[^/]*77(/|$)'))""")
 def ignore_rules(t):
     """Ignore files' rules: a folder with all below it, and a pattern with an exception."""
     from ..sources.files import ignore_rules as rules

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
+import stat
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,21 +20,97 @@ def relative(root: str, path: str = "path"):
     return F.substring(F.regexp_replace(path, "^[a-z]+:/*", "/"), F.lit(len(base) + 1), F.length(path))
 
 
-def read_tree(spark: SparkSession, root: str, paths: list[str] | None = None, newer_than: int | None = None) -> DataFrame:
-    """(path, mtime, length, content) of the files below ``root``; times in nanoseconds.
+_LISTED = "path string, mtime bigint, length bigint"
+
+
+def _local(root: str) -> str | None:
+    """The local folder of a root, or null for another file system."""
+    if re.match(r"^[a-z0-9]+:", root) and not root.startswith("file:"):
+        return None
+    return re.sub("^file:/*", "/", root).rstrip("/")
+
+
+def list_tree(spark: SparkSession, root: str, paths: list[str] | None = None, newer_than: int | None = None, skip_dirs: tuple[str, ...] = ()) -> DataFrame:
+    """(path, mtime, length) of the files below ``root``; times in nanoseconds.
 
     ``paths`` restricts the scan to files and folders inside the root; others are passed
-    over.  ``newer_than`` is pushed to the listing.  Columns that aren't used aren't read.
+    over.  Links aren't followed and folders named in ``skip_dirs`` aren't entered.
+    Executors walk the folders, so the root must be mounted on all of them.  On a remote
+    file system Spark lists instead, which leaves out names that begin with ``_`` or ``.``.
     """
-    inside = [root] if paths is None else [f"{root.rstrip('/')}/{p.strip('/')}" for p in paths if ".." not in p.split("/") and not p.startswith("/")]
+    inside = [""] if paths is None else [p.strip("/") for p in paths if ".." not in p.split("/") and not p.startswith("/")]
+    base = _local(root)
     if not inside:
-        return spark.createDataFrame([], "path string, mtime bigint, length bigint, content binary")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(inside)
-    if newer_than is not None:
-        files = files.filter(F.col("modificationTime") >= F.timestamp_micros(F.lit(newer_than // 1000)))
-    mtime = F.unix_micros("modificationTime") * 1000
-    out = files.select(relative(root).alias("path"), mtime.alias("mtime"), "length", "content")
-    return out if newer_than is None else out.filter(F.col("mtime") > newer_than)
+        return spark.createDataFrame([], _LISTED)
+    if base is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{root.rstrip('/')}/{p}" for p in inside])
+        out = files.select(relative(root).alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime"), "length")
+        return out if newer_than is None else out.filter(F.col("mtime") > newer_than)
+
+    starts = []
+    for p in inside:  # the first level is cut up here, so that folders spread over tasks
+        full = os.path.join(base, p) if p else base
+        if os.path.isdir(full):
+            starts += [os.path.join(p, name) for name in sorted(os.listdir(full)) if name not in skip_dirs]
+        elif os.path.isfile(full):
+            starts.append(p)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple[str, int, int]] = []
+
+            def add(path: str) -> None:
+                try:
+                    st = os.lstat(os.path.join(base, path))
+                except OSError:
+                    return
+                if stat.S_ISREG(st.st_mode) and (newer_than is None or st.st_mtime_ns > newer_than):
+                    rows.append((path, st.st_mtime_ns, st.st_size))  # noqa: B023
+
+            for start in pdf["path"]:
+                full = os.path.join(base, start)
+                if os.path.islink(full) or not os.path.isdir(full):
+                    add(start)
+                    continue
+                for folder, dirs, names in os.walk(full):
+                    dirs[:] = [d for d in dirs if d not in skip_dirs]
+                    rel = os.path.relpath(folder, base)
+                    for name in names:
+                        add(os.path.join(rel, name))
+            yield pd.DataFrame(rows, columns=["path", "mtime", "length"])
+
+    if not starts:
+        return spark.createDataFrame([], _LISTED)
+    parts = min(len(starts), 4 * spark.sparkContext.defaultParallelism)
+    return spark.createDataFrame([(x,) for x in starts], "path string").repartition(parts).mapInPandas(walk, _LISTED)
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (path, ...) with their bytes; files that can't be read any more are left out."""
+    base = _local(root)
+    if base is None:
+        spark = files.sparkSession
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative(root).alias("path"), "content")
+        return files.join(found, "path")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            content = []
+            for path in pdf["path"]:
+                try:
+                    with open(os.path.join(base, path), "rb") as f:
+                        content.append(f.read())
+                except OSError:
+                    content.append(None)
+            yield pdf.assign(content=content).dropna(subset=["content"])
+
+    columns = ", ".join(f"`{n}` {t}" for n, t in files.dtypes)
+    return files.mapInPandas(read, f"{columns}, content binary")
+
+
+def read_tree(spark: SparkSession, root: str, paths: list[str] | None = None, newer_than: int | None = None) -> DataFrame:
+    """(path, mtime, length, content) of the files below ``root``."""
+    return with_content(list_tree(spark, root, paths, newer_than), root)
 
 
 def ignored_by_dirs(files: DataFrame, dirs: list[str]) -> DataFrame:

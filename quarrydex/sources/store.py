@@ -22,10 +22,10 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _current(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.path}/{table}/_current")
+        fs, p = self._fs(f"{self.path}/{table}/current.txt")
         if not fs.exists(p):
             return None
-        return self.spark.read.text(f"{self.path}/{table}/_current").first()[0]
+        return self.spark.read.text(f"{self.path}/{table}/current.txt").first()[0]
 
     def read(self, table: str) -> DataFrame:
         """The table's latest snapshot; an empty table if there is none."""
@@ -41,7 +41,7 @@ class Store:
         have = set(rows.columns)
         cast = [rows[f.name].cast(f.dataType).alias(f.name) if f.name in have else _null(f) for f in shape]
         rows.select(*cast).write.parquet(f"{self.path}/{table}/{new}")
-        fs, p = self._fs(f"{self.path}/{table}/_current")
+        fs, p = self._fs(f"{self.path}/{table}/current.txt")
         out = fs.create(p, True)
         out.write(bytearray(new.encode()))
         out.close()
