@@ -24,6 +24,8 @@ from .common import prepare
 
 #: Rated documents that the fit takes at most; hashed features; passes over the sample.
 SAMPLE, BITS, PASSES, RATE = 16384, 18, 60, 0.5
+#: Documents whose features are laid out at a time in a fit.
+BLOCK = 1024
 #: Words whose features a worker remembers.
 _REMEMBER = 200_000
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 else 48 if 48 <= b <= 57 else 200 if b > 127 else b for b in range(256))
@@ -82,19 +84,22 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, passes: i
     size, n, cuts = 1 << BITS, len(features), n_grades - 1
     if not n:
         return OrdinalModel(np.zeros(size, np.float32), np.full(cuts, -20.0) + np.arange(cuts))
-    long = np.fromiter(map(len, features), np.int64, n)
-    row, col, value = np.repeat(np.arange(n), long), np.concatenate(features), np.repeat(1 / np.sqrt(long + 1), long)
     w, th = np.zeros(size), np.linspace(-2, -1, cuts)
     m, g2, t2 = np.zeros(size), np.full(size, 1e-8), np.full(cuts, 1e-8)
-    first, last = grades == 0, grades == cuts
     for step in range(passes):
-        s = np.bincount(row, weights=w[col] * value, minlength=n)
-        lo = np.where(first, 0.0, _sigmoid(th[np.maximum(grades - 1, 0)] - s))
-        hi = np.where(last, 1.0, _sigmoid(th[np.minimum(grades, cuts - 1)] - s))
-        p = np.maximum(hi - lo, 1e-9)
-        dlo, dhi = lo * (1 - lo) * ~first / p, hi * (1 - hi) * ~last / p
-        g = np.bincount(col, weights=((dhi - dlo) / n)[row] * value, minlength=size) + 1e-7 * w
-        gt = np.array([(dlo[grades == k + 1].sum() - dhi[grades == k].sum()) / n for k in range(cuts)])
+        g, gt = 1e-7 * w, np.zeros(cuts)
+        for at in range(0, n, BLOCK):  # blocks of documents keep the driver's memory small
+            part, y = features[at : at + BLOCK], grades[at : at + BLOCK]
+            long = np.fromiter(map(len, part), np.int64, len(part))
+            row, col, scale = np.repeat(np.arange(len(part)), long), np.concatenate(part), 1 / np.sqrt(long + 1)
+            s = np.bincount(row, weights=w[col], minlength=len(part)) * scale
+            first, last = y == 0, y == cuts
+            lo = np.where(first, 0.0, _sigmoid(th[np.maximum(y - 1, 0)] - s))
+            hi = np.where(last, 1.0, _sigmoid(th[np.minimum(y, cuts - 1)] - s))
+            p = np.maximum(hi - lo, 1e-9)
+            dlo, dhi = lo * (1 - lo) * ~first / p, hi * (1 - hi) * ~last / p
+            g += np.bincount(col, weights=((dhi - dlo) * scale / n)[row], minlength=size)
+            gt += [(dlo[y == k + 1].sum() - dhi[y == k].sum()) / n for k in range(cuts)]
         m, g2, t2 = 0.9 * m + 0.1 * g, 0.99 * g2 + 0.01 * g * g, 0.99 * t2 + 0.01 * gt * gt
         pace = rate * (1 - step / passes)
         w -= pace * m / (np.sqrt(g2) + 1e-9)
