@@ -30,13 +30,19 @@ from .common import prepare
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+_NEVER = float("inf")
 #: Words and pairs of pieces that a worker remembers, and characters indexed at a time.
-WORDS, PAIRS, INDEXED = 250_000, 1_000_000, 1 << 18
+WORDS, PAIRS, INDEXED = 800_000, 2_000_000, 1 << 19
 
 
-def suffix_array(codes: np.ndarray, reach: int) -> np.ndarray:
-    """Suffix starts in the order of their first ``reach`` codes."""
-    bits = 8 if codes.max(initial=0) < 256 else 16 if codes.max() < 65536 else 32
+def _packing(largest: int) -> int:
+    """Bits of a code; as many codes as fit lie in one 64-bit key."""
+    return 8 if largest < 256 else 16 if largest < 65536 else 32
+
+
+def suffix_array(codes: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix starts in the order of their first ``reach`` codes, and the keys of their first few codes."""
+    bits = _packing(int(codes.max(initial=0)))
     per = 64 // bits
     padded = np.concatenate([codes, np.zeros(reach + per, codes.dtype)]).astype(np.uint64)
     keys = []
@@ -45,7 +51,8 @@ def suffix_array(codes: np.ndarray, reach: int) -> np.ndarray:
         for k in range(per):
             key = (key << np.uint64(bits)) | padded[at + k : at + k + len(codes)]
         keys.append(key)
-    return np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1])
+    return order, keys[0][order]
 
 
 class Vocabulary:
@@ -57,7 +64,7 @@ class Vocabulary:
         n = sp.vocab_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         usual = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.rank = {self.pieces[i]: (-sp.get_score(i), i) for i in usual}
+        self.rank = {self.pieces[i]: -sp.get_score(i) for i in usual}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         if len(self.bytes) < 256:
             raise ValueError("the model needs byte fallback")
@@ -74,8 +81,9 @@ class Vocabulary:
         self.split = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + (f"|{cut}" if cut else "")).findall
         if not self.by_word:
             self.split = lambda text: [text] if text else []
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pair: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
+        self.pairs, self.may = np.empty(0, np.int64), np.empty(0, bool)  # sorted pairs, and which may stand together
+        self.single = np.full(n, -1, np.int8)
         ids = sorted(usual, key=lambda i: self.pieces[i])
         self.ids = np.array(ids, np.int64)
         self.length = np.array([len(self.pieces[i]) for i in ids], np.int64)
@@ -85,33 +93,43 @@ class Vocabulary:
 
     def merge(self, text: str) -> list[str]:
         """The model's merges on a short text: the best pair first, leftmost among equals."""
-        parts, rank = list(text), self.rank
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                r = rank.get(parts[k] + parts[k + 1])
-                if r is not None and (best is None or r[0] < best):
-                    best, at = r[0], k
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def follows(self, a: int, b: int) -> bool:
-        key = a * 0x100000 + b
-        out = self.pair.get(key)
-        if out is None:
-            if len(self.pair) > PAIRS:
-                self.pair.clear()
-            x, y = self.pieces[a], self.pieces[b]
-            out = self.pair[key] = self.merge(x + y) == [x, y]
-        return out
-
-    def alone(self, a: int) -> bool:
-        key = -1 - a
-        out = self.pair.get(key)
-        if out is None:
-            out = self.pair[key] = self.merge(self.pieces[a]) == [self.pieces[a]]
-        return out
+        parts, rank = list(text), self.rank.get
+        ranks = [rank(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
+                break
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] + parts[k], _NEVER)
+            if k < len(ranks):
+                ranks[k] = rank(parts[k] + parts[k + 1], _NEVER)
+        return parts
+
+    def follow(self, keys: np.ndarray) -> np.ndarray:
+        """For pairs of pieces (first * 2**20 + second), whether merging them changes nothing."""
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.may = self.pairs[:0], self.may[:0]
+        distinct, back = np.unique(keys, return_inverse=True)
+        at = np.searchsorted(self.pairs, distinct)
+        known = at < len(self.pairs)
+        known[known] = self.pairs[at[known]] == distinct[known]
+        new = distinct[~known]
+        if len(new):
+            pieces, merge = self.pieces, self.merge
+            ok = [merge(x + y) == [x, y] for x, y in ((pieces[k >> 20], pieces[k & 0xFFFFF]) for k in new.tolist())]
+            where = at[~known]
+            self.pairs, self.may = np.insert(self.pairs, where, new), np.insert(self.may, where, ok)
+            at = np.searchsorted(self.pairs, distinct)
+        return self.may[at][back]
+
+    def alone(self, ids: np.ndarray) -> np.ndarray:
+        """Whether each piece is the encoding of its own characters."""
+        for i in np.unique(ids[self.single[ids] < 0]).tolist():
+            self.single[i] = self.merge(self.pieces[i]) == [self.pieces[i]]
+        return self.single[ids] > 0
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Positions of words' characters (a gap after each word), and edges sorted by end."""
@@ -121,19 +139,31 @@ class Vocabulary:
         flat = np.arange(len(chars)) + np.repeat(np.arange(len(words)), size)
         codes = np.zeros(len(chars) + len(words), np.int64)
         codes[flat] = np.searchsorted(alphabet, chars) + 1
-        sa = suffix_array(codes, self.longest)
+        sa, head = suffix_array(codes, self.longest)
         want = np.searchsorted(alphabet, self.grid)
         there = alphabet[np.minimum(want, len(alphabet) - 1)] == self.grid
-        want = want + 1
-        # binary search, one character of every piece a round: suffixes of [lo, hi) agree with it so far
-        row = np.flatnonzero((there | (np.arange(self.longest) >= self.length[:, None])).all(axis=1))
-        lo, hi = np.zeros(len(row), np.int64), np.full(len(row), len(sa))
+        inside = np.arange(self.longest) < self.length[:, None]
+        row = np.flatnonzero((there | ~inside).all(axis=1))
+        want, inside = np.where(inside, want + 1, 0)[row].astype(np.uint64), inside[row]
+        # binary search for all pieces at once: first by the packed codes that suffixes begin with
+        bits = _packing(len(alphabet))
+        per = 64 // bits
+        low, high = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
+        for k in range(per):
+            code = want[:, k] if k < self.longest else np.zeros(len(row), np.uint64)
+            free = ~inside[:, k] if k < self.longest else np.ones(len(row), bool)
+            low = low << np.uint64(bits) | code
+            high = high << np.uint64(bits) | np.where(free, np.uint64((1 << bits) - 1), code)
+        lo, hi = np.searchsorted(head, low, "left"), np.searchsorted(head, high, "right")
+        keep = lo < hi
+        row, lo, hi, want = row[keep], lo[keep], hi[keep], want[keep].astype(np.int64)
+        # then one more character a round: suffixes of [lo, hi) agree with the piece so far
         padded = np.concatenate([codes, np.zeros(self.longest, np.int64)])
-        for d in range(self.longest):
+        for d in range(per, self.longest):
             on = self.length[row] > d
             if not on.any():
                 break
-            c = want[row[on], d]
+            c = want[on, d]
             bound = []
             for right in (False, True):
                 x, y = lo[on].copy(), hi[on].copy()
@@ -146,7 +176,7 @@ class Vocabulary:
                 bound.append(x)
             lo[on], hi[on] = bound
             keep = lo < hi
-            row, lo, hi = row[keep], lo[keep], hi[keep]
+            row, lo, hi, want = row[keep], lo[keep], hi[keep], want[keep]
         many = hi - lo
         start = sa[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
         end, piece = start + np.repeat(self.length[row], many), np.repeat(self.ids[row], many)
@@ -158,47 +188,55 @@ class Vocabulary:
         return size, start[order], end[order], piece[order]
 
     def learn(self, words: list[str]) -> None:
-        """Encode words and remember them."""
+        """Encode words and remember them: edges that end at the same place in their words relax together."""
         size, start, end, piece = self.edges(words)
         first = np.concatenate([[0], np.cumsum(size[:-1] + 1)])
         total = int(size.sum() + len(size))
-        NONE, BEGIN = -(1 << 40), -(1 << 41)
-        last, back = [NONE] * (total + 1), [0] * (total + 1)
-        for s in first.tolist():
-            last[s] = BEGIN
-        pair, follows, alone = self.pair, self.follows, self.alone
-        for s, e, p in zip(start.tolist(), end.tolist(), piece.tolist()):
+        none, begin = -(1 << 40), -(1 << 41)
+        last, back = np.full(total, none), np.zeros(total, np.int64)
+        last[first] = begin
+        place = end - np.repeat(first, size + 1)[end - 1]
+        order = np.argsort(place, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(place[order])[1:])]) if len(order) else [0]
+        start, end, piece = start[order], end[order], piece[order]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            s, e, p = start[a:b], end[a:b], piece[a:b]
             before = last[s]
-            if before == NONE or last[e] != NONE:
-                continue
-            if before < 0 or p < 0:
-                if p >= 0 and not alone(p):
-                    continue
-            else:
-                ok = pair.get(before * 0x100000 + p)
-                if ok is None:
-                    ok = follows(before, p) and alone(p)
-                    pair[before * 0x100000 + p] = ok
-                if not ok:
-                    continue
-            last[e], back[e] = p, s
-        for word, s, n in zip(words, first.tolist(), size.tolist()):
-            out, at = [], s + n
-            while at > s:
-                p = last[at]
-                if p < 0:
-                    out += [self.bytes[b] for b in reversed(chr(-1 - p).encode("utf-8", "surrogatepass"))]
-                else:
-                    out.append(p)
-                at = back[at]
-            self.known[word] = tuple(reversed(out))
-
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+            ok = before != none
+            s, e, p, before = s[ok], e[ok], p[ok], before[ok]
+            ok = np.ones(len(p), bool)
+            real = p >= 0
+            ok[real] = self.alone(p[real])
+            both = ok & real & (before >= 0)
+            ok[both] = self.follow(before[both] << 20 | p[both])
+            last[e[ok]], back[e[ok]] = p[ok], s[ok]
+        # back from the words' ends, all words a step at a time
+        at, who = first + size, np.arange(len(words))
+        token, owner, step, k = [], [], [], 0
+        while len(at):
+            token.append(last[at])
+            owner.append(who)
+            step.append(np.full(len(at), -k))
+            at = back[at]
+            more = at != first[who]
+            at, who, k = at[more], who[more], k + 1
+        token, owner, step = map(np.concatenate, (token, owner, step))
+        order = np.lexsort((step, owner))
+        token, owner = token[order], owner[order]
+        if (token < 0).any():  # characters in no piece become their bytes
+            spelt = [[t] if t >= 0 else [self.bytes[b] for b in chr(-1 - t).encode("utf-8", "surrogatepass")] for t in token.tolist()]
+            owner = np.repeat(owner, list(map(len, spelt)))
+            token = np.fromiter(chain.from_iterable(spelt), np.int64)
+        flat = token.astype("<i4").tobytes()
+        stops = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        self.known.update(zip(words, map(flat.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         split = [self.split(self.processor.normalize(t)) if t else [] for t in texts]
         if len(self.known) > WORDS:
             self.known.clear()
         known = self.known
-        new = sorted({w for words in split for w in words if w not in known})
+        new = {w for words in split for w in words if w not in known}
         batch, held = [], 0
         for w in new:
             batch.append(w)
@@ -209,10 +247,10 @@ class Vocabulary:
         if batch:
             self.learn(batch)
         for words in split:
-            yield list(chain.from_iterable(map(known.__getitem__, words)))
+            yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4")
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.spell.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        text = b"".join(map(self.spell.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -234,7 +272,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(model)
         for texts in batches:
-            yield pd.Series([np.array(x, np.int32) for x in v.encode(list(texts))], dtype="object")
+            yield pd.Series(list(v.encode(list(texts))), dtype="object")
 
     return docs.withColumn(ids_col, ids(text_col))
 
@@ -247,7 +285,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", model:
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(model)
         for lists in batches:
-            yield pd.Series(["" if x is None else v.decode(list(x)) for x in lists], dtype="object")
+            yield pd.Series(["" if x is None else v.decode(x) for x in lists], dtype="object")
 
     return rows.withColumn(text_col, text(ids_col))
 
@@ -267,8 +305,7 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
         for pdf in batches:
             rows = []
             for text, ids in zip(pdf["text"], v.encode(list(pdf["text"]))):
-                a = np.array(ids, "<i4")
-                rows.append((len(a), int(fallback[a].sum()), hashlib.sha256(a.tobytes()).hexdigest(), v.decode(ids) == (text or "")))
+                rows.append((len(ids), int(fallback[ids].sum()), hashlib.sha256(ids).hexdigest(), v.decode(ids) == (text or "")))
             n, b, sha, same = zip(*rows) if rows else ((), (), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "n_byte_tokens": b, "ids_sha256": sha, "round_trip": same})
 
