@@ -53,9 +53,13 @@ def bm25(tokens: DataFrame, terms: DataFrame, k: float = K1, b: float = B) -> Da
     idf = ln((N - df + 0.5) / (df + 0.5) + 1), a term adds
     idf * tf * (k + 1) / (tf + k * (1 - b + b * len / mean length)).
     """
-    found = postings(tokens, terms)
+    return score_postings(postings(tokens, terms), terms, corpus_stats(tokens), k, b)
+
+
+def score_postings(found: DataFrame, terms: DataFrame, stats: DataFrame, k: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score) of postings cut to the needles' terms."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = terms.join(df, "term").crossJoin(F.broadcast(corpus_stats(tokens)))  # statistics: one row
+    weighed = terms.join(df, "term").crossJoin(F.broadcast(stats))  # statistics: one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighed = weighed.select("query_id", "term", idf.alias("idf"), "avg_len")
     tf = F.col("tf")
