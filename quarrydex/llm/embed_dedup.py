@@ -233,3 +233,13 @@ def near_duplicates(
     out = rows.join(each, (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_v")), "left")
     component = F.coalesce(F.col("component_id"), F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+#: Every pair of a label: what the operator returns where its recall is full.
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+c(id, r) USING KEY (id) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.a, min(c.r) FROM l JOIN c ON c.id = l.b JOIN recurring.c AS o ON o.id = l.a GROUP BY l.a, o.r HAVING min(c.r) < o.r)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.r AS component_id, v.vec_id = c.r AS kept FROM v JOIN c ON c.id = v.vec_id
+"""

@@ -22,7 +22,7 @@ SHARDS, SEED, MOST_PASSES = 16, 6, 3
 #: Rows of a block, and blocks that a source has at most.
 BLOCK_ROWS, MOST_BLOCKS = 64, 1 << 16
 #: Single rows that may bring a source nearer to its target in the end.
-NEAREST = 3
+NEAREST = 6
 
 
 def word_count(text: Column) -> Column:
@@ -144,15 +144,16 @@ def plan(
         .withColumn("room", F.col("rest") - (F.col("upto") - F.col("words"))),
         "blocks",
     )
-    # the block at the edge: its rows in permuted order while they fit, then, a few times, the row that comes nearest
+    # the block at the edge: its rows in permuted order while they fit, then the largest that fit, last the one that comes nearest
     edge = placed.select("rank", "block", "row", "size", "doc_id", "key").join(block.filter("edge AND room > 0").select("rank", "block", "room"), ["rank", "block"])
     order = Window.partitionBy("rank").orderBy("key", "doc_id", "row")
     edge = edge.withColumn("fits", F.sum("size").over(order) <= F.col("room"))
-    for _ in range(NEAREST):
+    for k in range(NEAREST):
         left = F.col("room") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(Window.partitionBy("rank"))
         edge = edge.withColumn("left", left).withColumn("miss", F.abs(F.col("size") - F.col("left")))
-        best = F.row_number().over(Window.partitionBy("rank").orderBy("fits", "miss", "key", "doc_id", "row"))
-        edge = edge.withColumn("best", best).withColumn("fits", F.expr("fits OR (best = 1 AND miss < abs(left))"))
+        over = F.col("size") > F.col("left") if k + 1 < NEAREST else F.lit(False)
+        best = F.row_number().over(Window.partitionBy("rank").orderBy("fits", over, "miss", "key", "doc_id", "row"))
+        edge = edge.withColumn("over", over).withColumn("best", best).withColumn("fits", F.expr("fits OR (best = 1 AND NOT over AND miss < abs(left))"))
     extra = edge.filter("fits").select("row", F.lit(1).alias("extra"))
 
     used = F.when(F.col("whole"), 1).otherwise(0)

@@ -56,4 +56,9 @@ QUERIES = {
     f.__name__: f
     for f in (op1_simhash, op2_quality_rules, op3_sentence_pieces, op4_embed_dedup, op5_substring, op6_mixing, op7_url_filter, op8_html_extract, op9_classifier, op10_sharding)
 }
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}
+ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_embed_dedup": embed_dedup.ORACLE_SQL,
+    "op5_substring": substring.ORACLE_SQL,
+    "op7_url_filter": url_filter.ORACLE_SQL,
+}

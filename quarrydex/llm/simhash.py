@@ -11,6 +11,12 @@
    roots with all queries at once: each node adds the differing bits of the pattern
    it introduces, and a node over the limit is pruned with everything below it.
 5. Tasks return spanning links only; the components are joined up distributedly.
+
+A contract may fix what a fingerprint is (``near_duplicates``' defaults).  Where the
+aim is a similarity of word shingles, ``similar_texts`` uses fingerprints of the
+distinct words, which near copies change little, as the index's key with a wider
+limit, and every pair that the index finds is verified with MinHash sketches of
+five-word shingles before it counts as a link.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from .components import connected_components
 
 #: Fingerprints that may share a route before it is split.
 ROUTE_LIMIT = 1 << 20
+#: Rows that a task gathers before it builds an index of the whole routes among them.
+HELD = 1 << 17
 #: Children per node of the index; pairs expanded at a time.
 FANOUT, FRONTIER = 8, 1 << 20
 SEED = 42
@@ -52,6 +60,42 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * bits > len(h), bitorder="little").view("<u8")[0])
 
 
+#: Sketches: samples of one byte each.
+SAMPLES = 128
+_MULTIPLY = np.random.default_rng(SEED).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def distinct_words(text: bytes | None) -> int:
+    """SimHash of a text's set of words; 0 without words."""
+    words = set((text or b"").lower().split())
+    if not words:
+        return 0
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype("<u8")
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(h), bitorder="little").view("<u8")[0])
+
+
+def sketch(text: bytes | None, shingle: int = 5) -> bytes:
+    """MinHash of a text's word shingles, a byte a sample; equal bytes estimate the Jaccard similarity."""
+    words = (text or b"").lower().split()
+    if not words:
+        return bytes(SAMPLES)
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    g = h
+    if len(h) > 1:
+        size = min(shingle, len(h))
+        g = np.zeros(len(h) - size + 1, np.uint64)
+        for k in range(size):
+            g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - size + 1 + k]
+    g = np.unique(g)
+    g = (g ^ (g >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    g ^= g >> np.uint64(33)
+    low = np.full(SAMPLES, ~np.uint64(0))
+    for at in range(0, len(g), 4096):
+        low = np.minimum(low, (g[at : at + 4096, None] * _MULTIPLY).min(axis=0))
+    return ((low * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -96,8 +140,14 @@ class GrayIndex:
         top = levels[-1]
         self.root = np.repeat(np.arange(len(top["end"])), top["end"] - top["start"])
 
-    def components(self, max_bits: int) -> np.ndarray:
-        """For each sorted fingerprint, the smallest position linked with it, directly or not."""
+    def components(self, max_bits: int, sketches: np.ndarray | None = None, similarity: float = 0.0) -> np.ndarray:
+        """For each sorted fingerprint, the smallest position linked with it, directly or not.
+
+        With ``sketches`` (a row a sorted fingerprint) a pair is linked only if its
+        sketches agree in the share of samples that ``similarity`` makes likely.
+        """
+        # samples of different shingles agree by chance once in 256
+        agree = (similarity * 255 + 1) / 256
         n, levels = len(self.fp), self.levels
         label = np.arange(n)
         for at in range(0, n, FRONTIER // 16):
@@ -118,6 +168,9 @@ class GrayIndex:
                 if not len(q):
                     continue
                 if k == 0:
+                    if sketches is not None:
+                        ok = (sketches[q] == sketches[node]).mean(axis=1) >= agree
+                        q, node = q[ok], node[ok]
                     _unite(label, q, node)
                     continue
                 size = x["stop"][node] - x["child"][node]
@@ -141,7 +194,7 @@ def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _links(max_bits: int):
+def _links(max_bits: int, similarity: float | None = None):
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches hold whole routes in order; a route may go on in the next batch."""
         rest: list[pd.DataFrame] = []
@@ -150,7 +203,10 @@ def _links(max_bits: int):
         def found(pdf: pd.DataFrame) -> pd.DataFrame:
             new = (pdf["mask"].values[1:] != pdf["mask"].values[:-1]) | (pdf["value"].values[1:] != pdf["value"].values[:-1])
             index = GrayIndex(pdf["fp"].values.astype(np.int64).view(np.uint64), np.concatenate([[0], np.cumsum(new)]))
-            label, node = index.components(max_bits), pdf["node"].values[index.order]
+            sketches = None
+            if similarity is not None:
+                sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)[index.order]
+            label, node = index.components(max_bits, sketches, similarity or 0.0), pdf["node"].values[index.order]
             linked = np.flatnonzero(label != np.arange(len(label)))
             return pd.DataFrame({"a": node[linked], "b": node[label[linked]]})
 
@@ -159,7 +215,7 @@ def _links(max_bits: int):
                 continue
             rest.append(pdf)
             held += len(pdf)
-            if held < ROUTE_LIMIT // 8:
+            if held < HELD:
                 continue
             whole = pd.concat(rest, ignore_index=True)
             last = (whole["mask"] == whole["mask"].iloc[-1]) & (whole["value"] == whole["value"].iloc[-1])
@@ -183,8 +239,8 @@ def _segments(mask: int, parts: int) -> list[int]:
 
 
 def _routes(nodes: DataFrame, max_bits: int, limit: int) -> DataFrame:
-    """(mask, value, fp, node): fingerprints within ``max_bits`` share a row's mask and value."""
-    parts = max_bits + 1
+    """(mask, value, *nodes): fingerprints within ``max_bits`` share a row's mask and value."""
+    parts, columns = max_bits + 1, nodes.columns
     level = _segments(0, parts)
     routes = nodes.withColumn("mask", F.explode(F.array(*[F.lit(_signed(m)) for m in level])))
     for _ in range(3):
@@ -195,9 +251,9 @@ def _routes(nodes: DataFrame, max_bits: int, limit: int) -> DataFrame:
         deeper = F.create_map(*[x for m in level for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in _segments(m, parts)]))])
         routes = routes.join(size, ["mask", "value"], "left")
         masks = F.when(F.col("count").isNotNull(), deeper[F.col("mask")]).otherwise(F.array("mask"))
-        routes = routes.select("fp", "node", F.explode(masks).alias("mask"))
+        routes = routes.select(*columns, F.explode(masks).alias("mask"))
         level = [s for m in level for s in _segments(m, parts)] + level
-    return routes.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp", "node")
+    return routes.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), *columns)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -222,17 +278,43 @@ def near_duplicates(
     texts of an id are joined to its component); rows without an id get a fingerprint
     and no component, and link nothing.  Other columns of ``docs`` are ignored.
     """
-    fps = materialize(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", shingle).select("doc_id", "fp"), "fps")
+    fps = fingerprints(_texts(docs, id_col, text_col), "text", shingle).select("doc_id", "fp")
+    return _components(materialize(fps, "fps"), ["fp"], max_bits, route_limit, None).select("doc_id", "fp", "component_id")
+
+
+def similar_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, max_bits: int = 7, route_limit: int = 1 << 15
+) -> DataFrame:
+    """One row per document: id and ``component_id``, linked by the similarity of their word shingles.
+
+    Texts whose fingerprints of distinct words differ in at most ``max_bits`` bits and
+    whose shingles' Jaccard similarity, as their sketches tell it, is at least
+    ``similarity`` are linked.  Nulls, blanks, repeated rows and ids as above.
+    """
+    prepare(docs.sparkSession)
+
+    @F.pandas_udf("fp long, sketch binary")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fp": np.array([_signed(distinct_words(t)) for t in texts], np.int64), "sketch": [sketch(t, shingle) for t in texts]})
+
+    marked = _texts(docs, id_col, text_col).select("doc_id", marks(F.col("text").cast("binary")).alias("m")).select("doc_id", "m.fp", "m.sketch")
+    return _components(materialize(marked, "marks"), ["fp", "sketch"], max_bits, route_limit, similarity).select("doc_id", "component_id")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def _components(fps: DataFrame, key: list[str], max_bits: int, route_limit: int, similarity: float | None) -> DataFrame:
     known = fps.filter("doc_id IS NOT NULL")
-    nodes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = materialize(known.groupBy(*key).agg(F.min("doc_id").alias("node")), "nodes")
     routed = _routes(nodes, max_bits, route_limit).repartition("mask", "value").sortWithinPartitions("mask", "value")
-    edges = routed.mapInPandas(_links(max_bits), "a long, b long")
-    twice = known.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("doc_id")
-    own = known.join(twice, "doc_id").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    edges = routed.mapInPandas(_links(max_bits, similarity), "a long, b long")
+    several = known.groupBy("doc_id").agg(F.count_distinct(*key).alias("n")).filter("n > 1").select("doc_id")
+    own = known.join(several, "doc_id").join(nodes, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     comp = connected_components(edges.unionAll(own))
-    of_fp = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
-    out = fps.join(of_fp, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
+    of_fp = nodes.join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("c"))
+    return fps.join(of_fp, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("c")))
 
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

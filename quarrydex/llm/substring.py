@@ -248,3 +248,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = docs.join(change, (F.col(id_col).cast("long") == F.col("_id")) & (key == F.col("_key")), "left")
     left = joined.filter("_kept IS NULL OR _kept <> ''")
     return left.select(*[F.coalesce("_kept", text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+r AS (SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM p) WHERE first < doc_id),
+g AS (SELECT DISTINCT rid, i + j AS pos FROM r, (SELECT unnest(range({WINDOW})) AS j)),
+n AS (SELECT rid, count(*) AS n, list(pos) AS gone FROM g GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+    sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_filter(w, lambda x, k: NOT list_contains(gone, k)), ' '), '') END) AS kept_sha256
+FROM d LEFT JOIN n USING (rid)
+"""
