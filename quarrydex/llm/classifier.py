@@ -129,8 +129,8 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(f, np.int32) for f in rows["f"]], rows["grade"].to_numpy(np.int64), n_grades)
 
 
-def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``expected_grade``, ``tails`` array of P(grade >= 1), P(grade >= 2), ...) of every row; null texts are empty."""
+def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``tails``, the array of P(grade >= 1), P(grade >= 2), ..., and their sum ``expected_grade``; null texts are empty."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
@@ -151,8 +151,21 @@ def ratings_of(labels: DataFrame) -> DataFrame:
 
 
 def graded(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` with ``expected_grade``, ``p_top`` = P(highest grade) and ``kept`` = ``p_top >= least``."""
+    """``docs`` with ``expected_grade``, ``p_top`` = P(highest grade) and ``kept`` = ``p_top >= least``.
+
+    Columns of these names are replaced; every row gives one row.
+    """
+    keep = [c for c in docs.columns if c not in ("expected_grade", "p_top", "kept")]
+    return _graded(docs, labels, least).select(*[F.col("d")[c].alias(c) for c in keep], "expected_grade", "p_top", "kept")
+
+
+def select_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose P(highest grade) is at least ``least``."""
+    return _graded(docs, labels, least).filter("kept").select(*[F.col("d")[c].alias(c) for c in docs.columns])
+
+
+def _graded(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     model = train(docs, ratings_of(labels))
-    columns = [c for c in docs.columns if c not in ("tails", "expected_grade", "p_top", "kept")]
-    out = score(docs.select(*columns), model).withColumn("p_top", F.element_at("tails", -1))
-    return out.select(*columns, "expected_grade", "p_top", (F.col("p_top") >= least).alias("kept"))
+    rows = docs.select(F.struct(*docs.columns).alias("d"), F.col("text").alias("_text"))
+    out = score(rows, model, text_col="_text").withColumn("p_top", F.element_at("tails", -1))
+    return out.select("d", "expected_grade", "p_top", (F.col("p_top") >= least).alias("kept"))

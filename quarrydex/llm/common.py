@@ -9,6 +9,7 @@ machine) gets a temporary folder.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -23,6 +24,7 @@ WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch handed to Python.
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 _LOCAL: list[str] = []
+_REGISTERED: list[bool] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -48,8 +50,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results not read yet are lost."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _drop_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # Spark may have gone already
+            drop_scratch(spark)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a scratch table and return a DataFrame that reads it."""
+    """Write ``df`` as a scratch table and return a DataFrame that reads it.
+
+    The tables are deleted when the driver ends, or by ``drop_scratch``.
+    """
+    if not _REGISTERED:
+        _REGISTERED.append(True)
+        atexit.register(_drop_at_exit)
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,12 +52,17 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.source_targets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_quality_rules, op3_sentence_pieces, op4_embed_dedup, op5_substring, op6_mixing, op7_url_filter, op8_html_extract, op9_classifier, op10_sharding)
+    for f in (op1_simhash, op2_quality_rules, op3_sentence_pieces, op4_embed_dedup, op5_substring, op6_mixing, op7_url_filter, op8_html_extract, op9_classifier, op10_sharding, mixing_targets)
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "mixing_targets": mixing.TARGETS_SQL,
     "op4_embed_dedup": embed_dedup.ORACLE_SQL,
     "op5_substring": substring.ORACLE_SQL,
     "op7_url_filter": url_filter.ORACLE_SQL,

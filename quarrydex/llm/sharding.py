@@ -48,9 +48,10 @@ def shuffle_into_shards(
     counts = scattered.groupBy("_b").count()
     before = counts.select("_b", (F.sum("count").over(Window.orderBy("_b")) - F.col("count")).alias("_before"))
     placed = shuffled.select("_b", F.posexplode("_rows").alias("_i", "_x")).join(before, "_b")
-    at = placed.select("_x._r.*", (F.col("_before") + F.col("_i")).cast("long").alias("_at")).withColumn("shard", F.expr(f"cast(_at * {shards} div {max(n, 1)} as int)"))
+    at = placed.select(F.col("_x._r").alias("_r"), (F.col("_before") + F.col("_i")).cast("long").alias("_at")).withColumn("shard", F.expr(f"cast(_at * {shards} div {max(n, 1)} as int)"))
     # the first position p with p * shards div n = shard is ceil(shard * n / shards)
-    return at.withColumn("slot", F.expr(f"_at - (cast(shard as bigint) * {n} + {shards - 1}) div {shards}")).drop("_at")
+    slot = F.expr(f"_at - (cast(shard as bigint) * {n} + {shards - 1}) div {shards}")
+    return at.select(*[F.col("_r")[c].alias(c) for c in columns], "shard", slot.alias("slot"))
 
 
 def assign_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -243,11 +243,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each, parts = find_repeats(docs, id_col, text_col, window=window)
     gone = each.filter((F.col("first_id") < F.col("doc_id")) & (F.col("n_words") >= window))
     change = parts.select("doc_id", "tkey", F.col("kept").alias("kept")).unionAll(gone.select("doc_id", "tkey", F.lit("").alias("kept")).distinct())
-    change = change.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), F.col("kept").alias("_kept"))
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
-    joined = docs.join(change, (F.col(id_col).cast("long") == F.col("_id")) & (key == F.col("_key")), "left")
-    left = joined.filter("_kept IS NULL OR _kept <> ''")
-    return left.select(*[F.coalesce("_kept", text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    change = change.select(F.struct("doc_id", "tkey", "kept").alias("c"))
+    rows = docs.select(F.struct(*docs.columns).alias("d"))
+    key = F.xxhash64(F.coalesce(F.col("d")[text_col].cast("binary"), F.lit(b"")))
+    joined = rows.join(change, (F.col("d")[id_col].cast("long") == F.col("c.doc_id")) & (key == F.col("c.tkey")), "left")
+    left = joined.filter("c.kept IS NULL OR c.kept <> ''")
+    return left.select(*[F.coalesce("c.kept", F.col("d")[c]).alias(c) if c == text_col else F.col("d")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = rf"""

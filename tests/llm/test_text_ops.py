@@ -253,3 +253,37 @@ def test_pipeline(spark, tmp_path):
     for r in encoded.limit(20).collect():
         assert r["ids"] == sp.encode(r["text"]) and r["n_tokens"] == len(r["ids"]) and r["n_chars"] == len(r["text"])
     assert sorted(encoded.select("doc_id").collect()) == sorted(corpus_pipeline.run(spark, DATA).select("doc_id").collect())
+
+
+CLASHES = ["kept", "tails", "_id", "_key", "_kept", "d", "c", "_r", "row", "key", "shard", "slot", "fp", "sketch", "component_id", "expected_grade", "p_top", "text_", "_text", "copies", "anchor"]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stage_edges(spark, tmp_path, k):
+    """Nulls anywhere, empty and very long texts, repeated rows, clashing names, no rows at all."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(60_000))
+    plain_text = " ".join(f"v{i}" for i in range(200))
+    rows = [(1, plain_text, "en", "a", 5), (1, plain_text, "en", "a", 5), (2, plain_text + " tail", None, "a", None), (3, None, "en", None, None), (4, "", None, "b", 0), (5, " \n", "en", "b", 2), (None, plain_text, "en", "b", 1), (6, long, "en", "c", len(long)), (None, None, None, None, None), (7, long + " x", "de", "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit(c))
+    sf = tmp_path / "sf"
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0), (None, 1, 1), (2, None, 0), (6, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(sf / "labels.parquet"))
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, docs, str(sf))
+    got = out.collect()
+    if k < 4:
+        assert out.columns == docs.columns
+        if name != "mixing":
+            assert all(r[c] == c for r in got for c in CLASHES)
+    if name == "SimHash near-dedup":
+        assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "3", "6", "None", "None"]
+    elif name == "substring dedup":
+        assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "3", "4", "5", "6", "7", "None", "None"]
+    elif name == "SentencePiece":
+        assert len(got) == len(rows) and all(r["n_tokens"] == len(r["ids"]) for r in got)
+    empty = stage(spark, docs.limit(0), str(sf))
+    assert empty.count() == 0 and empty.columns == out.columns
