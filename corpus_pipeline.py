@@ -15,12 +15,12 @@ from quarrydex.llm.common import materialize, table
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are more likely of the highest grade than not."""
-    return classifier.graded(spark, docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    return classifier.select_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near-duplicates (five-word shingles, three bits)."""
-    return simhash.keep_first(docs, simhash.near_duplicates(docs, shingle=5)).select(*docs.columns)
+    """The first document of every group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    return simhash.keep_first(docs, simhash.similar_texts(docs)).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
