@@ -190,3 +190,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chosen = plan(materialize(slim, "sizes"), shards=shards, seed=seed).filter("copies > 0").select("row", "key", "shards")
     each = whole.join(chosen, "row").select("_r", "key", "row", F.posexplode("shards").alias("_copy", "shard"))
     return each.select("_r.*", "shard", F.xxhash64(F.lit(seed), "shard", "key", "row", "_copy").alias("slot"))
+
+
+def source_targets(docs: DataFrame) -> DataFrame:
+    """(source, n_rows, source_size, target) of a table of documents."""
+    found = targets(docs.select("source", word_count(F.col("text")).alias("size")))
+    return found.select("source", "n_rows", "source_size", F.round("target", 6).alias("target"))
+
+
+TARGETS_SQL = rf"""
+WITH s AS (SELECT source, count(*) AS n_rows, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS size FROM documents GROUP BY source),
+r AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight, {MOST_PASSES}.0 * size AS most FROM s),
+f AS (SELECT *, (sum(size) OVER () - (sum(most) OVER w - most)) / (sum(weight) OVER () - sum(weight) OVER w + weight) AS share, row_number() OVER w AS k FROM r WINDOW w AS (ORDER BY most / weight, source)),
+g AS (SELECT *, most / weight <= share AS capped FROM f)
+SELECT source, n_rows, size AS source_size, round(CASE WHEN capped THEN most ELSE least(most, weight * (SELECT min_by(share, k) FROM g WHERE NOT capped)) END::DOUBLE, 6) AS target FROM g
+"""
