@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BOUNDARY = r"(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+_BOUNDARY = r"(?<=\p{Lower})(?=\p{Upper})|(?<=\p{Upper})(?=\p{Upper}\p{Lower})|(?<=\d)(?=\p{Alpha})|(?<=\p{Alpha})(?=\d)"
 
 
 def _text(c: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Separators from coarse to fine: blank lines, sentence ends, phrase marks, white space.
-LEVELS = tuple(re.compile(p) for p in (r"\n\s*\n", r"(?<=[.!?])\s+", r"\s*[,;:()]\s*", r"\s+"))
+LEVELS = tuple(re.compile(p) for p in (r"\n\s*\n", r"(?<=[?!.])\s+", r"\s*[();:,]\s*", r"\s+"))
 MAX_TOKENS, MIN_TOKENS = 512, 64
 
 Span = tuple[int, int]

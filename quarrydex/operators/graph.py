@@ -39,11 +39,11 @@ def longest_prefix(items: DataFrame, prefixes: DataFrame, path: str = "path", pr
     lengths that no prefix has are never tried.
     """
     lengths = prefixes.agg(F.sort_array(F.collect_set(F.length(prefix))).alias("_lens"))  # bounded by the longest path
-    tried = items.crossJoin(F.broadcast(lengths)).withColumn("_lens", F.filter("_lens", lambda n: n <= F.length(path)))
+    tried = items.withColumn("_row", F.monotonically_increasing_id()).crossJoin(F.broadcast(lengths)).withColumn("_lens", F.filter("_lens", lambda n: n <= F.length(path)))
     each = tried.withColumn("_try", F.explode_outer(F.transform("_lens", lambda n: F.substring(F.col(path), F.lit(1), n)))).drop("_lens")
     known = prefixes.select(F.col(prefix).alias("_try"), F.col(prefix).alias("_hit")).distinct()
     hits = each.join(known, "_try", "left").drop("_try")
-    return hits.groupBy(*items.columns).agg(F.max_by("_hit", F.length("_hit")).alias(prefix))
+    return hits.groupBy("_row", *items.columns).agg(F.max_by("_hit", F.length("_hit")).alias(prefix)).drop("_row")
 
 
 def with_paths(rows: DataFrame, files: DataFrame) -> DataFrame:

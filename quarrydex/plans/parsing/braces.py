@@ -23,7 +23,7 @@ class Scanner:
         self.path, self.text, self.files = path, text, files
         self.imports: list[Import] = []
 
-    # --- lexical level ---------------------------------------------------------------
+    # --- lexical level
 
     def skip(self, i: int) -> int:
         """End of the comment or string that starts at ``i``, or ``i`` itself."""
@@ -84,7 +84,7 @@ class Scanner:
     def line_of(self, i: int) -> int:
         return self.text.count("\n", 0, i)
 
-    # --- statements -------------------------------------------------------------------
+    # --- statements
 
     def statement_end(self, i: int, stop: int) -> int:
         raise NotImplementedError
@@ -436,7 +436,7 @@ class Cpp(C):
 
 class JavaScript(Scanner):
     raw_quotes = "`"
-    suffixes = (".js", ".jsx", ".mjs", ".ts", ".tsx")
+    suffixes = tuple(".ts .tsx .js .jsx .mjs".split())
     blocks = re.compile(r"(export\s+)?(default\s+)?(declare\s+)?(async\s+)?(abstract\s+)?(function|class|if|for|while|do|try|switch|interface|enum|namespace|module|with)\b|\{")
 
     def skip(self, i: int) -> int:

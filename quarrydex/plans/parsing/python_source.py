@@ -8,7 +8,7 @@ import tokenize
 
 from .model import Import, Node, Source
 
-VENV_DIRS = (".venv", "venv", "env", ".env")
+VENV_DIRS = tuple("env venv .env .venv".split())
 
 
 def _comments(text: str) -> list[tuple[int, int]]:

@@ -104,7 +104,7 @@ def text_positions(t):
     return d.select("doc_id", X.line_at(F.col("text"), F.col("at")).cast("int").alias("line"), X.byte_at(F.col("text"), F.col("at")).cast("int").alias("byte"))
 
 
-# --- packages and repositories: nations are repositories, regions projects ----------------
+# --- packages and repositories: nations are repositories, regions projects
 
 
 @query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
@@ -179,7 +179,7 @@ def path_enrichment(t):
     return G.with_paths(rows, f).select(F.col("file_id").alias("l_orderkey"), "l_linenumber", "file_path")
 
 
-# --- trees: the parent of a conversation's turn is the turn before -------------------------
+# --- trees: the parent of a conversation's turn is the turn before
 
 _TREE = "n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent_id, CASE WHEN turn % 4 = 3 THEN 'literal' ELSE role END AS kind FROM conversations)"
 

@@ -278,7 +278,7 @@ def ignore_rules(t):
     return not_ignored(files, rules(tree)).select("page_id")
 
 
-# --- extension: event-time windows, as batch queries of the same plans as the streams ------
+# --- extension: event-time windows, as batch queries of the same plans as the streams
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

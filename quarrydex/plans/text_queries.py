@@ -131,7 +131,7 @@ def token_windows(t):
     return t("documents").select("doc_id", w).groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.sum(F.size("w")).alias("n_tokens"))
 
 
-# --- hybrid search: documents are nodes, their vectors those of equal id -----------------
+# --- hybrid search: documents are nodes, their vectors those of equal id
 
 
 def _nodes(t):

@@ -22,7 +22,7 @@ from ..sources.files import read_tree
 from ..sources.store import Store
 from . import ingest, render
 
-# --- output ------------------------------------------------------------------------------
+# --- output
 
 
 def _plain(value):
@@ -71,7 +71,7 @@ def to_structured_text(value) -> str:
 
 ENCODERS = {"json": to_json, "structured_text": to_structured_text}
 
-# --- refresh control ----------------------------------------------------------------------
+# --- refresh control
 
 
 class RefreshControl:
@@ -105,7 +105,7 @@ class RefreshControl:
             done.set()
 
 
-# --- the engine ---------------------------------------------------------------------------
+# --- the engine
 
 
 class Engine:
@@ -263,17 +263,21 @@ class Engine:
         return path if repo == self.default else f"{P.REPO_PREFIX}/{repo}/{path}"
 
 
+def _kind(kind: str, **more) -> dict:
+    return dict(type=kind, **more)
+
+
 def _tool(name: str, text: str, properties: dict, required: list[str]) -> dict:
-    return {"name": name, "description": text, "parameters": {"type": "object", "properties": properties, "required": required}}
+    return dict(name=name, description=text, parameters=_kind("object", properties=properties, required=required))
 
 
-_TEXT = {"type": "string"}
+_TEXT = _kind("string")
 TOOLS = {
     "search_project": ("search_project", _tool("search_project", "Ranked search over the project's nodes.", {
-        "query": _TEXT, "kind": _TEXT, "visibility": {"type": "string", "enum": list(VISIBILITIES)}, "limit": {"type": "integer"}, "summary_mode": {"type": "string", "enum": list(SUMMARY_MODES)}, "expand": {"type": "boolean"},
+        "query": _TEXT, "kind": _TEXT, "visibility": _kind("string", enum=list(VISIBILITIES)), "limit": _kind("integer"), "summary_mode": _kind("string", enum=list(SUMMARY_MODES)), "expand": _kind("boolean"),
     }, []), "structured_text"),
     "list_files": ("list_files", _tool("list_files", "Paths that match a glob.", {"pattern": _TEXT}, ["pattern"]), "json"),
-    "summarize_files": ("summarize_files", _tool("summarize_files", "Summaries of files.", {"paths": {"type": "array", "items": _TEXT}, "summary_mode": {"type": "string", "enum": [m for m in SUMMARY_MODES if m != "source"]}}, ["paths"]), "structured_text"),
+    "summarize_files": ("summarize_files", _tool("summarize_files", "Summaries of files.", {"paths": _kind("array", items=_TEXT), "summary_mode": _kind("string", enum=[m for m in SUMMARY_MODES if m != "source"])}, ["paths"]), "structured_text"),
     "read_files": ("read_files", _tool("read_files", "A file's content.", {"path": _TEXT}, ["path"]), "structured_text"),
 }
 

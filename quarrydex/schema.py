@@ -52,7 +52,7 @@ EDGE_TYPES = ("imports", "exports")
 SUMMARY_MODES = ("skip", "definition", "documentation", "source")
 TOKENIZERS = ("code", "word", "noop")
 FILE_STATES = ("skipped", "bare_file", "parsed_file", "error")
-IGNORED_DIRS = (".git", ".hg", ".svn", ".idea", ".vscode", "__pycache__", ".mypy_cache", ".pytest_cache")
+IGNORED_DIRS = tuple("__pycache__ .git .hg .idea .mypy_cache .pytest_cache .svn .vscode".split())
 
 
 def invalid_rows(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
@@ -71,7 +71,7 @@ class SearchSettings:
     kind_boosts: dict[str, float] = field(
         default_factory=lambda: {"function": 2.0, "method": 2.0, "class": 1.5, "const": 1.3, "variable": 1.3, "property": 1.3, "literal": 0.9}
     )
-    field_boosts: dict[str, float] = field(default_factory=lambda: {"name": 3, "file_path": 2, "body": 1, "docstring": 1})
+    field_boosts: dict[str, float] = field(default_factory=lambda: dict(zip(("name", "file_path", "body", "docstring"), (3, 2, 1, 1))))
 
 
 @dataclass
