@@ -29,7 +29,7 @@ def closure(ids, linked):
     return label
 
 
-# --- components ----------------------------------------------------------------------------
+# --- components
 
 
 @pytest.mark.parametrize("seed", [0, 1])
@@ -42,7 +42,7 @@ def test_components(spark, seed):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-# --- SimHash ------------------------------------------------------------------------------
+# --- SimHash
 
 
 def brute_fingerprint(text):
@@ -127,7 +127,7 @@ def test_op1(spark):
     assert [(got[d["doc_id"]]["fingerprint"], got[d["doc_id"]]["component_id"]) for d in docs] == [(f"{f:016x}", x) for f, x in zip(fps, label)]
 
 
-# --- passages -----------------------------------------------------------------------------
+# --- passages
 
 
 def brute_passages(docs, window=50):
@@ -194,7 +194,7 @@ def test_op5(spark):
     assert got == brute_passages(docs)
 
 
-# --- embeddings -----------------------------------------------------------------------------
+# --- embeddings
 
 
 def brute_links(rows, threshold=0.93):

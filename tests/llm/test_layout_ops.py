@@ -13,7 +13,7 @@ from quarrydex.llm.queries import QUERIES
 DATA = "/root/testdata/sf0.001"
 
 
-# --- mixing ---------------------------------------------------------------------------------
+# --- mixing
 
 
 def brute_targets(sizes):
@@ -103,7 +103,7 @@ def test_op6(spark):
     check_mix(rows, QUERIES["op6_mixing"](spark, DATA).collect(), 400)
 
 
-# --- sharding -------------------------------------------------------------------------------
+# --- sharding
 
 
 def test_shards(spark):
@@ -143,7 +143,7 @@ def test_op10(spark):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
-# --- URL lists ------------------------------------------------------------------------------
+# --- URL lists
 
 
 def brute_rules(url, at, events):

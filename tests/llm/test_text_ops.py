@@ -35,7 +35,7 @@ def test_against_sql(spark, name):
     assert mine == sorted(tuple(plain(r[i]) for i in order) for r in theirs.fetchall())
 
 
-# --- quality rules --------------------------------------------------------------------------
+# --- quality rules
 
 
 def base_counts(text):
@@ -73,7 +73,7 @@ def test_common_lines(spark):
     assert quality_rules.apply_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
-# --- tokenizer ------------------------------------------------------------------------------
+# --- tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -132,7 +132,7 @@ def test_op3(spark):
     assert sentence_pieces.digest(rows.limit(0)).count() == 0
 
 
-# --- HTML -----------------------------------------------------------------------------------
+# --- HTML
 
 PAGES = [
     (None, ""), ("", ""), ("   ", ""), ("<html><body></body></html>", ""), ("just text &amp; more", "just text & more"),
@@ -175,7 +175,7 @@ def test_op8(spark):
     assert sorted((r["text"], r["n_chars"]) for r in html_extract.extract(odd).collect()) == [("", 0), ("", 0), ("x", 1)]
 
 
-# --- classifier -----------------------------------------------------------------------------
+# --- classifier
 
 
 def graded_texts(n, seed):
@@ -230,7 +230,7 @@ def test_held_out(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
 
 
-# --- pipeline --------------------------------------------------------------------------------
+# --- pipeline
 
 
 def test_pipeline(spark, tmp_path):
