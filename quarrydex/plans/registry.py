@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import let_workers_import
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -15,6 +17,7 @@ def query(sql: str | None = None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            let_workers_import(spark)
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__

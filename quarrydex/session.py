@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -13,6 +15,17 @@ CONF = {
 }
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this package on the path of Python workers that start from now on."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
+
 def build(master: str | None = None, app: str = "quarrydex", **conf: str) -> SparkSession:
     """A session with the engine's settings; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -20,4 +33,6 @@ def build(master: str | None = None, app: str = "quarrydex", **conf: str) -> Spa
         builder = builder.master(master)
     for key, value in (CONF | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    let_workers_import(spark)
+    return spark

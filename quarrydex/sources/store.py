@@ -11,10 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema as S
+from ..session import let_workers_import
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
+        let_workers_import(spark)
         self.spark, self.path = spark, path.rstrip("/")
 
     def _fs(self, path: str):
