@@ -36,9 +36,9 @@ from .components import connected_components
 #: Fingerprints that may share a route before it is split.
 ROUTE_LIMIT = 1 << 20
 #: Rows that a task gathers before it builds an index of the whole routes among them.
-HELD = 1 << 17
-#: Children per node of the index; pairs expanded at a time.
-FANOUT, FRONTIER = 8, 1 << 20
+HELD = 1 << 16
+#: Children per node of the index; pairs expanded, and pairs of sketches compared, at a time.
+FANOUT, FRONTIER, VERIFIED = 8, 1 << 18, 1 << 14
 SEED = 42
 
 
@@ -150,8 +150,8 @@ class GrayIndex:
         agree = (similarity * 255 + 1) / 256
         n, levels = len(self.fp), self.levels
         label = np.arange(n)
-        for at in range(0, n, FRONTIER // 16):
-            q = np.arange(at, min(n, at + FRONTIER // 16))
+        for at in range(0, n, FRONTIER // 4):
+            q = np.arange(at, min(n, at + FRONTIER // 4))
             # a node whose leaves all are of the query's own component has nothing to add
             same = [np.where(np.minimum.reduceat(label, x["start"]) == np.maximum.reduceat(label, x["start"]), label[x["start"]], -1) for x in levels]
             stack = [(len(levels) - 1, q, self.root[q], np.zeros(len(q), np.uint8))]
@@ -169,7 +169,8 @@ class GrayIndex:
                     continue
                 if k == 0:
                     if sketches is not None:
-                        ok = (sketches[q] == sketches[node]).mean(axis=1) >= agree
+                        parts = range(0, len(q), VERIFIED)
+                        ok = np.concatenate([(sketches[q[c : c + VERIFIED]] == sketches[node[c : c + VERIFIED]]).mean(axis=1) >= agree for c in parts])
                         q, node = q[ok], node[ok]
                     _unite(label, q, node)
                     continue
