@@ -23,7 +23,8 @@ def word_tokens(text: Column) -> Column:
 def code_tokens(text: Column) -> Column:
     """Words, each followed by its camel-case and digit pieces if it has several."""
     expand = lambda w: F.when(w.rlike(_BOUNDARY), F.concat(F.array(w), F.split(w, _BOUNDARY))).otherwise(F.array(w))
-    return F.flatten(F.transform(word_tokens(text), expand))
+    words = word_tokens(text)  # most texts hold no boundary at all, and one look at the whole text tells
+    return F.when(_text(text).rlike(_BOUNDARY), F.flatten(F.transform(words, expand))).otherwise(words)
 
 
 def noop_tokens(text: Column) -> Column:

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 #: Separators from coarse to fine: blank lines, sentence ends, phrase marks, white space.
 LEVELS = tuple(re.compile(p) for p in (r"\n\s*\n", r"(?<=[?!.])\s+", r"\s*[();:,]\s*", r"\s+"))
 MAX_TOKENS, MIN_TOKENS = 512, 64
@@ -74,4 +76,4 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, max_tokens: int
             yield pd.DataFrame(rows, columns=[id_col, "ordinal", "start", "stop", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, ordinal int, start int, stop int, text string")
+    return spread(docs.select(id_col, text_col)).mapInPandas(run, f"{id_col} {kind}, ordinal int, start int, stop int, text string")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import vectors as V
 from ..schema import SearchSettings
+from ..session import spread
 
 K1, B = 1.2, 0.75
 
@@ -26,7 +27,8 @@ def needle_terms(queries: DataFrame, needle: str = "needle", kind: str = "code")
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, kind: str = "code") -> DataFrame:
     """(id, terms): the lower-case tokens of each document."""
-    return docs.select(F.col(id_col).alias("id"), F.transform(X.tokens(F.col(text_col), kind), lambda w: F.lower(w)).alias("terms"))
+    texts = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    return texts.select(F.col("_id").alias("id"), F.transform(X.tokens(F.col("_text"), kind), lambda w: F.lower(w)).alias("terms"))
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,6 +26,19 @@ def let_workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is a scan of fewer partitions than there are cores.
+
+    A small table in one row group would keep one core busy; a table of many files
+    is left as it is, without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.isStreaming or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def build(master: str | None = None, app: str = "quarrydex", **conf: str) -> SparkSession:
     """A session with the engine's settings; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
