@@ -13,10 +13,8 @@
 5. Tasks return spanning links only; the components are joined up distributedly.
 
 A contract may fix what a fingerprint is (``near_duplicates``' defaults).  Where the
-aim is a similarity of word shingles, ``similar_texts`` uses fingerprints of the
-distinct words, which near copies change little, as the index's key with a wider
-limit, and every pair that the index finds is verified with MinHash sketches of
-five-word shingles before it counts as a link.
+aim is a similarity of word shingles, no limit on differing bits finds every pair, and
+``similar_texts`` takes its links from the exact join of ``near_copies`` instead.
 """
 
 from __future__ import annotations
@@ -30,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from . import near_copies
 from .common import materialize, prepare
 from .components import connected_components
 
@@ -37,8 +36,8 @@ from .components import connected_components
 ROUTE_LIMIT = 1 << 20
 #: Rows that a task gathers before it builds an index of the whole routes among them.
 HELD = 1 << 16
-#: Children per node of the index; pairs expanded, and pairs of sketches compared, at a time.
-FANOUT, FRONTIER, VERIFIED = 8, 1 << 18, 1 << 14
+#: Children per node of the index; pairs expanded at a time.
+FANOUT, FRONTIER = 8, 1 << 18
 SEED = 42
 
 
@@ -140,14 +139,8 @@ class GrayIndex:
         top = levels[-1]
         self.root = np.repeat(np.arange(len(top["end"])), top["end"] - top["start"])
 
-    def components(self, max_bits: int, sketches: np.ndarray | None = None, similarity: float = 0.0) -> np.ndarray:
-        """For each sorted fingerprint, the smallest position linked with it, directly or not.
-
-        With ``sketches`` (a row a sorted fingerprint) a pair is linked only if its
-        sketches agree in the share of samples that ``similarity`` makes likely.
-        """
-        # samples of different shingles agree by chance once in 256
-        agree = (similarity * 255 + 1) / 256
+    def components(self, max_bits: int) -> np.ndarray:
+        """For each sorted fingerprint, the smallest position linked with it, directly or not."""
         n, levels = len(self.fp), self.levels
         label = np.arange(n)
         for at in range(0, n, FRONTIER // 4):
@@ -168,10 +161,6 @@ class GrayIndex:
                 if not len(q):
                     continue
                 if k == 0:
-                    if sketches is not None:
-                        parts = range(0, len(q), VERIFIED)
-                        ok = np.concatenate([(sketches[q[c : c + VERIFIED]] == sketches[node[c : c + VERIFIED]]).mean(axis=1) >= agree for c in parts])
-                        q, node = q[ok], node[ok]
                     _unite(label, q, node)
                     continue
                 size = x["stop"][node] - x["child"][node]
@@ -195,7 +184,7 @@ def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _links(max_bits: int, similarity: float | None = None):
+def _links(max_bits: int):
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches hold whole routes in order; a route may go on in the next batch."""
         rest: list[pd.DataFrame] = []
@@ -204,10 +193,7 @@ def _links(max_bits: int, similarity: float | None = None):
         def found(pdf: pd.DataFrame) -> pd.DataFrame:
             new = (pdf["mask"].values[1:] != pdf["mask"].values[:-1]) | (pdf["value"].values[1:] != pdf["value"].values[:-1])
             index = GrayIndex(pdf["fp"].values.astype(np.int64).view(np.uint64), np.concatenate([[0], np.cumsum(new)]))
-            sketches = None
-            if similarity is not None:
-                sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)[index.order]
-            label, node = index.components(max_bits, sketches, similarity or 0.0), pdf["node"].values[index.order]
+            label, node = index.components(max_bits), pdf["node"].values[index.order]
             linked = np.flatnonzero(label != np.arange(len(label)))
             return pd.DataFrame({"a": node[linked], "b": node[label[linked]]})
 
@@ -280,41 +266,44 @@ def near_duplicates(
     and no component, and link nothing.  Other columns of ``docs`` are ignored.
     """
     fps = fingerprints(_texts(docs, id_col, text_col), "text", shingle).select("doc_id", "fp")
-    return _components(materialize(fps, "fps"), ["fp"], max_bits, route_limit, None).select("doc_id", "fp", "component_id")
 
+    def edges(nodes: DataFrame) -> DataFrame:
+        routed = _routes(nodes, max_bits, route_limit).repartition("mask", "value").sortWithinPartitions("mask", "value")
+        return routed.mapInPandas(_links(max_bits), "a long, b long")
 
-def similar_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, max_bits: int = 7, route_limit: int = 1 << 15
-) -> DataFrame:
+    return _components(materialize(fps, "fps"), "fp", edges).select("doc_id", "fp", "component_id")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, route_limit: int = near_copies.HELD) -> DataFrame:
     """One row per document: id and ``component_id``, linked by the similarity of their word shingles.
 
-    Texts whose fingerprints of distinct words differ in at most ``max_bits`` bits and
-    whose shingles' Jaccard similarity, as their sketches tell it, is at least
-    ``similarity`` are linked.  Nulls, blanks, repeated rows and ids as above.
+    All pairs of texts whose shingles' Jaccard similarity is at least ``similarity`` are
+    linked, as are texts of equal shingles; ``route_limit`` postings are paired at a time.
+    Nulls, blanks, repeated rows and ids as above.
     """
-    prepare(docs.sparkSession)
+    texts = _texts(docs, id_col, text_col)
+    marked = materialize(near_copies.keys(texts, shingle), "marks")
+    found = near_copies.links(texts.filter("doc_id IS NOT NULL"), shingle, similarity, route_limit)
 
-    @F.pandas_udf("fp long, sketch binary")
-    def marks(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"fp": np.array([_signed(distinct_words(t)) for t in texts], np.int64), "sketch": [sketch(t, shingle) for t in texts]})
+    def edges(nodes: DataFrame) -> DataFrame:
+        a, b = (nodes.select(F.col("key").alias(c), F.col("node").alias(f"node_{c}")) for c in "ab")
+        return found.join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    marked = _texts(docs, id_col, text_col).select("doc_id", marks(F.col("text").cast("binary")).alias("m")).select("doc_id", "m.fp", "m.sketch")
-    return _components(materialize(marked, "marks"), ["fp", "sketch"], max_bits, route_limit, similarity).select("doc_id", "component_id")
+    return _components(marked, "key", edges).select("doc_id", "component_id")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _components(fps: DataFrame, key: list[str], max_bits: int, route_limit: int, similarity: float | None) -> DataFrame:
+def _components(fps: DataFrame, key: str, links) -> DataFrame:
+    """``fps`` with ``component_id``; ``links`` gives (a, b) over nodes (key, node), the smallest ids of the keys."""
     known = fps.filter("doc_id IS NOT NULL")
-    nodes = materialize(known.groupBy(*key).agg(F.min("doc_id").alias("node")), "nodes")
-    routed = _routes(nodes, max_bits, route_limit).repartition("mask", "value").sortWithinPartitions("mask", "value")
-    edges = routed.mapInPandas(_links(max_bits, similarity), "a long, b long")
-    several = known.groupBy("doc_id").agg(F.count_distinct(*key).alias("n")).filter("n > 1").select("doc_id")
+    nodes = materialize(known.groupBy(key).agg(F.min("doc_id").alias("node")), "nodes")
+    several = known.groupBy("doc_id").agg(F.count_distinct(key).alias("n")).filter("n > 1").select("doc_id")
     own = known.join(several, "doc_id").join(nodes, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    comp = connected_components(edges.unionAll(own))
-    of_fp = nodes.join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("c"))
+    comp = connected_components(links(nodes).unionAll(own))
+    of_fp = nodes.join(comp, "node", "left").select(key, F.coalesce("component", "node").alias("c"))
     return fps.join(of_fp, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("c")))
 
 

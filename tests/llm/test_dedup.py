@@ -284,6 +284,35 @@ def test_similar_texts(spark):
     assert simhash.similar_texts(docs.limit(0)).count() == 0
 
 
+def brute_sets(text):
+    words = SPLIT.findall((text or "").lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_similar(rows, similarity=0.8):
+    """Component of each (id, text) over all pairs of texts of equal or similar sets."""
+    sets = [brute_sets(t) for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) > 0]
+    return dict(zip([r[0] for r in rows], closure([r[0] for r in rows], linked)))
+
+
+@pytest.mark.parametrize("inserted", [False, True])
+def test_similar_texts_with_blocks_of_new_words(spark, inserted):
+    """Copies with a block of new words appended or inserted are found at every similarity from 0.8 on."""
+    rng = random.Random(23)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows = []
+    for family in range(60):
+        base = [word() for _ in range(rng.choice([100, 200, 400]))]
+        share = (0.05, 0.1, 0.15, 0.2)[family % 4]
+        at = len(base) // 2 if inserted else len(base)
+        rows += [(2 * family, " ".join(base)), (2 * family + 1, " ".join(base[:at] + [word() for _ in range(int(share * len(base)))] + base[at:]))]
+    expect = brute_similar(rows)
+    assert sum(k != c for k, c in expect.items()) >= 45
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expect
+
+
 def test_sketch_estimates_similarity():
     rng = random.Random(1)
     for _ in range(20):
