@@ -6,8 +6,9 @@ containers it lies in.  Lines of page furniture, told by element, role or the wo
 of class and id, are marked.  The ratio of text to tags of every other line is
 smoothed with a Gaussian, and lines over the threshold form the content cluster.
 The cluster selects a *region* (the articles that hold content lines, or without
-articles the innermost container of most of the content), and every unmarked line
-of the region is kept whole, short ones too.
+articles the innermost container of all the content), and every unmarked line of
+the region is kept whole, short ones too; without articles, lines that are mostly
+links go where they follow each other or hold several links.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import prepare
 
 #: Reach and width of the smoothing in lines; threshold in standard deviations of the smoothed ratios.
 RADIUS, SIGMA, LEVEL = 2, 1.0, 0.5
-#: Share of the content that a container must hold to be the region, and of link characters that make a menu.
+#: Share of an outer article's text that its inner ones must hold to replace it, and of link characters that make a menu.
 SHARE, LINKS = 0.8, 0.5
 
 _words = lambda s: frozenset(s.split())
@@ -51,7 +52,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Lines(HTMLParser):
-    """Collects lines as [text pieces, tags, link characters, marked, path of containers]."""
+    """Collects lines as [text pieces, tags, link characters, marked, path of containers, links]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -61,7 +62,7 @@ class _Lines(HTMLParser):
         self.reset()
         self.lines: list[tuple] = []
         self.pieces: list[str] = []
-        self.tags = self.linked = self.silent = self.marked = self.articles = self.links = 0
+        self.tags = self.linked = self.silent = self.marked = self.articles = self.links = self.anchors = 0
         self.stack: list[tuple] = []  # (tag, silent, marked, article, container number)
         self.path: tuple[int, ...] = ()
         self.kinds: list[str] = []
@@ -70,9 +71,9 @@ class _Lines(HTMLParser):
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                self.lines.append((text, self.tags, self.linked, self.marked > 0, self.path))
+                self.lines.append((text, self.tags, self.linked, self.marked > 0, self.path, self.anchors))
                 self.tags = 0
-            self.pieces, self.linked = [], 0
+            self.pieces, self.linked, self.anchors = [], 0, 0
 
     def _mark(self, tag: str, attrs: list) -> bool:
         key = (tag, self.articles > 0, *attrs)
@@ -104,6 +105,7 @@ class _Lines(HTMLParser):
             if tag == "a":
                 self._close("a")
                 self.links += 1
+                self.anchors += 1
                 self.stack.append((tag, 0, 0, 0, -1))
             elif tag not in VOID:
                 mark = int(bool(attrs) and self._mark(tag, attrs))
@@ -216,12 +218,15 @@ def main_text(html: str | None, parser: _Lines | None = None) -> str:
         held = sum(s for x, s in zip(lines, size.tolist()) if inner & set(x[4]))
         region = inner if held >= SHARE * own else articles
         return " ".join(x[0] for x in lines if region & set(x[4]))
-    total, region, depth = float(np.where(content, size, 0.0).sum()), None, -1
+    total, region, depth = sum(x for x, c in zip(size.tolist(), content.tolist()) if c), None, -1
     for x in lines:
         for k, c in enumerate(x[4]):
-            if weight[c] >= SHARE * total and k > depth and total:
+            if weight[c] == total > 0 and k > depth:
                 region, depth = c, k
-    return " ".join(x[0] for x, m in zip(lines, menu.tolist()) if not m and (region is None or region in x[4]))
+    # a line that is one link may be a paragraph; links in a row are a menu
+    beside = np.concatenate([[False], menu[:-1]]) | np.concatenate([menu[1:], [False]])
+    row = menu & (beside | (np.fromiter((x[5] for x in lines), np.int64, len(lines)) > 1))
+    return " ".join(x[0] for x, m in zip(lines, row.tolist()) if not m and (region is None or region in x[4]))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -158,6 +158,17 @@ def test_parser_is_reusable():
     assert [html_extract.main_text(h, p) for h, _ in PAGES] == [t for _, t in PAGES]
 
 
+def test_pages_without_article_keep_all_content():
+    """A closing paragraph in a container of its own and a paragraph that is one link stay; a row of links goes."""
+    lines = [f"Paragraph {k} tells at some length what happened on the day in question." for k in range(9)]
+    close, link = "One closing paragraph tells how the whole long matter ended.", "The report that all of this rests on can be read here in full."
+    text = "".join(f"<p>{x}</p>" for x in lines)
+    html = f"<body><div id=post><div class=text>{text}</div><div class=more><p>{close}</p></div></div></body>"
+    assert html_extract.main_text(html) == " ".join([*lines, close])
+    html = f"<body><div id=post><p><a href=/r>{link}</a></p>{text}<ul><li><a href=/a>First</a><li><a href=/b>Second</a></ul></div></body>"
+    assert html_extract.main_text(html) == " ".join([link, *lines])
+
+
 def test_smooth():
     assert html_extract.smooth(np.array([1.0])).shape == (1,) and abs(html_extract.smooth(np.ones(20))[10] - 1) < 1e-12
 
