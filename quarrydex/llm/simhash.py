@@ -13,8 +13,9 @@
 5. Tasks return spanning links only; the components are joined up distributedly.
 
 A contract may fix what a fingerprint is (``near_duplicates``' defaults).  Where the
-aim is a similarity of word shingles, no limit on differing bits finds every pair, and
-``similar_texts`` takes its links from the exact join of ``near_copies`` instead.
+aim is a similarity of word shingles, no limit on differing bits finds every pair:
+``similar_texts`` verifies the pairs that this index finds, and the exact join of
+``near_copies`` adds those between the components that they leave.
 """
 
 from __future__ import annotations
@@ -54,45 +55,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         starts = np.concatenate([[0], ends[:-1] + 1])
         x = xxhash.xxh64_intdigest
         hashes = [x(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, dtype="<u8")
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(h), bitorder="little").view("<u8")[0])
-
-
-#: Sketches: samples of one byte each.
-SAMPLES = 128
-_MULTIPLY = np.random.default_rng(SEED).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def distinct_words(text: bytes | None) -> int:
-    """SimHash of a text's set of words; 0 without words."""
-    words = set((text or b"").lower().split())
-    if not words:
-        return 0
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype("<u8")
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(h), bitorder="little").view("<u8")[0])
-
-
-def sketch(text: bytes | None, shingle: int = 5) -> bytes:
-    """MinHash of a text's word shingles, a byte a sample; equal bytes estimate the Jaccard similarity."""
-    words = (text or b"").lower().split()
-    if not words:
-        return bytes(SAMPLES)
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
-    g = h
-    if len(h) > 1:
-        size = min(shingle, len(h))
-        g = np.zeros(len(h) - size + 1, np.uint64)
-        for k in range(size):
-            g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - size + 1 + k]
-    g = np.unique(g)
-    g = (g ^ (g >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    g ^= g >> np.uint64(33)
-    low = np.full(SAMPLES, ~np.uint64(0))
-    for at in range(0, len(g), 4096):
-        low = np.minimum(low, (g[at : at + 4096, None] * _MULTIPLY).min(axis=0))
-    return ((low * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return near_copies.majority(np.array(hashes, dtype="<u8"))
 
 
 def _signed(x: int) -> int:
@@ -188,7 +151,7 @@ def _links(max_bits: int):
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches hold whole routes in order; a route may go on in the next batch."""
         rest: list[pd.DataFrame] = []
-        held = 0
+        held, wait = 0, HELD
 
         def found(pdf: pd.DataFrame) -> pd.DataFrame:
             new = (pdf["mask"].values[1:] != pdf["mask"].values[:-1]) | (pdf["value"].values[1:] != pdf["value"].values[:-1])
@@ -202,15 +165,15 @@ def _links(max_bits: int):
                 continue
             rest.append(pdf)
             held += len(pdf)
-            if held < HELD:
+            if held < wait:
                 continue
             whole = pd.concat(rest, ignore_index=True)
             last = (whole["mask"] == whole["mask"].iloc[-1]) & (whole["value"] == whole["value"].iloc[-1])
             if last.all():
-                rest = [whole]
+                rest, wait = [whole], 2 * held  # a long route is put together ever more seldom
             else:
                 yield found(whole[~last])
-                rest = [whole[last]]
+                rest, wait = [whole[last]], HELD
             held = len(rest[0])
         if rest:
             yield found(pd.concat(rest, ignore_index=True))
@@ -267,29 +230,40 @@ def near_duplicates(
     """
     fps = fingerprints(_texts(docs, id_col, text_col), "text", shingle).select("doc_id", "fp")
 
-    def edges(nodes: DataFrame) -> DataFrame:
-        routed = _routes(nodes, max_bits, route_limit).repartition("mask", "value").sortWithinPartitions("mask", "value")
-        return routed.mapInPandas(_links(max_bits), "a long, b long")
-
-    return _components(materialize(fps, "fps"), "fp", edges).select("doc_id", "fp", "component_id")
+    return _components(materialize(fps, "fps"), "fp", lambda nodes: _fingerprint_links(nodes, max_bits, route_limit)).select("doc_id", "fp", "component_id")
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, route_limit: int = near_copies.HELD) -> DataFrame:
+def similar_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, max_bits: int = 7, route_limit: int = ROUTE_LIMIT, block: int = near_copies.BLOCK
+) -> DataFrame:
     """One row per document: id and ``component_id``, linked by the similarity of their word shingles.
 
     All pairs of texts whose shingles' Jaccard similarity is at least ``similarity`` are
-    linked, as are texts of equal shingles; ``route_limit`` postings are paired at a time.
-    Nulls, blanks, repeated rows and ids as above.
+    linked, as are texts of equal shingles.  The Gray-order index proposes pairs whose
+    SimHashes of distinct shingles differ in ``max_bits`` or fewer bits, an exact join the
+    rest; every pair is verified.  Nulls, blanks, repeated rows and ids as above.
     """
     texts = _texts(docs, id_col, text_col)
     marked = materialize(near_copies.keys(texts, shingle), "marks")
-    found = near_copies.links(texts.filter("doc_id IS NOT NULL"), shingle, similarity, route_limit)
+
+    def propose(nodes: DataFrame) -> DataFrame:
+        firsts = materialize(nodes.groupBy("fp").agg(F.min("key").alias("node")), "fps")
+        same = nodes.join(firsts, "fp").filter("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
+        return same.unionAll(_fingerprint_links(firsts, max_bits, route_limit))
+
+    found = near_copies.links(texts.filter("doc_id IS NOT NULL"), marked, shingle, similarity, propose, block)
 
     def edges(nodes: DataFrame) -> DataFrame:
         a, b = (nodes.select(F.col("key").alias(c), F.col("node").alias(f"node_{c}")) for c in "ab")
         return found.join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    return _components(marked, "key", edges).select("doc_id", "component_id")
+    return _components(marked.select("doc_id", "key"), "key", edges).select("doc_id", "component_id")
+
+
+def _fingerprint_links(nodes: DataFrame, max_bits: int, route_limit: int) -> DataFrame:
+    """(a, b): links between ``nodes`` (fp, node) that span the components of near fingerprints."""
+    routed = _routes(nodes.select("fp", "node"), max_bits, route_limit).repartition("mask", "value").sortWithinPartitions("mask", "value")
+    return routed.mapInPandas(_links(max_bits), "a long, b long")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarrydex.llm import components, embed_dedup, simhash, substring
+from quarrydex.llm import components, embed_dedup, near_copies, simhash, substring
 from quarrydex.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -278,8 +278,8 @@ def test_similar_texts(spark):
     rows += [(1000, None), (1001, " "), (1002, "two words"), (1003, "Two  words"), (1004, "one"), (None, rows[0][1]), (0, rows[0][1])]
     expect |= {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1002, 1004: 1004}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for limit in (1 << 15, 20):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs, route_limit=limit).collect()}
+    for limit, block in ((1 << 20, 1 << 12), (20, 2)):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs, route_limit=limit, block=block).collect()}
         assert got.pop(None) is None and got == expect
     assert simhash.similar_texts(docs.limit(0)).count() == 0
 
@@ -313,15 +313,42 @@ def test_similar_texts_with_blocks_of_new_words(spark, inserted):
     assert got == expect
 
 
-def test_sketch_estimates_similarity():
-    rng = random.Random(1)
-    for _ in range(20):
-        a = [f"w{rng.randrange(10**6)}" for _ in range(400)]
-        b = list(a)
-        for _ in range(rng.randint(0, 40)):
-            b[rng.randrange(400)] = "x"
-        s = [{tuple(x[i : i + 5]) for i in range(396)} for x in (a, b)]
-        truth = len(s[0] & s[1]) / len(s[0] | s[1])
-        x, y = (np.frombuffer(simhash.sketch(" ".join(t).encode()), np.uint8) for t in (a, b))
-        assert abs((x == y).mean() - truth) < 0.17
-    assert simhash.sketch(None) == simhash.sketch(b" ") == bytes(simhash.SAMPLES) and simhash.distinct_words(b"") == 0
+@pytest.mark.parametrize(("words", "block"), [(10, 4096), (80, 4096), (600, 4096), (120, 3)])
+def test_similar_texts_at_every_length(spark, words, block):
+    """Edits of every kind around the limit, a passage that all texts share, a chain; equal to brute force."""
+    rng = random.Random(words + block)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage = [word() for _ in range(words // 3)]
+    rows = []
+    for family in range(20):
+        base = [word() for _ in range(words)] + passage
+        for copy in range(5):
+            edited = list(base)
+            for _ in range(rng.randint(0, max(1, words // 20))):
+                at = rng.randrange(len(edited))
+                edited[at : at + 1] = [[word()], [], [edited[at], word()]][rng.randrange(3)]
+            rows.append((5 * family + copy, " ".join(edited)))
+            base = edited if family % 2 else base
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert got == brute_similar(rows) and 0 < sum(k != c for k, c in got.items()) < len(got)
+
+
+def test_join_needs_no_fingerprints(spark):
+    """Without a fingerprint link the join finds the same pairs; a very long text and repeats of one word too."""
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:30_000] + ["new"] * 3_000 + long[30_000:])), (3, " ".join(long[20_000:])), (4, "x " * 50_000), (5, "x " * 9), (6, "a b c d e f"), (7, "a b c d e f g"), (7, "a b c d e f g h"), (None, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expect = {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, None: None}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()} == expect
+    marks = near_copies.keys(docs, 5)
+    found = near_copies.links(docs.filter("doc_id < 4"), marks, 5, 0.8, lambda nodes: nodes.selectExpr("key AS a", "key AS b").limit(0))
+    assert found.count() == 1
+
+
+def test_majority():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 1000, 70_000):
+        h = rng.integers(0, 2**64, n, np.uint64)
+        assert near_copies.majority(h) == sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > n)
+    assert near_copies.majority(np.zeros(0, np.uint64)) == 0
