@@ -169,6 +169,82 @@ def test_pages_without_article_keep_all_content():
     assert html_extract.main_text(html) == " ".join([link, *lines])
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<![foo[x]]><p>y", "y"), ("<p>a<![CDATA[ b ]]>c", "ac"), ("<!x><p>y</p", "y"), ("<p>a</p><![if", "a"), ("<!-- never closed <p>a", ""), ("<p>a<b c='>d", "a"), ("a < b & c", "a < b & c"), ("</div></p></b>x", "x"), ("<p>a &#xFFFFFFF; &nope; &#0;", "a \ufffd &nope; \ufffd"),
+])
+def test_broken_pages(html, text):
+    assert html_extract.main_text(html) == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "</", "<!", "<![", "]]>", "<!--", "-->", "<?", "&#", ";", "'", '"', "=", "a", " ", "div", "p", "article", "<div>", "</div>", "<p class=ad>", "<a>", "</a>", "<b hidden>", "<li>", "<td>", "</td>", "<main>", "word", "\n", "<script>", "</script>"]), max_size=40))
+def test_no_markup_breaks_it(parts):
+    text = html_extract.main_text("".join(parts))
+    assert text == " ".join(text.split())
+
+
+@pytest.mark.parametrize("page", [
+    "<div>word " * 20_000, "<b>word " * 20_000, "<article>" + "<div>word " * 20_000 + "</div>" * 20_000, "<blockquote>word</p></li></td>" * 20_000, "<form>" + "<div>" * 5000 + "<article>x</article>word<article>y</article>" * 5000,
+    "<div class=ad-foo>word " * 20_000, "<ul><li>word" * 20_000, "<p>word" * 40_000, "<b>" * 20_000 + "<div>word</div>" * 20_000,
+], ids=range(9))
+def test_nesting_is_linear(page):
+    import time
+
+    began = time.process_time()
+    text = html_extract.main_text(page)
+    assert time.process_time() - began < 8 and ("word" in text or page.startswith("<form"))  # a form is furniture
+
+
+def test_names_that_only_look_like_furniture():
+    body = "".join(f"<p>Sentence {k} says something of a certain length about the matter.</p>" for k in range(6))
+    page = f"<article><h1>Title</h1>{body}<section class='related-work'><h2 id='comments-on-method'>On method</h2>{body}</section><p id='social-impact'>Impact.</p><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><div class='share-buttons'>Share</div><div id='comments-area'>{body}</div></article>"
+    text = html_extract.main_text(page)
+    assert text.startswith("Title Sentence 0") and "On method Sentence 0" in text and "Impact. Where x=2 holds." in text
+    assert "Share" not in text and text.count("Sentence 0") == 2 and text.endswith("holds.")
+
+
+def layout(rng, kind):
+    """A page without article or main elements: (html, content lines, furniture lines)."""
+    word = lambda: rng.choice("alpha beta gamma delta omega sigma kappa lambda theta".split())
+    line = lambda n: " ".join(f"{word()}{rng.randrange(10**6)}" for _ in range(n))
+    text = [line(rng.randint(12, 60)) for _ in range(rng.randint(5, 14))]
+    short = [line(2) for _ in range(3)]
+    good = [*text[:3], short[0], *text[3:], short[1]]
+    bad = [line(rng.randint(1, 3)) for _ in range(12)]
+    links = lambda rows: "".join(f"<li><a href=/x>{x}</a></li>" for x in rows)
+    body = "".join(f"<h3>{x}</h3>" if x in short else f"<p>{x}</p>" for x in good)
+    if kind == 0:  # columns of a table, furniture without names
+        html = f"<table><tr><td><ul>{links(bad[:5])}</ul></td><td>{body}</td><td><div>{bad[5]}</div><div>{bad[6]}</div><ul>{links(bad[7:])}</ul></td></tr></table>"
+    elif kind == 1:  # plain divs
+        html = f"<div><div><span>{bad[0]}</span></div><ul>{links(bad[1:5])}</ul></div><div>{body}</div><div>" + "".join(f"<div><i>{x}</i></div>" for x in bad[5:]) + "</div>"
+    elif kind == 2:  # content in two containers, names for the furniture
+        half = "".join(f"<div><p>{x}</p></div>" for x in good)
+        html = f"<div class=nav-bar>{bad[0]}</div><div>{half}</div><div class='widget-area'><ul>{links(bad[1:])}</ul></div>"
+    else:  # line breaks instead of paragraphs, font tags around
+        html = f"<center><font><b>{bad[0]}</b> <a href=/>{bad[1]}</a></font></center><div><ul>{links(bad[2:8])}</ul></div><div>{'<br>'.join(good)}</div><div><ul>{links(bad[8:])}</ul></div>"
+    return f"<html><head><title>x</title></head><body>{html}</body></html>", good, bad
+
+
+def quality_of_lines(monkeypatch=None, level=None):
+    if level is not None:
+        monkeypatch.setattr(html_extract, "LEVEL", level)
+    rng, kept, lost, wrong = random.Random(5), 0, 0, 0
+    for k in range(80):
+        html, good, bad = layout(rng, k % 4)
+        text = html_extract.main_text(html)
+        kept += sum(x in text for x in good)
+        lost += sum(x not in text for x in good)
+        wrong += sum(x in text for x in bad)
+    return kept / (kept + lost), kept / (kept + wrong)
+
+
+def test_ratios_select_the_content(monkeypatch):
+    """Recall and precision of lines on layouts without article elements; without the threshold precision falls."""
+    recall, precision = quality_of_lines()
+    assert recall > 0.99 and precision > 0.97
+    assert quality_of_lines(monkeypatch, -1e9)[1] < precision - 0.03
+
+
 def test_smooth():
     assert html_extract.smooth(np.array([1.0])).shape == (1,) and abs(html_extract.smooth(np.ones(20))[10] - 1) < 1e-12
 
