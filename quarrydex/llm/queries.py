@@ -45,7 +45,8 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.apply_lists(url_filter.dated(table(spark, sf_dir, "pages")), url_filter.list_events(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.apply_lists(url_filter.dated(pages), url_filter.list_events(pages))
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

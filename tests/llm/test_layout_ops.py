@@ -178,5 +178,34 @@ def test_lists(spark):
     got = url_filter.apply_lists(captures, lists).collect()
     assert len(got) == len(rows)
     assert sorted((str(r["page_id"]), r["rules"], r["n_rules"], r["blocked"]) for r in got) == sorted((str(i), " ".join(b), len(b), bool(b)) for i, u, t in rows for b in [brute_rules(u, t, events)])
+    short = url_filter.apply_lists(captures, lists, part=2).collect()
+    assert sorted((str(r["page_id"]), r["rules"]) for r in short) == sorted((str(r["page_id"]), r["rules"]) for r in got)
     assert url_filter.apply_lists(captures.limit(0), lists).count() == 0
     assert url_filter.apply_lists(captures, lists.limit(0)).filter("blocked").count() == 0
+
+
+def test_odd_captures(spark):
+    """Very long paths and hosts, wild fetch times, a listed path that is long itself; no look-up is lost."""
+    import time
+
+    deep = "/".join(f"s{i}" for i in range(60))
+    events = [("prefix", f"a.com/{deep}", "add", 5), ("domain", "a.com", "add", 10), ("domain", "a.com", "remove", 20), ("domain", "a.com", "add", 10**12), ("host", "b.org", "remove", 1)]
+    rows = [(1, "http://a.com/" + "x/" * 20_000, 15), (2, f"http://x.a.com/{deep}/t", 20), (3, f"http://www.a.com/{deep}/t", -(10**14)), (4, f"http://a.com/{deep}", 10**15), (5, "http://" + "a." * 20_000 + "com", 19), (6, "http://b.org", 3), (6, "http://b.org", 3)]
+    began = time.time()
+    got = url_filter.apply_lists(spark.createDataFrame(rows, "page_id long, url string, fetched_at long"), spark.createDataFrame(events, "kind string, pattern string, action string, at long")).collect()
+    assert time.time() - began < 60
+    assert sorted((r["page_id"], r["rules"]) for r in got) == [(1, "domain:a.com"), (2, ""), (3, ""), (4, f"domain:a.com prefix:a.com/{deep}"), (5, "domain:a.com"), (6, ""), (6, "")]
+
+
+def test_op7_meets_its_lists(spark):
+    """The lists follow the pages at every size; entries begin and end among the captures."""
+    got = QUERIES["op7_url_filter"](spark, "/root/testdata/sf0.01").collect()
+    assert 0.2 < sum(r["blocked"] for r in got) / len(got) < 0.95
+    rules = {x.split(":")[0] for r in got for x in r["rules"].split()}
+    assert rules == {"host", "domain", "prefix"}
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    events = [tuple(r) for r in url_filter.list_events(pages).select("kind", "pattern", "action", "at").collect()]
+    for r in got[:60]:
+        assert r["rules"].split() == brute_rules(r["url"], r["fetched_at"], events)
+    hot = sorted((r["fetched_at"], "domain:example.com" in r["rules"].split()) for r in got if r["host"].endswith("example.com"))
+    assert sum(a[1] != b[1] for a, b in zip(hot, hot[1:])) > 10
