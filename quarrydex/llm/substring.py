@@ -3,17 +3,18 @@
 1. *Sample* (map side): of the eight-word phrases in every 50-word window the one
    with the smallest hash is the window's anchor.  Equal windows have equal
    anchors, so one distinct anchor in about twenty words is enough to meet them.
-2. *Confirm*: anchors are counted over documents; one that lies in two documents
-   recurs, and comes back with its first and last document.
-3. *Compile and stream*: every partition of documents is a shard.  Its batches
-   compile the phrases of their documents' recurring anchors, read from the texts
-   themselves, into an Aho-Corasick automaton over word codes, and stream the
-   batch's documents through it to locate every occurrence.  The automaton holds
-   no more phrases than the batch has words, whatever the corpus holds.
-4. *Resolve*: windows whose anchor is such an occurrence meet by 128-bit hash; the smallest
-   document of each is its first.  Windows of an anchor's last document can't be
+2. *Confirm*: anchors are counted over documents; a phrase that lies in two documents
+   recurs.  Phrases travel as the codes of their words, without any position.
+3. *Compile*: documents fall into shards of bounded size.  Each shard's confirmed
+   phrases, with the first and last document of each, become an Aho-Corasick
+   automaton over word codes; it holds no more phrases than the shard has words,
+   whatever the corpus holds.
+4. *Stream*: all documents of the shard run through the automaton, and what it reports
+   is all that tells where confirmed phrases stand.
+5. *Resolve*: windows whose anchor is such an occurrence meet by 128-bit hash; the smallest
+   document of each is its first.  Windows of a phrase's last document can't be
    anyone's first, those of its first can't be removed; neither is sent.
-5. *Remove*: words covered by windows whose first document is smaller.
+6. *Remove*: words covered by windows whose first document is smaller.
 
 Whole copies of a text are settled by text hash before step 1's anchors are counted,
 so a group of thousands of copies costs one document.
@@ -35,7 +36,7 @@ from .common import discard, materialize, prepare
 
 #: Words of a window and of an anchor phrase.
 WINDOW, PHRASE = 50, 8
-#: Words that one automaton's documents may have together (memory of a task).
+#: Words that the documents of a shard have together, on average (memory of a task).
 SHARD_WORDS = 1 << 18
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _U = np.uint64
@@ -79,13 +80,19 @@ def anchor_runs(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarra
     return start, start + np.argmin(g[start[:, None] + np.arange(span)], axis=1), len(low)
 
 
-def anchors(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchor hashes of a document's windows and where one of each starts."""
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """16 bits of each word; phrases whose codes agree by chance only cost a look at their windows."""
+    return (np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), "<u8") >> _U(48)).astype(np.uint16)
+
+
+def anchors(words: list[bytes], window: int, phrase: int) -> np.ndarray:
+    """Distinct anchors of a document's windows: a row each, of two numbers that hold the phrase's codes."""
     if len(words) < window:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
-    at = anchor_runs(words, window, phrase)[1]
-    value, first = np.unique(_phrases(words, phrase)[at], return_index=True)
-    return value.view(np.int64), at[first].astype(np.int32)
+        return np.empty((0, 2), np.int64)
+    at = np.unique(anchor_runs(words, window, phrase)[1])
+    codes = np.zeros((len(at), 8), "<u2")
+    codes[:, :phrase] = word_codes(words)[at[:, None] + np.arange(phrase)]
+    return np.unique(codes.view("<i8").reshape(-1, 2), axis=0)
 
 
 def window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,56 +106,48 @@ def _sample(window: int, phrase: int):
             rows = []
             for text in pdf["text"]:
                 words = text.split()
-                value, at = anchors(words, window, phrase)
-                rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), value, at))
-            n, sha, value, at = zip(*rows) if rows else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tkey": pdf["tkey"], "th": pdf["th"], "n_words": n, "sha": sha, "anchor": value, "at": at})
+                found = anchors(words, window, phrase)
+                rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), found[:, 0], found[:, 1]))
+            n, sha, p, q = zip(*rows) if rows else ((), (), (), ())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tkey": pdf["tkey"], "th": pdf["th"], "n_words": n, "sha": sha, "p": p, "q": q})
 
     return sample
 
 
+def compile_phrases(confirmed: pd.DataFrame, phrase: int) -> ahocorasick.Automaton:
+    """The automaton of phrases (p, q); each reports its row's number."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    codes = np.ascontiguousarray(confirmed[["p", "q"]].to_numpy(np.int64)).view("<u2").reshape(-1, 8)[:, :phrase]
+    for k, c in enumerate(codes.tolist()):
+        automaton.add_word(tuple(c), k)
+    automaton.make_automaton()
+    return automaton
+
+
 def _locate(window: int, phrase: int):
-    def one(shard: list[tuple]) -> pd.DataFrame:
-        """A shard's documents through the automaton of their recurring phrases."""
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        limits: list[tuple] = []
-        codes = []
-        for _, _, _, words, at, first, last in shard:
-            c = (np.frombuffer(b"".join(map(xxhash.xxh32_digest, words)), ">u4")).tolist()
-            codes.append(tuple(c))
-            for p, x, y in zip(at, first, last):
-                automaton.add_word(codes[-1][p : p + phrase], len(limits))
-                limits.append((x, y))
-        automaton.make_automaton()
+    def locate(docs: pd.DataFrame, confirmed: pd.DataFrame) -> pd.DataFrame:
+        """A shard's documents through the automaton of its confirmed phrases."""
         out = []
-        for (doc_id, tkey, text, words, _, _, _), c in zip(shard, codes):
-            # an occurrence is a source if a later document has its phrase, a target if an earlier one has it
-            use = np.zeros(len(words) - phrase + 1, np.int8)
-            for end, k in automaton.iter(c):
-                x, y = limits[k]
-                use[end - phrase + 1] = (doc_id < y) + 2 * (doc_id > x)
-            begin, at, n = anchor_runs(words, window, phrase)
-            use = np.repeat(use[at], np.diff(np.append(begin, n)))
-            source, target = use & 1 > 0, use & 2 > 0
-            start = np.flatnonzero(source | target)
-            if len(start):
-                h1, h2 = window_hashes(words, window)
-                out.append((doc_id, tkey, text if target.any() else None, start.astype(np.int32), h1[start], h2[start], use[start].astype(np.int32)))
-        return pd.DataFrame(out, columns=["doc_id", "tkey", "text", "start", "h1", "h2", "use"])
-
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            shard, size = [], 0
-            for doc_id, tkey, text, found in zip(pdf["doc_id"], pdf["tkey"], pdf["text"], pdf["found"]):
+        if len(docs) and len(confirmed):
+            automaton = compile_phrases(confirmed, phrase)
+            first, last = confirmed["first"].tolist(), confirmed["last"].tolist()
+            for doc_id, tkey, text in zip(docs["doc_id"].tolist(), docs["tkey"].tolist(), docs["text"]):
                 words = text.split()
-                at, first, last = zip(*((f["at"], f["first"], f["last"]) for f in found))
-                shard.append((doc_id, tkey, text, words, at, first, last))
-                size += len(words)
-                if size >= SHARD_WORDS:
-                    yield one(shard)
-                    shard, size = [], 0
-            if shard:
-                yield one(shard)
+                if len(words) < window:
+                    continue
+                # an occurrence is a source if a later document has its phrase, a target if an earlier one has it
+                use = np.zeros(len(words), np.int8)
+                for end, k in automaton.iter(tuple(word_codes(words).tolist())):
+                    use[end - phrase + 1] = (doc_id < last[k]) + 2 * (doc_id > first[k])
+                if not use.any():
+                    continue
+                begin, at, n = anchor_runs(words, window, phrase)
+                use = np.repeat(use[at], np.diff(np.append(begin, n)))
+                start = np.flatnonzero(use)
+                if len(start):
+                    h1, h2 = window_hashes(words, window)
+                    out.append((doc_id, tkey, text if (use & 2).any() else None, start.astype(np.int32), h1[start], h2[start], use[start].astype(np.int32)))
+        return pd.DataFrame(out, columns=["doc_id", "tkey", "text", "start", "h1", "h2", "use"])
 
     return locate
 
@@ -191,8 +190,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nothing.  Repeated rows and several texts of one id never remove each other.
     """
     keyed, _ = _keyed(docs, id_col, text_col)
+    if not 1 <= phrase <= min(8, window):
+        raise ValueError("phrase must be from 1 to 8 words, and no longer than the window")
     sampled = materialize(
-        keyed.withColumn("th", F.unhex(F.sha2("text", 256))).mapInPandas(_sample(window, phrase), "doc_id long, tkey long, th binary, n_words long, sha string, anchor array<long>, at array<int>"),
+        keyed.withColumn("th", F.unhex(F.sha2("text", 256))).mapInPandas(_sample(window, phrase), "doc_id long, tkey long, th binary, n_words long, sha string, p array<long>, q array<long>"),
         "anchors",
     )
     known = sampled.filter("doc_id IS NOT NULL")
@@ -201,12 +202,15 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = materialize(each.join(firsts, "th", "left").select("doc_id", "tkey", "n_words", "sha", "first_id"), "each")
 
     # one document stands for all that have its text
-    alone = known.join(each.filter("first_id = doc_id AND n_words >= %d" % window).select("doc_id", "tkey").distinct(), ["doc_id", "tkey"], "left_semi")
-    placed = alone.select("doc_id", "tkey", F.explode(F.arrays_zip("anchor", "at")).alias("x")).select("doc_id", "tkey", "x.anchor", "x.at")
-    recurring = placed.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    found = placed.join(recurring, "anchor").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("at", "first", "last")).alias("found"))
+    alone = each.filter("first_id = doc_id AND n_words >= %d" % window).select("doc_id", "tkey").distinct()
+    shards = max(1, -(-(each.agg(F.sum("n_words")).first()[0] or 0) // SHARD_WORDS))
+    shard = F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(shards)).alias("shard")
+    placed = known.join(alone, ["doc_id", "tkey"], "left_semi").select("doc_id", shard, F.explode(F.arrays_zip("p", "q")).alias("x")).select("doc_id", "shard", "x.p", "x.q")
+    recurring = placed.groupBy("p", "q").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    confirmed = placed.select("shard", "p", "q").distinct().join(recurring, ["p", "q"])
+    texts = keyed.filter("doc_id IS NOT NULL").join(alone, ["doc_id", "tkey"], "left_semi").select("doc_id", "tkey", "text", shard)
     located = materialize(
-        keyed.filter("doc_id IS NOT NULL").join(found, ["doc_id", "tkey"]).mapInPandas(_locate(window, phrase), "doc_id long, tkey long, text binary, start array<int>, h1 array<long>, h2 array<long>, use array<int>"),
+        texts.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInPandas(_locate(window, phrase), "doc_id long, tkey long, text binary, start array<int>, h1 array<long>, h2 array<long>, use array<int>"),
         "located",
     )
     discard(sampled)

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -179,6 +180,26 @@ def test_shards_do_not_matter(spark, monkeypatch):
     assert got == brute_passages(docs)
 
 
+def test_automata_find_the_passages(spark, monkeypatch):
+    """Without the automata's reports nothing is found; a report names a phrase wherever it stands."""
+    words = [b"w%d" % (i % 7) for i in range(80)]
+    row = substring.anchors(words, 50, 8)
+    automaton = substring.compile_phrases(pd.DataFrame(row, columns=["p", "q"]), 8)
+    codes = substring.word_codes(words).tolist()
+    phrases = [tuple(c) for c in row.view("<u2").reshape(-1, 8).tolist()]
+    assert sorted((e - 7, k) for e, k in automaton.iter(tuple(codes))) == [(i, phrases.index(tuple(codes[i : i + 8]))) for i in range(73) if tuple(codes[i : i + 8]) in phrases]
+    docs = spark.createDataFrame(sample_texts(4), "doc_id long, text string")
+    assert substring.digest(docs).filter("n_removed > 0").count() > 5
+
+    class Dumb(list):
+        def iter(self, codes):
+            return []
+
+    monkeypatch.setattr(substring, "compile_phrases", lambda confirmed, phrase: Dumb())
+    each, parts = substring.find_repeats(docs)
+    assert parts.count() == 0
+
+
 def test_remove_repeats(spark):
     long = " ".join(f"w{i}" for i in range(80))
     rows = [(1, f"start\n{long} end", "x"), (2, f"other {long} tail", "y"), (3, long, None), (4, "short  text", "z"), (5, None, "n"), (None, long, "i"), (4, "short  text", "z")]
