@@ -21,6 +21,8 @@ from .common import WORD_SEPARATORS, materialize
 SHARDS, SEED, MOST_PASSES = 16, 6, 3
 #: Rows of a block, and blocks that a source has at most.
 BLOCK_ROWS, MOST_BLOCKS = 64, 1 << 16
+#: Tasks that shuffle one output shard.
+PIECES = 4
 #: Single rows that may bring a source nearer to its target in the end.
 NEAREST = 6
 
@@ -122,16 +124,17 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
 def plan(
     rows: DataFrame, *, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS, most: int = MOST_PASSES
 ) -> DataFrame:
-    """``rows`` (row, doc_id, source, size, ...) with ``source_size``, ``target``, ``copies`` and ``shards``.
+    """``rows`` (row, doc_id, source, size, content, ...) with ``source_size``, ``target``, ``copies`` and ``shards``.
 
     ``shards`` lists the output shard of each copy.  Sources of no words have target
-    0 and no copies.  ``row`` only settles the order of rows that are equal otherwise.
+    0 and no copies.  ``content`` is a hash of the text; ``row`` only settles the order of
+    rows of equal source, id and text, so no result depends on how the rows are stored.
     """
     by_source = materialize(targets(rows, most), "targets")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n_rows") / block_rows)).cast("int")
     source = by_source.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("blocks", blocks)
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
+    key = F.xxhash64(F.lit(seed), "doc_id", "size", "content")
     source = source.withColumnRenamed("source", "_source")
     placed = rows.join(source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("key", key)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
@@ -144,26 +147,27 @@ def plan(
         .withColumn("room", F.col("rest") - (F.col("upto") - F.col("words"))),
         "blocks",
     )
-    # the block at the edge: its rows in permuted order while they fit, then the largest that fit, last the one that comes nearest
-    edge = placed.select("rank", "block", "row", "size", "doc_id", "key").join(block.filter("edge AND room > 0").select("rank", "block", "room"), ["rank", "block"])
+    # the block at the edge: its rows in permuted order while they fit, then the largest that fit, last the one that
+    # comes nearest; a row may be taken again while it isn't over its most passes
+    edge = placed.select("rank", "block", "row", "size", "doc_id", "key", "passes").join(block.filter("edge AND room > 0").select("rank", "block", "room"), ["rank", "block"])
     order = Window.partitionBy("rank").orderBy("key", "doc_id", "row")
-    edge = edge.withColumn("fits", F.sum("size").over(order) <= F.col("room"))
+    edge = edge.withColumn("took", F.when(F.sum("size").over(order) <= F.col("room"), 1).otherwise(0))
     for k in range(NEAREST):
-        left = F.col("room") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(Window.partitionBy("rank"))
-        edge = edge.withColumn("left", left).withColumn("miss", F.abs(F.col("size") - F.col("left")))
+        left = F.col("room") - F.sum(F.col("size") * F.col("took")).over(Window.partitionBy("rank"))
+        edge = edge.withColumn("left", left).withColumn("miss", F.abs(F.col("size") - F.col("left"))).withColumn("full", F.col("took") + F.col("passes") >= most)
         over = F.col("size") > F.col("left") if k + 1 < NEAREST else F.lit(False)
-        best = F.row_number().over(Window.partitionBy("rank").orderBy("fits", over, "miss", "key", "doc_id", "row"))
-        edge = edge.withColumn("over", over).withColumn("best", best).withColumn("fits", F.expr("fits OR (best = 1 AND NOT over AND miss < abs(left))"))
-    extra = edge.filter("fits").select("row", F.lit(1).alias("extra"))
+        best = F.row_number().over(Window.partitionBy("rank").orderBy("full", over, "miss", "key", "doc_id", "row"))
+        edge = edge.withColumn("over", over).withColumn("best", best).withColumn("took", F.expr("took + if(best = 1 AND NOT full AND NOT over AND miss < abs(left), 1, 0)"))
+    extra = edge.filter("took > 0").select("row", F.col("took").alias("extra"))
 
     used = F.when(F.col("whole"), 1).otherwise(0)
     quota = block.groupBy("rank", "passes").agg((F.count("*") * F.col("passes") + F.sum(used) + F.max(F.when(F.col("edge"), 1).otherwise(0))).alias("quota"), F.count("*").alias("n_blocks"))
     quota = materialize(quota.join(shard_quotas(quota.select("rank", "quota"), shards, seed), "rank").select("rank", "starts", "n_blocks"), "quotas")
     spot = block.select("rank", "block", "place", "whole").join(quota, "rank")
     out = placed.join(spot, ["rank", "block"]).join(extra, "row", "left").withColumn("copies", F.col("passes") + F.when(F.col("whole"), 1).otherwise(F.coalesce("extra", F.lit(0))))
-    # copy c of a row is item c * n_blocks + place of its source's permuted blocks
-    shard = "transform(filter(sequence(0, greatest(copies, 1) - 1), c -> c < copies), c -> cast(size(filter(starts, s -> s <= c * n_blocks + place)) - 1 as int))"
-    extra_columns = [c for c in rows.columns if c not in ("row", "doc_id", "source", "size")]
+    # copy c of a row is item c * n_blocks + place of its source's permuted blocks; copies at the edge beyond the first go with it
+    shard = "transform(filter(sequence(0, greatest(copies, 1) - 1), c -> c < copies), c -> cast(size(filter(starts, s -> s <= least(c, passes) * n_blocks + place)) - 1 as int))"
+    extra_columns = [c for c in rows.columns if c not in ("row", "doc_id", "source", "size", "content")]
     return out.select("row", "doc_id", "source", "size", *extra_columns, "source_size", "target", "copies", F.expr(shard).alias("shards"), "key")
 
 
@@ -174,22 +178,27 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     source is a source of its own.  Repeated rows are separate rows.  Every row of
     ``docs`` gives one row.
     """
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")), "sizes")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("content")), "sizes")
     out = plan(rows, **options)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "shards")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, shards: int = SHARDS, pieces: int = PIECES, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` once per copy taken, with ``shard`` and ``slot``.
 
-    ``slot`` orders a shard's rows at random; every shard is shuffled by itself.
+    ``slot`` orders a shard's rows at random; every shard is shuffled by itself.  The
+    rows come laid out: a task holds one of a shard's ``pieces`` in order of its slots, so
+    that files written from the result are shuffled too.  Null texts, null sources
+    and repeated rows as above; columns named ``shard`` or ``slot`` are replaced.
     """
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
     whole = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*keep).alias("_r")), "mixed")
-    slim = whole.select("row", F.col(f"_r.{id_col}").alias("doc_id"), F.col(f"_r.{source_col}").alias("source"), word_count(F.col(f"_r.{text_col}")).alias("size"))
+    slim = whole.select("row", F.col(f"_r.{id_col}").alias("doc_id"), F.col(f"_r.{source_col}").alias("source"), word_count(F.col(f"_r.{text_col}")).alias("size"), F.xxhash64(f"_r.{text_col}").alias("content"))
     chosen = plan(materialize(slim, "sizes"), shards=shards, seed=seed).filter("copies > 0").select("row", "key", "shards")
     each = whole.join(chosen, "row").select("_r", "key", "row", F.posexplode("shards").alias("_copy", "shard"))
-    return each.select("_r.*", "shard", F.xxhash64(F.lit(seed), "shard", "key", "row", "_copy").alias("slot"))
+    placed = each.select("_r.*", "shard", F.xxhash64(F.lit(seed), "shard", "key", "_copy").alias("slot"))
+    piece = F.pmod("slot", F.lit(pieces)).cast("int") + F.col("shard") * pieces
+    return placed.repartitionById(shards * pieces, piece).sortWithinPartitions("shard", "slot")
 
 
 def source_targets(docs: DataFrame) -> DataFrame:
