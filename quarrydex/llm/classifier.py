@@ -5,9 +5,9 @@ over the root of their number.  One weight vector is shared by all grades; order
 thresholds cut the score: P(grade <= k) = sigmoid(threshold_k - score).  From them
 come the expected grade and tail probabilities P(grade >= k) that select documents.
 
-The model is fitted on at most ``SAMPLE`` rated documents, drawn by hash of the id;
-features are made on the executors and only their numbers reach the driver.  Every
-document is scored in whole.
+The model is fitted on at most ``SAMPLE`` rated documents and ``SAMPLE_BYTES`` of their
+features, drawn by hash of the id; features are made on the executors and only their
+numbers reach the driver.  Every document is scored in whole.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import prepare
+from .common import materialize, prepare
 
+#: Bytes of features that the fit takes at most.
+SAMPLE_BYTES = 128 << 20
 #: Rated documents that the fit takes at most; hashed features; passes over the sample.
 SAMPLE, BITS, PASSES, RATE = 16384, 18, 60, 0.5
 #: Documents whose features are laid out at a time in a fit.
@@ -79,27 +82,36 @@ class OrdinalModel:
         return _sigmoid(np.asarray(score)[:, None] - self.thresholds[None, :])
 
 
+def slopes(w: np.ndarray, th: np.ndarray, features: list[np.ndarray], grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of ``grades``, and its slopes in the weights and thresholds."""
+    n, cuts = len(features), len(th)
+    loss, g, gt = 0.0, np.zeros(len(w)), np.zeros(cuts)
+    for at in range(0, n, BLOCK):  # blocks of documents keep the driver's memory small
+        part, y = features[at : at + BLOCK], grades[at : at + BLOCK]
+        long = np.fromiter(map(len, part), np.int64, len(part))
+        row, col, scale = np.repeat(np.arange(len(part)), long), np.concatenate(part), 1 / np.sqrt(long + 1)
+        s = np.bincount(row, weights=w[col], minlength=len(part)) * scale
+        first, last = y == 0, y == cuts
+        lo = np.where(first, 0.0, _sigmoid(th[np.maximum(y - 1, 0)] - s))
+        hi = np.where(last, 1.0, _sigmoid(th[np.minimum(y, cuts - 1)] - s))
+        p = np.maximum(hi - lo, 1e-9)
+        loss -= float(np.log(p).sum()) / n
+        dlo, dhi = lo * (1 - lo) * ~first / p, hi * (1 - hi) * ~last / p
+        g += np.bincount(col, weights=((dhi - dlo) * scale / n)[row], minlength=len(w))
+        gt += [(dlo[y == k + 1].sum() - dhi[y == k].sum()) / n for k in range(cuts)]
+    return loss, g, gt
+
+
 def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, passes: int = PASSES, rate: float = RATE) -> OrdinalModel:
     """Maximum likelihood by adaptive gradient steps; without ratings every grade's tail is near one."""
-    size, n, cuts = 1 << BITS, len(features), n_grades - 1
-    if not n:
+    size, cuts = 1 << BITS, n_grades - 1
+    if not len(features):
         return OrdinalModel(np.zeros(size, np.float32), np.full(cuts, -20.0) + np.arange(cuts))
     w, th = np.zeros(size), np.linspace(-2, -1, cuts)
     m, g2, t2 = np.zeros(size), np.full(size, 1e-8), np.full(cuts, 1e-8)
     for step in range(passes):
-        g, gt = 1e-7 * w, np.zeros(cuts)
-        for at in range(0, n, BLOCK):  # blocks of documents keep the driver's memory small
-            part, y = features[at : at + BLOCK], grades[at : at + BLOCK]
-            long = np.fromiter(map(len, part), np.int64, len(part))
-            row, col, scale = np.repeat(np.arange(len(part)), long), np.concatenate(part), 1 / np.sqrt(long + 1)
-            s = np.bincount(row, weights=w[col], minlength=len(part)) * scale
-            first, last = y == 0, y == cuts
-            lo = np.where(first, 0.0, _sigmoid(th[np.maximum(y - 1, 0)] - s))
-            hi = np.where(last, 1.0, _sigmoid(th[np.minimum(y, cuts - 1)] - s))
-            p = np.maximum(hi - lo, 1e-9)
-            dlo, dhi = lo * (1 - lo) * ~first / p, hi * (1 - hi) * ~last / p
-            g += np.bincount(col, weights=((dhi - dlo) * scale / n)[row], minlength=size)
-            gt += [(dlo[y == k + 1].sum() - dhi[y == k].sum()) / n for k in range(cuts)]
+        _, g, gt = slopes(w, th, features, grades)
+        g += 1e-7 * w
         m, g2, t2 = 0.9 * m + 0.1 * g, 0.99 * g2 + 0.01 * g * g, 0.99 * t2 + 0.01 * gt * gt
         pace = rate * (1 - step / passes)
         w -= pace * m / (np.sqrt(g2) + 1e-9)
@@ -107,14 +119,10 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, passes: i
     return OrdinalModel(w.astype(np.float32), th)
 
 
-def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_grades: int = 3, sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on ``ratings`` (id, ``grade`` from 0) of documents in ``docs``.
-
-    Ratings that are null, out of range or of no document are passed over; of more
-    than ``sample`` the ones with the smallest hashed ids are taken, whichever the rows' order.
-    """
+def sampled(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_grades: int = 3, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(id, grade, f) of the rated texts that a fit takes: at most ``sample`` rows and ``sample_bytes`` of features ``f``."""
     prepare(docs.sparkSession)
-    graded = ratings.filter(f"grade >= 0 AND grade < {n_grades}").select(F.col(id_col).alias("_id"), F.col("grade").cast("int").alias("grade"))
+    graded = ratings.filter(f"grade >= 0 AND grade < {n_grades}").select(F.col(id_col).alias("_id"), F.col("grade").cast("int").alias("grade")).distinct()
     graded = graded.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
     chosen = graded.orderBy(F.xxhash64("_id"), "_id", "grade").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "_id")  # at most `sample` rows
@@ -124,7 +132,23 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["_id"], "grade": pdf["grade"], "f": [make(t).tobytes() for t in pdf["text"]]})
 
-    rows = texts.mapInPandas(featurize, "id long, grade int, f binary").toPandas()
+    rows = texts.mapInPandas(featurize, "id long, grade int, f binary").withColumn("key", F.xxhash64("f")).dropDuplicates(["id", "grade", "key"])
+    place = [F.xxhash64("id"), "id", "grade", "key"]
+    rows = materialize(rows, "rated")  # several texts of one id are several rows
+    first = rows.select("id", "grade", "key", F.octet_length("f").alias("n")).orderBy(*place).limit(sample)
+    fits = first.withColumn("upto", F.sum("n").over(Window.orderBy(*place))).filter(F.col("upto") <= sample_bytes).select("id", "grade", "key")  # of `sample` rows at most
+    return rows.join(F.broadcast(fits), ["id", "grade", "key"]).select("id", "grade", "f")
+
+
+def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_grades: int = 3, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> OrdinalModel:
+    """Fit on ``ratings`` (id, ``grade`` from 0) of documents in ``docs``.
+
+    Ratings that are null, out of range or of no document are passed over; repeated
+    rows count once, and an id with several texts or grades counts with each.  Of more
+    than ``sample`` rows, or ``sample_bytes`` of features, the ones with the smallest
+    hashed ids are taken, whichever the rows' order.
+    """
+    rows = sampled(docs, ratings, id_col, text_col, n_grades=n_grades, sample=sample, sample_bytes=sample_bytes).toPandas()
     rows = rows.sort_values(["id", "grade", "f"]).reset_index(drop=True)
     return fit([np.frombuffer(f, np.int32) for f in rows["f"]], rows["grade"].to_numpy(np.int64), n_grades)
 
