@@ -95,9 +95,24 @@ def test_mix_small(spark):
     mixed = mixing.mix(df.withColumn("shard", df["source"]), shards=4)
     assert sum(len(r["text"].split()) for r in mixed.collect() if r["text"]) == sum(r["taken"] for r in got)
     assert {r["shard"] for r in mixed.select("shard").distinct().collect()} <= set(range(4))
+    from pyspark.sql import functions as F
+
+    parts = {}
+    for r in mixed.select(F.spark_partition_id().alias("p"), "shard", "slot").collect():
+        parts.setdefault(r["p"], []).append((r["shard"], r["slot"]))
+    assert all(len({s for s, _ in x}) == 1 and x == sorted(x) for x in parts.values())
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
 
+def test_mix_ignores_the_files_layout(spark):
+    """Null ids, equal sizes, repeated rows: what is taken of each text doesn't hang on the rows' order."""
+    rows = [(None, "a", f"word{k} x y") for k in range(300)] + [(None, "b", "z " * (k % 5)) for k in range(100)] + [(1, "c", "q q q")] * 40 + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    run = lambda d: sorted((r["text"] or "", r["shard"]) for r in mixing.mix(d, shards=4).select("text", "shard").collect())
+    got = run(df)
+    assert got == run(df.repartition(5)) and len(got) > 100
+
+
 def test_op6(spark):
     rows = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     check_mix(rows, QUERIES["op6_mixing"](spark, DATA).collect(), 400)
@@ -108,18 +123,29 @@ def test_op6(spark):
 
 def test_shards(spark):
     df = spark.range(3000).selectExpr("if(id % 7 = 0, null, id % 1000) AS doc_id", "10L AS size", "'x' AS shard")
-    run = lambda d: [tuple(r) for r in sharding.shuffle_into_shards(d, "doc_id", "size", shards=7, bucket_rows=200).orderBy("shard", "slot").select("doc_id", "shard", "slot").collect()]
+    run = lambda d: [tuple(r) for r in sharding.shuffle_into_shards(d, "size", shards=7, bucket_rows=200).orderBy("shard", "slot").select("doc_id", "shard", "slot").collect()]
     got = run(df)
-    assert got == run(df)
+    assert got == run(df) == run(df.repartition(3)) == run(df.orderBy("doc_id").coalesce(1))
     counts = np.bincount([s for _, s, _ in got])
     assert counts.max() - counts.min() <= 1 and len(counts) == 7
     assert [x for _, _, x in got] == [k for c in counts for k in range(c)]
     assert sorted(str(i) for i, _, _ in got) == sorted(str(r[0]) for r in df.select("doc_id").collect())
     order = [i for i, _, _ in got if i is not None]
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.1
-    few = sharding.shuffle_into_shards(df.limit(3), "doc_id", "size", shards=7)
+    few = sharding.shuffle_into_shards(df.limit(3), "size", shards=7)
     assert sorted(r["slot"] for r in few.collect()) == [0, 0, 0]
-    assert sharding.shuffle_into_shards(df.limit(0), "doc_id", "size").count() == 0
+    assert sharding.shuffle_into_shards(df.limit(0), "size").count() == 0
+
+
+def test_shards_of_copies_and_long_texts(spark):
+    """A third of the rows equal in all columns; a very long text; nulls in every column."""
+    rows = [(i, f"text {i}") for i in range(200)] + [(7, "again")] * 120 + [(None, None)] * 5 + [(900, "long " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda d: sorted((r["shard"], r["slot"], str(r["doc_id"]), r["size"], r["text_crc32"]) for r in sharding.assign_documents(d, 7).collect())
+    got = run(docs)
+    assert got == run(docs.repartition(6)) and len(got) == len(rows)
+    again = [sum(x[2] == "7" and x[3] == 21 for x in got if x[0] == k) for k in range(7)]
+    assert min(again) > 5  # spread over the shards
 
 
 def test_write_shards(spark, tmp_path):

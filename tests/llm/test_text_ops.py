@@ -71,6 +71,26 @@ def test_common_lines(spark):
     assert got[200, 13]["kept"] and got[200, 13]["n_words_left"] == 13  # another host
     assert got[300, 20]["kept"] and got[301, 20]["kept"] and got[None, 20]["kept"]
     assert quality_rules.apply_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+    again = rows[:1] * 30 + [(500, "only here today\n" + words(5, 20), "z")] * 30
+    df = spark.createDataFrame(again, "doc_id long, text string, source string")
+    assert quality_rules.apply_rules(df).filter("n_common_lines > 0").count() == 0  # repeated rows are one document
+
+
+def test_clean_texts(spark):
+    words = lambda k, n: " ".join(f"t{k}x{i}" for i in range(n))
+    rows = [(k, f"Sign  UP now\n\n{words(k, 30)}\n sign up now ", "a", "d") for k in range(20)] + [(50, "sign up now\nstay", "b", None), (51, f"sign up now\n{words(9, 3)}", "a", "x"), (None, None, None, None), (52, words(8, 12) + "\n\n", None, "r"), (53, " ".join(f"w{i}" for i in range(100_000)), "c", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string")
+    got = {r["doc_id"]: r for r in quality_rules.clean_texts(docs).collect()}
+    assert set(got) == {*range(20), 52, 53} and got[3]["text"] == words(3, 30) and got[52]["text"] == words(8, 12) + "\n\n" and got[3]["row"] == "d"
+    kept = {r["doc_id"] for r in quality_rules.apply_rules(docs).filter("kept").collect()}
+    assert kept == set(got)
+    assert quality_rules.clean_texts(docs, least_percent=90).count() == 2 and quality_rules.clean_texts(docs, min_docs=100).count() == 22
+    assert quality_rules.clean_texts(docs.limit(0)).count() == 0
+
+
+def test_op2_verdict_acts(spark):
+    got = QUERIES["op2_quality_rules"](spark, "/root/testdata/sf0.01").filter("NOT base_failed AND NOT kept").collect()
+    assert got and all(r["n_common_lines"] > 0 for r in got)
 
 
 # --- tokenizer
@@ -299,6 +319,39 @@ def test_ordinal_model(spark):
     assert all(0 <= r["expected_grade"] <= 2 and len(r["tails"]) == 2 for r in scored.collect())
 
 
+def test_slopes():
+    """The likelihood is that of the model's grades; its slopes are those of finite differences."""
+    rng = np.random.default_rng(3)
+    features = [np.unique(rng.integers(0, 12, rng.integers(0, 6))).astype(np.int32) for _ in range(2500)]
+    grades, w, th = rng.integers(0, 4, len(features)), rng.normal(size=12), np.array([-1.0, 0.2, 0.9])
+    loss, g, gt = classifier.slopes(w, th, features, grades)
+    model = classifier.OrdinalModel(w, th)
+    tails = model.tails(np.array([model.score(f) for f in features]))
+    edges = np.hstack([np.ones((len(features), 1)), tails, np.zeros((len(features), 1))])
+    assert loss == pytest.approx(-np.log(edges[np.arange(len(grades)), grades] - edges[np.arange(len(grades)), grades + 1]).mean())
+    for x, slope in ((w, g), (th, gt)):
+        for k in range(len(x)):
+            x[k] += 1e-6
+            up = classifier.slopes(w, th, features, grades)[0]
+            x[k] -= 2e-6
+            down = classifier.slopes(w, th, features, grades)[0]
+            x[k] += 1e-6
+            assert slope[k] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_sample_is_bounded(spark):
+    """Copies of rated rows neither count twice nor pass the bounds."""
+    train = graded_texts(60, 1)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in train] + [(7, f"text {k} of many") for k in range(500)] + [(8, "same again")] * 300, "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, g) for i, _, g in train] + [(7, k % 3) for k in range(40)] + [(None, 1)], "doc_id long, grade int")
+    every = classifier.sampled(docs, ratings).collect()
+    assert len(every) == 60 + 2 + 500 * 3 + 1 and len({(r["id"], r["grade"], bytes(r["f"])) for r in every}) == len(every)
+    few = classifier.sampled(docs, ratings, sample=10).collect()
+    assert len(few) == 10
+    small = classifier.sampled(docs.repartition(5), ratings, sample_bytes=3000).collect()
+    assert 0 < sum(len(r["f"]) for r in small) <= 3000 and classifier.sampled(docs, ratings, sample=0).count() == 0
+
+
 def test_no_ratings(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
