@@ -30,6 +30,8 @@ from .common import prepare
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: How the unknown piece reads.
+UNKNOWN = " ⁇ ".encode()
 _NEVER = float("inf")
 #: Words and pairs of pieces that a worker remembers, and characters indexed at a time.
 WORDS, PAIRS, INDEXED = 800_000, 2_000_000, 1 << 19
@@ -68,12 +70,16 @@ class Vocabulary:
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         if len(self.bytes) < 256:
             raise ValueError("the model needs byte fallback")
+        if any(x != int(x) for x in self.rank.values()):
+            raise ValueError("a byte-pair model is needed: its scores are whole numbers")
         self.spell = [self.pieces[i].replace(MARK, " ").encode() for i in range(n)]
         for b, i in self.bytes.items():
             self.spell[i] = bytes([b])
         for i in range(n):
             if sp.is_control(i):
                 self.spell[i] = b""
+            elif sp.is_unknown(i):
+                self.spell[i] = UNKNOWN
         self.longest = max(map(len, self.rank))
         chars = set("".join(self.rank))
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.rank)
@@ -250,7 +256,9 @@ class Vocabulary:
             yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4")
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
-        text = b"".join(map(self.spell.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
+        """The text of ids; a null and an id outside the vocabulary read as the unknown piece does."""
+        n, spell = len(self.spell), self.spell
+        text = b"".join(spell[i] if i is not None and 0 <= i < n else UNKNOWN for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -295,6 +303,8 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     ``ids_sha256`` is over the ids as little-endian 32-bit integers.  ``round_trip``
     is false where decoding doesn't give the text back, as with a literal space mark.
+    A null text is an empty one: no tokens, and it comes back empty.  Every row gives one
+    row, repeated rows and rows without an id too; other columns are ignored.
     """
     prepare(docs.sparkSession)
 

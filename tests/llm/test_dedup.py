@@ -120,6 +120,14 @@ def test_near_duplicates_edge_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "A " * 300_000), (4, "a " * 299_000), (5, "\x0b".join(reversed(words)))]
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["component_id"] for k in range(1, 6)] == [1, 1, 3, 3, 5] and got[3]["fp"] % 2**64 == xxhash.xxh64(b"a a a", seed=42).intdigest()
+
+
 def test_op1(spark):
     got = {r["doc_id"]: r for r in QUERIES["op1_simhash"](spark, DATA).collect()}
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
@@ -267,6 +275,29 @@ def test_embeddings(spark, monkeypatch, functions):
     assert np.mean([got[r[0]]["component_id"] == x for r, x in zip(rows, label) if r[0] is not None]) > 0.95
 
 
+@pytest.mark.parametrize("functions, dim, least", [(1, 64, 0.99), (2, 64, 0.97), (3, 64, 0.96), (4, 64, 0.96), (1, 256, 0.99), (2, 256, 0.97), (3, 256, 0.95), (4, 256, 0.9)])
+def test_recall_of_codes(functions, dim, least):
+    """Pairs at exactly the limit meet in some table, however long the codes have grown with the rows."""
+    rng = np.random.default_rng(functions * dim)
+    a, b = rng.normal(size=(2, 600, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    tables = embed_dedup.TABLES + 4 * (functions - 1)
+    x, y = (embed_dedup.codes(v, tables, functions, embed_dedup.PROBES) for v in (a, b))
+    met = ((x == y[:, :, :1]) | (y == x[:, :, :1])).any(axis=(1, 2))
+    assert met.mean() >= least
+
+
+def test_embeddings_with_clashing_names(spark):
+    rows = [(i, [1.0, float(i % 2), 0.0], "x") for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    for c in ("v", "m", "id", "first", "n", "component", "n_links", "kept", "t", "code", "e", "c", "_l"):
+        df = df.selectExpr("*", f"'{c}' AS {c}")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {i: (4, i % 2) for i in range(10)}
+
+
 def test_hadamard():
     h = embed_dedup.hadamard(np.eye(8))
     assert (h @ h.T == 8 * np.eye(8)).all()

@@ -127,6 +127,12 @@ def test_small_indexes(pieces, monkeypatch):
         same_as_library(v, ["the cat sat on the mat", "another sentence, quite different!"])
 
 
+def test_odd_ids(pieces):
+    """Ids outside the vocabulary and nulls read as unknown."""
+    assert pieces.decode([-1]) == pieces.decode([10**9]) == pieces.decode([None]) == pieces.decode([pieces.processor.unk_id()]) == "⁇ "
+    assert pieces.decode([]) == "" and pieces.decode(np.array([], np.int32)) == ""
+
+
 def test_suffix_array():
     codes = np.array([2, 1, 2, 1, 2, 0, 3, 300, 1])
     for reach in (1, 3, 16):
