@@ -1,8 +1,9 @@
 """Ranked search: postings and corpus statistics, BM25, cosine ranking, rank fusion.
 
 Every function takes a DataFrame of queries, so windows are partitioned by query and
-many needles run in one job.  Postings are cut to the needles' terms before they are
-shuffled; corpus statistics come from one pass that shuffles single rows.
+many needles run in one job.  BM25 reads and tokenises each document once: postings are
+cut to the needles' terms before they are shuffled, a marker among them carries each
+document's length, and statistics, frequencies and scores share that one exchange.
 """
 
 from __future__ import annotations
@@ -49,24 +50,50 @@ def document_frequency(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+#: (query, term) rows that are sent to every executor; more are joined by shuffles.
+BROADCAST_TERMS = 200_000
+#: The term that stands once for every document in marked postings; no tokenizer gives it.
+MARKER = ""
+
+
+def marked_postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """``postings`` cut to ``terms``, and a row of ``MARKER`` for each document, with its length.
+
+    They come partitioned by document, so counting and later sums by document need no other shuffle.
+    """
+    wanted = terms.select("term").unionAll(terms.sparkSession.range(1).select(F.lit(MARKER).alias("term"))).distinct()
+    each = tokens.select("id", F.size("terms").alias("len"), F.explode(F.concat("terms", F.array(F.lit(MARKER)))).alias("term"))
+    return each.join(wanted, "term", "left_semi").repartition("id").groupBy("id", "term", "len").agg(F.count("*").alias("tf"))
+
+
+def _small(terms: DataFrame) -> bool:
+    return terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
 def bm25(tokens: DataFrame, terms: DataFrame, k: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score): documents with at least one of a needle's terms.
 
     idf = ln((N - df + 0.5) / (df + 0.5) + 1), a term adds
     idf * tf * (k + 1) / (tf + k * (1 - b + b * len / mean length)).
     """
-    return score_postings(postings(tokens, terms), terms, corpus_stats(tokens), k, b)
+    found = marked_postings(tokens, terms)
+    # conditions in the sums, not filters: these would be pushed below the exchange that the plans share
+    mark = F.col("term") == MARKER
+    n = F.sum(F.when(mark, F.col("tf")).otherwise(0))
+    stats = found.agg(n.alias("n_docs"), (F.sum(F.when(mark, F.col("len")).otherwise(0)) / n).alias("avg_len"))
+    return score_postings(found, terms, stats, k, b)
 
 
 def score_postings(found: DataFrame, terms: DataFrame, stats: DataFrame, k: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score) of postings cut to the needles' terms."""
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = terms.join(df, "term").crossJoin(F.broadcast(stats))  # statistics: one row
+    df = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    small = F.broadcast if _small(terms) else lambda x: x
+    weighed = df.join(small(terms), "term").crossJoin(F.broadcast(stats))  # statistics: one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighed = weighed.select("query_id", "term", idf.alias("idf"), "avg_len")
     tf = F.col("tf")
     part = F.col("idf") * tf * (k + 1) / (tf + k * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return found.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return found.join(small(weighed), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def cosine_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -75,9 +102,11 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_co
     The query side is a small table by nature; Spark broadcasts it when its size allows.
     Zero and null vectors have no score.
     """
-    q = queries.select("query_id", F.col("vector").alias("_q"))
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v")).crossJoin(q)
-    return pairs.select("query_id", "id", F.round(V.cosine(F.col("_v"), F.col("_q")), 6).alias("score")).filter("score IS NOT NULL")
+    sized = lambda df, key, v: df.select(F.col(key).alias(f"_{v}k"), F.col(v).alias(f"_{v}"), V.norm(F.col(v)).alias(f"_{v}n"))
+    q = sized(queries.select("query_id", F.col("vector").alias("q")), "query_id", "q")
+    pairs = sized(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), "id", "v").filter("_vn > 0").crossJoin(q.filter("_qn > 0"))
+    score = F.try_divide(V.dot(F.col("_v"), F.col("_q")), F.col("_vn") * F.col("_qn"))
+    return pairs.select(F.col("_qk").alias("query_id"), F.col("_vk").alias("id"), F.round(score, 6).alias("score")).filter("score IS NOT NULL")
 
 
 def ranked(scores: DataFrame, threshold: float | None = None, most: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,11 @@ def children(nodes: DataFrame, order: str = "id") -> DataFrame:
     return kids.select(F.col("parent_id").alias("id"), F.transform("c", lambda x: x["id"]).alias("children"))
 
 
-def ancestors(nodes: DataFrame, hits: DataFrame, *, stop_kind: str | None = "literal", depth: int = 64) -> DataFrame:
-    """(id, ancestor, distance) of every hit; a parent of ``stop_kind`` ends the climb.
+def ancestors(nodes: DataFrame, hits: DataFrame, *, stop_kind: str | None = "literal") -> DataFrame:
+    """(id, ancestor, distance) of every hit, however deep; a parent of ``stop_kind`` ends the climb.
 
     Each level is one join on the frontier, which shrinks; the loop ends when no row
-    is left, or at ``depth``.
+    is left.  Parents that form a ring are no forest: ValueError.
     """
     links = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
     kinds = nodes.select(F.col("id").alias("_up"), F.col("kind").alias("_kind"))
@@ -24,9 +26,12 @@ def ancestors(nodes: DataFrame, hits: DataFrame, *, stop_kind: str | None = "lit
     if stop_kind is not None:
         links = links.filter(F.col("_kind") != stop_kind)
     links = links.select("_id", "_up").cache()
+    most = links.count()
     front = hits.select("id", F.col("id").alias("at"))
     found = []
-    for level in range(1, depth + 1):
+    for level in count(1):
+        if level > most + 1:
+            raise ValueError("parents form a ring")
         front = front.join(links, F.col("at") == F.col("_id")).select("id", F.col("_up").alias("at"))
         front = front.cache()
         if front.isEmpty():
@@ -53,12 +58,17 @@ def with_children(nodes: DataFrame, hits: DataFrame, literal: str = "literal") -
     return both.join(hits.select(F.col("id").alias("_h")), F.col("parent_id") == F.col("_h"), "left_anti")
 
 
-def expand_hits(nodes: DataFrame, hits: DataFrame, limit: int | None = None) -> DataFrame:
-    """The result of a search as it is shown: parents of hits go, then the best ``limit`` stay.
+def expand_hits(nodes: DataFrame, hits: DataFrame, limit: int | None = None, literal: str = "literal") -> DataFrame:
+    """The result of a search as it is shown, with the ``children`` of every row.
 
-    ``hits`` has the columns of ``nodes`` and ``position``.
+    Hits that are the parent of another hit go, then the best ``limit`` stay.  Each has
+    the ids of its direct children in ``nodes``, literals none.  ``hits`` has id,
+    parent_id, kind and ``position``.
     """
     kept = without_parents(hits)
     if limit is not None:
-        kept = kept.orderBy("position").limit(limit)
-    return kept.join(hits.select(F.col("id").alias("_h")), F.col("parent_id") == F.col("_h"), "left_anti")
+        kept = kept.orderBy("position", "id").limit(limit)
+    open_hits = kept.filter(F.col("kind") != literal).select(F.col("id").alias("_p"))
+    kids = children(nodes.select("id", "parent_id").join(open_hits, F.col("parent_id") == F.col("_p"), "left_semi"))
+    out = kept.join(kids, "id", "left")
+    return out.withColumn("children", F.coalesce("children", F.array().cast(kids.schema["children"].dataType)))

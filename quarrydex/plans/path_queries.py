@@ -62,12 +62,12 @@ def glob_repo_first(t):
     return FL.glob_list(both, "*", first_repo="r2").select("id", "repo_id", "path")
 
 
-@query(f"WITH {_FILES} SELECT id, count(*) AS n FROM (SELECT DISTINCT id, substr(lower(path), i, 3) AS g FROM files, unnest(range(1, 200)) AS u(i) WHERE i <= length(path) - 2) GROUP BY id")
+@query(f"WITH {_FILES} SELECT id, count(*) AS n FROM (SELECT DISTINCT id, substr(lower(path), i, 3) AS g FROM (SELECT id, path, unnest(range(1, greatest(length(path) - 1, 1))) AS i FROM files)) GROUP BY id")
 def trigram_index(t):
     return FL.trigram_index(_files(t)).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_FILES}, q(query_id, needle) AS (VALUES {_NEEDLES}), g AS (SELECT DISTINCT id, substr(lower(path), i, 3) AS g FROM files, unnest(range(1, 200)) AS u(i) WHERE i <= length(path) - 2), n AS (SELECT DISTINCT query_id, substr(lower(needle), i, 3) AS g FROM q, unnest(range(1, 40)) AS u(i) WHERE i <= length(needle) - 2) SELECT query_id, id, count(*) AS hits FROM g JOIN n USING (g) GROUP BY ALL")
+@query(f"WITH {_FILES}, q(query_id, needle) AS (VALUES {_NEEDLES}), g AS (SELECT DISTINCT id, substr(lower(path), i, 3) AS g FROM (SELECT id, path, unnest(range(1, greatest(length(path) - 1, 1))) AS i FROM files)), n AS (SELECT DISTINCT query_id, substr(lower(needle), i, 3) AS g FROM (SELECT query_id, needle, unnest(range(1, greatest(length(needle) - 1, 1))) AS i FROM q)) SELECT query_id, id, count(*) AS hits FROM g JOIN n USING (g) GROUP BY ALL")
 def trigram_hits(t):
     return FL.trigram_hits(_files(t), _asked(t))
 
@@ -211,10 +211,12 @@ def include_children(t):
     return TR.with_children(n, n.filter("id % 3 = 0")).select("id", "kind")
 
 
-@query(f"WITH {_TREE}, h AS (SELECT *, row_number() OVER (ORDER BY id) AS position FROM n WHERE id % 3 <> 1), k AS (SELECT * FROM h WHERE id NOT IN (SELECT parent_id FROM h WHERE parent_id IS NOT NULL) ORDER BY position LIMIT 50) SELECT id FROM k WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM h)")
+@query(f"""WITH {_TREE}, h AS (SELECT *, row_number() OVER (ORDER BY id) AS position FROM n WHERE id % 3 <> 1),
+k AS (SELECT * FROM h WHERE id NOT IN (SELECT parent_id FROM h WHERE parent_id IS NOT NULL) ORDER BY position LIMIT 50)
+SELECT id, coalesce((SELECT list(n.id ORDER BY n.id) FROM n WHERE n.parent_id = k.id AND k.kind <> 'literal'), []) AS children FROM k""")
 def expand_hits(t):
     from pyspark.sql.window import Window
 
     n = _tree(t)
     h = n.filter("id % 3 <> 1").withColumn("position", F.row_number().over(Window.orderBy("id")))
-    return TR.expand_hits(n, h, 50).select("id")
+    return TR.expand_hits(n, h, 50).select("id", "children")

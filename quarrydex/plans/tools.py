@@ -237,7 +237,9 @@ class Engine:
             self.control.maybe()
         n = limit or 25
         hits = self.search_nodes(query, limit=n, kind=kind, visibility=visibility).withColumnRenamed("parent_node_id", "parent_id")
-        hits = TR.expand_hits(hits, hits, n) if expand else hits
+        if expand:
+            nodes = self.store.read("nodes").select("id", F.col("parent_node_id").alias("parent_id"))
+            hits = TR.expand_hits(nodes, hits, n)
         hits = G.with_paths(hits, self.store.read("files")).join(self.store.read("packages").select(F.col("id").alias("package_id"), "language"), "package_id", "left")
         found = [r.asDict() for r in hits.orderBy("position").collect()]  # at most ``limit`` rows
         by_file: dict[str, list[dict]] = {}
