@@ -1,4 +1,4 @@
-"""Command line: scan, stats, summary and search; settings from flags, environment, TOML and JSON."""
+"""Command line: scan, stats, summary and search; settings from flags, environment, an env file, TOML and JSON."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ import tomllib
 from dataclasses import fields, is_dataclass
 from typing import Any
 
-from .functions.vectors import hashing_embedder
 from .operators.statistics import repo_stats
 from .plans.tools import Engine, to_structured_text
 from .schema import Settings
@@ -47,8 +46,20 @@ def _nested(pairs: dict[str, str]) -> dict[str, Any]:
     return out
 
 
-def load_settings(config: str | None = None, flags: dict[str, str] | None = None, env: dict[str, str] | None = None) -> Settings:
-    """Settings from a TOML or JSON file, then the environment, then flags; later ones win.
+def read_env_file(path: str) -> dict[str, str]:
+    """NAME=VALUE lines; blank lines and comments are passed over, quotes around a value go."""
+    out = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, sign, value = line.strip().removeprefix("export ").partition("=")
+            if sign and not name.startswith("#"):
+                value = value.strip()
+                out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    return out
+
+
+def load_settings(config: str | None = None, flags: dict[str, str] | None = None, env: dict[str, str] | None = None, env_file: str | None = None) -> Settings:
+    """Settings from a TOML or JSON file, an env file, the environment, then flags; later ones win.
 
     Nested settings are named with two underscores, as in ``QUARRYDEX_SEARCH__RRF_K``.
     """
@@ -56,7 +67,7 @@ def load_settings(config: str | None = None, flags: dict[str, str] | None = None
     if config:
         with open(config, "rb") as f:
             _apply(out, json.load(f) if config.endswith(".json") else tomllib.load(f))
-    env = os.environ if env is None else env
+    env = (read_env_file(env_file) if env_file else {}) | dict(os.environ if env is None else env)
     _apply(out, _nested({k[len(PREFIX) :]: v for k, v in env.items() if k.startswith(PREFIX)}))
     _apply(out, _nested(flags or {}))
     return out
@@ -67,13 +78,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--store", required=True)
     p.add_argument("--repo", action="append", required=True, metavar="NAME=PATH")
     p.add_argument("--config")
+    p.add_argument("--env-file")
     p.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
     p.add_argument("--master", default="local[*]")
     p.add_argument("command", choices=["scan", "stats", "summary", "search", "files"])
     p.add_argument("what", nargs="*")
     a = p.parse_args(argv)
-    settings = load_settings(a.config, dict(x.split("=", 1) for x in a.set))
-    engine = Engine(Store(build(a.master), a.store), dict(x.split("=", 1) for x in a.repo), settings=settings, embed=hashing_embedder())
+    settings = load_settings(a.config, dict(x.split("=", 1) for x in a.set), env_file=a.env_file)
+    engine = Engine.with_embedder(Store(build(a.master), a.store), dict(x.split("=", 1) for x in a.repo), settings)
     if a.command == "scan":
         out: Any = [{"repo": k, **r.counts, "errors": len(r.errors), "seconds": round(r.seconds, 2)} for k, r in engine.refresh().items()]
     elif a.command == "stats":

@@ -73,3 +73,20 @@ def hashing_embedder(dim: int = 256):
             yield pd.Series(rows)
 
     return embed
+
+
+#: Makers of embedders, by the name that ``Settings.embedder`` has; each takes the dimension.
+EMBEDDERS = {"hashing": hashing_embedder}
+
+
+def register_embedder(name: str, make) -> None:
+    """Add an embedder of one's own: ``make(dim)`` gives a column function of texts; names are unique."""
+    if name in EMBEDDERS:
+        raise ValueError(f"there is an embedder {name!r} already")
+    EMBEDDERS[name] = make
+
+
+def embedder(name: str, dim: int = 256):
+    if name not in EMBEDDERS:
+        raise ValueError(f"no embedder {name!r}: {sorted(EMBEDDERS)}")
+    return EMBEDDERS[name](dim)

@@ -5,11 +5,32 @@ A table is a snapshot of Parquet files; every operation returns the next snapsho
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def content_hash(content: str | Column) -> Column:
+    """What tells one file content from another: its SHA-256."""
+    return F.sha2(content, 256)
+
+
+def duplicates(rows: DataFrame, content: str, id_col: str) -> DataFrame:
+    """(digest, n, first) of contents that several rows have."""
+    each = rows.groupBy(content_hash(content).alias("digest")).agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
+    return each.filter("n > 1")
+
+
+def high_water(files: DataFrame, time_col: str = "last_updated", key: str = "repo_id") -> DataFrame:
+    """(key, last_scanned): the newest time that each repository's files have."""
+    return files.groupBy(key).agg(F.max(time_col).alias("last_scanned"))
+
+
+def cache_sizes(cache: DataFrame) -> DataFrame:
+    """(model, n): the vectors that each model's cache holds."""
+    return cache.groupBy("model").agg(F.count("*").alias("n"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``new`` and the rows of ``old`` that it doesn't replace; missing columns become null."""
     gone = new.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()

@@ -32,14 +32,27 @@ def embed_cached(store: Store, texts: DataFrame, embed, model: str, settings: Se
     wanted = texts.select("text").distinct().select(F.lit(model).alias("model"), F.unhex(F.sha2("text", 256)).alias("hash"), "text")
     looked = SN.cache_lookup(wanted, cache)
     missing = looked.filter("vector IS NULL").select("model", "hash", "text")
-    made = missing.join(embed_long(missing, embed, window), "text").select("text", "model", "hash", "vector").cache()
-    out = looked.filter("vector IS NOT NULL").select("text", "vector").unionAll(made.select("text", "vector"))
-    out = out.cache()
-    out.count()
+    made = store.work(missing.join(embed_long(missing, embed, window), "text").select("text", "model", "hash", "vector"))
+    out = store.work(looked.filter("vector IS NOT NULL").select("text", "vector").unionAll(made.select("text", "vector")))
     new = made.select("model", "hash", "vector").withColumn("id", F.xxhash64("model", "hash"))
     touched = SN.touch(cache, looked.filter("vector IS NOT NULL"), now)
     full = SN.cache_store(touched, new, now)
     victims = SN.lru_victims(full, s.cache_max_rows, s.cache_trim_batch).select("id")
     store.write("embedding_cache", SN.delete(full, victims).withColumnRenamed("last_accessed", "last_accessed_at"))
-    made.unpersist()
     return out
+
+
+def uncached(store: Store, texts: DataFrame, embed, model: str, settings: Settings | None = None) -> DataFrame:
+    return embed_long(texts, embed)
+
+
+#: Ways to keep vectors of texts between runs, by the name that ``Settings.embedding_cache`` has.
+CACHES = {"store": embed_cached, "none": uncached}
+
+
+def vectors_of(store: Store, texts: DataFrame, embed, model: str, settings: Settings | None = None) -> DataFrame:
+    """(text, vector) of every distinct text, through the cache that the settings name."""
+    s = settings or Settings()
+    if s.embedding_cache not in CACHES:
+        raise ValueError(f"no embedding cache {s.embedding_cache!r}: {sorted(CACHES)}")
+    return CACHES[s.embedding_cache](store, texts, embed, model, s)

@@ -8,6 +8,7 @@ so a second run over the same files gives the same rows.
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -21,6 +22,7 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators import search as SE
 from ..operators import snapshots as SN
+from ..operators.statistics import action_counts
 from ..schema import Settings
 from ..sources import files as FS
 from ..sources.store import Store
@@ -30,20 +32,26 @@ _NODE = (
     "struct<ordinal:int,parent_ordinal:int,kind:string,subtype:string,name:string,header:string,docstring:string,comment:string,"
     "start_line:int,end_line:int,start_byte:int,end_byte:int,body:string>"
 )
-_IMPORT = "struct<raw:string,virtual_path:string,physical_path:string,alias:string,dot:boolean,external:boolean>"
+_IMPORT = "struct<raw:string,virtual_path:string,physical_path:string,alias:string,dot:boolean,external:boolean,candidates:array<string>>"
+#: Errors that a result lists; ``n_errors`` counts them all.
+LISTED_ERRORS = 100
+#: Files after which a scan tells again how far it is.
+PROGRESS_FILES = 100
 
 
 @dataclass
 class ScanResult:
     counts: dict[str, int] = field(default_factory=dict)
     errors: list[str] = field(default_factory=list)
+    n_errors: int = 0
     seconds: float = 0.0
 
 
-def parse_files(files: DataFrame, known: frozenset[str] = frozenset()) -> DataFrame:
+def parse_files(files: DataFrame, chunks: tuple[int, int] | None = None) -> DataFrame:
     """``files`` (path, content, parser) with status, error, nodes and imports.
 
-    A failure is that file's row: it never ends the scan.
+    A failure is that file's row: it never ends the scan.  Imports come with their
+    candidates, see ``resolve_candidates``.  ``chunks`` bounds the tokens of a chunk of prose.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +62,7 @@ def parse_files(files: DataFrame, known: frozenset[str] = frozenset()) -> DataFr
                     out.append(("bare_file", None, [], []))
                     continue
                 try:
-                    nodes, imports = parse(key, path, bytes(content).decode("utf-8"), known)
+                    nodes, imports = parse(key, path, bytes(content).decode("utf-8"), None, chunks)
                     out.append(("parsed_file", None, nodes, imports))
                 except Exception as e:  # noqa: BLE001
                     out.append(("error", f"{type(e).__name__}: {e}"[:500], [], []))
@@ -66,6 +74,33 @@ def parse_files(files: DataFrame, known: frozenset[str] = frozenset()) -> DataFr
     )
 
 
+def node_needle(s: Settings, path: str = "path"):
+    """What the text index sees of a node; ``path`` is the column of its file's path."""
+    fields = {k: F.col(k) for k in ("name", "header", "body", "docstring")}
+    return X.search_needle(fields | {"file_path": F.col(path)}, s.search.field_boosts, s.tokenizer)
+
+
+def with_needles(nodes: DataFrame, files: DataFrame, s: Settings) -> DataFrame:
+    """``nodes`` with the needles that their fields and their files' paths give now."""
+    paths = files.select(F.col("id").alias("_f"), F.col("path").alias("_path"))
+    joined = nodes.join(paths, F.col("file_id") == F.col("_f"), "left")
+    return joined.withColumn("fts_needle", node_needle(s, "_path")).select(*nodes.columns)
+
+
+def resolve_candidates(imports: DataFrame, names: DataFrame) -> DataFrame:
+    """``imports`` (path, i, e) with ``physical_path`` and ``external``: the first candidate that the tree has, if any.
+
+    ``names`` are the tree's paths; candidates meet them in a join.
+    """
+    up = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(up) - 1), lambda n: F.concat(F.array_join(F.slice(up, 1, n), "/"), F.lit("/")))
+    there = names.select("path").unionAll(names.filter(F.instr("path", "/") > 0).select(F.explode(folders))).distinct().select(F.col("path").alias("candidate"))
+    asked = imports.select("path", "i", F.posexplode("e.candidates").alias("k", "candidate"))
+    best = asked.join(there, "candidate").groupBy("path", "i").agg(F.regexp_replace(F.min_by("candidate", "k"), "/$", "").alias("_found"))
+    out = imports.join(best, ["path", "i"], "left")
+    return out.withColumn("physical_path", F.coalesce("_found", "e.physical_path")).withColumn("external", F.col("e.external") & F.col("_found").isNull()).drop("_found")
+
+
 def _id(*parts):
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32)
 
@@ -77,27 +112,35 @@ def go_modules(tree: DataFrame) -> DataFrame:
 
 
 def scan(store: Store, repo_id: str, root: str, *, settings: Settings | None = None, paths: list[str] | None = None, progress: Callable[[dict], None] | None = None) -> ScanResult:
-    """Bring the store up to date with the files of a repository."""
+    """Bring the store up to date with the files of a repository.
+
+    Only the repository's own rows are read and written again, and nothing is written
+    where nothing changed.  ``progress`` is called with the phase and what it counted:
+    listed, every ``PROGRESS_FILES`` parsed files at the most, written, done.
+    """
     s, spark, began = settings or Settings(), store.spark, time.time()
+    tell = progress or (lambda _: None)
     start_ns = int(began * 1e9)
-    repos = store.read("repos")
-    mark = repos.filter(F.col("id") == repo_id).select("last_scanned").first()
+    repos = store.read("repos", repo_id)
+    mark = repos.select("last_scanned").first()
     mark = mark[0] if mark else None
 
-    tree = FS.list_tree(spark, root, paths, skip_dirs=tuple(s.ignored_dirs)).cache()
+    tree = store.work(FS.list_tree(spark, root, paths, skip_dirs=tuple(s.ignored_dirs)))
     ruled = tree if paths is None else FS.list_tree(spark, root, skip_dirs=tuple(s.ignored_dirs))
     rules = FS.ignore_rules(FS.with_content(ruled.filter(F.col("path").rlike(r"(^|/)\.gitignore$")), root))
-    names = FS.not_ignored(tree, rules).cache()
-    stored = store.read("files").filter(F.col("repo_id") == repo_id)
+    names = store.work(FS.not_ignored(tree, rules))
+    tell({"phase": "listed", "files": names.count()})
+    stored = store.read("files", repo_id)
     fresh = FS.with_content(names if mark is None else names.filter(F.col("mtime") > mark), root)
-    fresh = fresh.withColumn("hash", F.sha2("content", 256))
+    fresh = fresh.withColumn("hash", SN.content_hash("content"))
     todo = SN.changes(fresh, stored, mark).filter("action IN ('insert', 'update')")
     todo = FS.parser_of(todo, s.parser_extensions, s.language_extensions)
     if s.parse_unknown_text:
         todo = todo.withColumn("parser", F.coalesce("parser", F.when(X.is_text(F.col("content")), "text")))
-    # import resolution looks names up in the list of one repository's paths: bounded by its tree, not by its bytes
-    known = frozenset(r[0] for r in names.select("path").toLocalIterator())
-    parsed = parse_files(todo, known).join(todo.select("path", "action"), "path").cache()
+    # what was parsed is a table, so that files which change meanwhile, or a lost executor, make no mixed results
+    todo = store.work(todo)
+    total = todo.count()
+    parsed = _parsed(store, todo, (s.chunk_max_tokens, s.chunk_min_tokens), total, tell)
 
     done = parsed.filter("status <> 'error'")
     with_packages = done.filter(F.col("parser").isin(*PACKAGED) & (F.col("status") == "parsed_file"))
@@ -128,60 +171,115 @@ def scan(store: Store, repo_id: str, root: str, *, settings: Settings | None = N
         node_id("ordinal").alias("id"), F.lit(repo_id).alias("repo_id"), "file_id", "package_id", F.when(F.col("parent_ordinal").isNotNull(), node_id("parent_ordinal")).alias("parent_node_id"),
         "name", "body", "header", "kind", "subtype", "docstring", "comment", F.col("ordinal").cast("string").alias("custom_value"), "start_line", "end_line", "start_byte", "end_byte",
         SE.kind_boost(F.col("kind"), s.search.kind_boosts).cast("float").alias("search_boost"), visibility.alias("visibility"),
-        X.search_needle({"name": F.col("name"), "header": F.col("header"), "file_path": F.col("path"), "body": F.col("body"), "docstring": F.col("docstring")}, s.search.field_boosts, s.tokenizer).alias("fts_needle"),
+        node_needle(s).alias("fts_needle"),
     )
-    old_nodes = store.read("nodes")
+    old_nodes = store.read("nodes", repo_id)
     vectors = old_nodes.filter("embedding_code_vec IS NOT NULL").select("file_id", X.embedding_text(F.col("docstring"), F.col("body")).alias("text"), F.struct("embedding_code_vec", "embedding_model").alias("vector"), F.col("id").alias("ordinal"))
     nodes = SN.reuse_embeddings(nodes.withColumn("text", X.embedding_text(F.col("docstring"), F.col("body"))), vectors)
     nodes = nodes.withColumn("embedding_code_vec", F.col("vector.embedding_code_vec")).withColumn("embedding_model", F.col("vector.embedding_model")).drop("vector", "text")
 
     edges = done.join(owners, "path", "left").select("path", F.col("package_id").alias("from_package_id"), file_id.alias("from_file_id"), F.posexplode("imports").alias("i", "e"))
+    all_names = names if paths is None else FS.not_ignored(ruled, rules)
+    edges = resolve_candidates(edges, all_names)
     edges = edges.select(
         _id(F.lit(repo_id), F.col("path"), F.lit("import"), F.col("e.virtual_path"), F.coalesce("e.alias", F.lit("\x00")), F.col("e.dot").cast("string")).alias("id"), F.lit(repo_id).alias("repo_id"), "from_package_id", "from_file_id",
-        F.col("e.physical_path").alias("to_package_physical_path"), F.col("e.virtual_path").alias("to_package_virtual_path"), F.col("e.alias").alias("alias"), F.col("e.dot").alias("dot"), F.col("e.external").alias("external"), F.col("e.raw").alias("raw"),
+        F.col("physical_path").alias("to_package_physical_path"), F.col("e.virtual_path").alias("to_package_virtual_path"), F.col("e.alias").alias("alias"), F.col("e.dot").alias("dot"), "external", F.col("e.raw").alias("raw"),
     ).dropDuplicates(["id"])
 
-    changed = new_files.select("id").cache()
-    gone = SN.vanished(stored, names).select("id").cache() if paths is None else stored.select("id").filter(F.lit(False))
-    counts = {r["action"]: r["count"] for r in done.groupBy("action").count().collect()}
-    result = ScanResult({"added": counts.get("insert", 0), "updated": counts.get("update", 0), "deleted": gone.count()})
-    result.errors = [f"{r['path']}: {r['error']}" for r in parsed.filter("status = 'error'").select("path", "error").limit(100).collect()]
-
-    replaced = changed.unionAll(gone)
-    all_files = SN.delete(store.read("files"), replaced).unionByName(new_files, allowMissingColumns=True)
-    all_nodes = SN.delete(old_nodes, replaced, "file_id").unionByName(nodes, allowMissingColumns=True)
-    all_edges = SN.delete(store.read("import_edges"), replaced, "from_file_id").unionByName(edges, allowMissingColumns=True)
-    all_packages = SN.upsert(store.read("packages"), packages, ["id"])
-    files_now = store.write("files", all_files)
-    store.write("nodes", all_nodes)
-    used = all_packages.join(files_now.select(F.col("package_id").alias("_p")), F.col("id") == F.col("_p"), "left_semi")
-    packages_now = store.write("packages", used)
-    # a Go import names a package by its module path, which only the packages tell
-    inside = packages_now.filter("language = 'go'").select(F.col("repo_id").alias("_r"), F.col("virtual_path").alias("_v"), F.lit(True).alias("_in"))
-    edges_now = all_edges.drop("to_package_id").join(inside, (F.col("repo_id") == F.col("_r")) & (F.col("to_package_virtual_path") == F.col("_v")), "left")
-    edges_now = edges_now.withColumn("external", F.col("external") & F.col("_in").isNull()).drop("_r", "_v", "_in")
-    store.write("import_edges", G.resolve_imports(edges_now, packages_now))
+    changed = store.work(new_files.select("id"))
+    gone = store.work(SN.vanished(stored, names).select("id")) if paths is None else stored.select("id").filter(F.lit(False))
+    counts = {r["action"]: r["n"] for r in action_counts(done).collect()}
+    failed = parsed.filter("status = 'error'")
+    result = ScanResult({"added": counts.get("insert", 0), "updated": counts.get("update", 0), "deleted": gone.count()}, n_errors=failed.count())
+    result.errors = [f"{r['path']}: {r['error']}" for r in failed.select("path", "error").orderBy("path").limit(LISTED_ERRORS).collect()]
+
+    if any(result.counts.values()):
+        replaced = changed.unionAll(gone)
+        mine = [repo_id]
+        files_now = SN.delete(stored, replaced).unionByName(new_files, allowMissingColumns=True)
+        nodes_now = SN.delete(old_nodes, replaced, "file_id").unionByName(nodes, allowMissingColumns=True)
+        old_edges = store.read("import_edges", repo_id)
+        all_edges = SN.delete(old_edges, replaced, "from_file_id").unionByName(edges, allowMissingColumns=True)
+        all_packages = SN.upsert(store.read("packages", repo_id), packages, ["id"])
+        used = all_packages.join(files_now.select(F.col("package_id").alias("_p")), F.col("id") == F.col("_p"), "left_semi")
+        packages_now = store.work(used)
+        # a Go import names a package by its module path, which only the packages tell
+        inside = packages_now.filter("language = 'go'").select(F.col("repo_id").alias("_r"), F.col("virtual_path").alias("_v"), F.lit(True).alias("_in"))
+        edges_now = all_edges.drop("to_package_id").join(inside, (F.col("repo_id") == F.col("_r")) & (F.col("to_package_virtual_path") == F.col("_v")), "left")
+        edges_now = edges_now.withColumn("external", F.col("external") & F.col("_in").isNull()).drop("_r", "_v", "_in")
+        resolved = store.work(G.resolve_imports(edges_now, packages_now))
+        edge_columns = ["id", "to_package_id", "external"]
+        differ = not G.diff(old_edges.select(*edge_columns), resolved.select(*edge_columns), edge_columns).filter("action <> 'update'").isEmpty()
+        store.write("files", files_now, mine)
+        store.write("nodes", nodes_now, mine)
+        store.write("packages", packages_now, mine)
+        if differ:
+            store.write("import_edges", resolved, mine)
+        tell({"phase": "written", **result.counts})
     entry = spark.createDataFrame([(repo_id, root, start_ns)], "id string, root_path string, last_scanned bigint")
-    old = repos.filter(F.col("id") == repo_id).select("id", "name", "remote_url", "default_branch", "description")
-    store.write("repos", SN.upsert(repos, entry.join(old, "id", "left").withColumn("name", F.coalesce("name", F.lit(repo_id))), ["id"]))
-    for df in (tree, names, parsed, changed, gone):
-        df.unpersist()
+    old = repos.select("id", "name", "remote_url", "default_branch", "description")
+    store.write("repos", entry.join(old, "id", "left").withColumn("name", F.coalesce("name", F.lit(repo_id))), [repo_id])
+    store.end_work()
     result.seconds = time.time() - began
-    if progress:
-        progress(json.loads(json.dumps(vars(result))))
+    tell({"phase": "done", **json.loads(json.dumps(vars(result)))})
     return result
 
 
-def embed_missing(store: Store, embed, model: str) -> int:
-    """Give a vector to every node that has none, or one of another model; equal texts are embedded once."""
-    nodes = store.read("nodes").withColumn("_text", X.embedding_text(F.col("docstring"), F.col("body")))
-    due = nodes.filter(F.col("embedding_code_vec").isNull() | ~F.col("embedding_model").eqNullSafe(F.lit(model))).filter("_text <> ''")
+def _parsed(store: Store, todo: DataFrame, chunks: tuple[int, int], total: int, tell: Callable[[dict], None]) -> DataFrame:
+    """The parsed files as a table; a thread tells how many tasks' files are done while it is written."""
+    count = store.spark.sparkContext.accumulator(0)
+
+    def noted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            count.add(len(pdf))
+            yield pdf
+
+    out = parse_files(todo, chunks).join(todo.select("path", "action"), "path")
+    rows = out.mapInPandas(noted, out.schema)
+    done, last = threading.Event(), 0
+
+    def watch() -> None:
+        nonlocal last
+        while not done.wait(0.5):
+            if count.value >= last + PROGRESS_FILES:
+                last = count.value
+                tell({"phase": "parsed", "files": min(last, total), "of": total})
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        return store.work(rows)
+    finally:
+        done.set()
+        watcher.join()
+        tell({"phase": "parsed", "files": total, "of": total})
+
+
+def due_nodes(nodes: DataFrame, model: str) -> DataFrame:
+    """Nodes that have no vector, or one of another model."""
+    return nodes.filter(F.col("embedding_code_vec").isNull() | ~F.col("embedding_model").eqNullSafe(F.lit(model)))
+
+
+def embed_missing(store: Store, embed, model: str, settings: Settings | None = None) -> int:
+    """Give a vector to every node that has none, or one of another model; equal texts are embedded once.
+
+    Vectors come through the cache that the settings name, and only repositories with such
+    nodes are written.
+    """
+    from .embedding import vectors_of
+
+    text = X.embedding_text(F.col("docstring"), F.col("body"))
+    due = due_nodes(store.read("nodes"), model).select("id", "repo_id", text.alias("_text")).filter("_text <> ''")
+    due = store.work(due)
     n = due.count()
     if n:
-        vectors = due.select("_text").distinct().withColumn("_v", embed(F.col("_text")))
-        marked = due.select("id", F.lit(True).alias("_due"))
-        out = nodes.join(marked, "id", "left").join(vectors, "_text", "left")
-        pick = F.coalesce(F.col("_due"), F.lit(False)) & F.col("_v").isNotNull()
-        out = out.withColumn("embedding_code_vec", F.when(pick, F.col("_v")).otherwise(F.col("embedding_code_vec"))).withColumn("embedding_model", F.when(pick, F.lit(model)).otherwise(F.col("embedding_model")))
-        store.write("nodes", out.drop("_text", "_v", "_due"))
+        vectors = store.work(vectors_of(store, due.select(F.col("_text").alias("text")), embed, model, settings))
+        got = due.join(vectors, F.col("_text") == F.col("text")).select(F.col("id").alias("_id"), F.col("vector").alias("_v"))
+        for repo in [r[0] for r in due.select("repo_id").distinct().collect()]:  # repositories, not rows
+            nodes = store.read("nodes", repo or "")
+            out = nodes.join(got, F.col("id") == F.col("_id"), "left")
+            pick = F.col("_v").isNotNull()
+            out = out.withColumn("embedding_code_vec", F.when(pick, F.col("_v")).otherwise(F.col("embedding_code_vec"))).withColumn("embedding_model", F.when(pick, F.lit(model)).otherwise(F.col("embedding_model")))
+            store.write("nodes", out.drop("_id", "_v"), [repo or ""])
+    store.end_work()
     return n

@@ -19,8 +19,8 @@ class Scanner:
     quotes = "\"'"
     raw_quotes = ""
 
-    def __init__(self, path: str, text: str, files: frozenset[str]):
-        self.path, self.text, self.files = path, text, files
+    def __init__(self, path: str, text: str):
+        self.path, self.text = path, text
         self.imports: list[Import] = []
 
     # --- lexical level
@@ -180,8 +180,8 @@ class Go(Scanner):
             for m in re.finditer(r"(?:([\w.]+)\s+)?(\"[^\"]+\"|`[^`]+`)", t):
                 target = m[2][1:-1]
                 physical = self.beside(target) if target.startswith(".") else None
-                local = physical is not None or any(f.startswith(target + "/") for f in self.files)
-                self.imports.append(Import(m[0], target, physical if physical is not None else target if local else None, m[1], m[1] == ".", not local))
+                folder = [f"{target}/"] if physical is None else []
+                self.imports.append(Import(m[0], target, physical, m[1], m[1] == ".", physical is None, folder))
             return [Node("literal", a, b)]
         if word == "func":
             m = re.match(r"func\s*(\([^)]*\))?\s*(\w+)", t)
@@ -288,9 +288,7 @@ class C(Scanner):
     def include(self, t: str) -> None:
         m = re.match(r"#\s*include\s*([<\"])([^>\"]+)", t)
         if m:
-            near = self.beside(m[2])
-            found = None if m[1] == "<" else near if near in self.files else m[2] if m[2] in self.files else None
-            self.imports.append(Import(t, m[2], found, external=found is None))
+            self.imports.append(Import(t, m[2], candidates=[] if m[1] == "<" else [self.beside(m[2]), m[2]]))
 
     def statement(self, a: int, b: int, inside: str | None) -> list[Node]:
         t = self.text[a:b]
@@ -320,6 +318,13 @@ class C(Scanner):
             m = re.search(r"(\w+)\s*;?$", t[at:b].rstrip("; \n")) if t.startswith("typedef", at) else re.match(r"\w+\s+(\w+)", t[at:b])
             return [Node("literal", a, b, m[1] if m else None)]
         equal = self.find("=", at, b)
+        pointer = re.match(r"[\w\s*]+\(\s*[*&]+\s*(?:const\s+)?(\w+)[^()]*\)\s*(\(?)", t[at:b])
+        if pointer and brace < 0:
+            if inside in ("struct", "union", "class"):
+                return [Node("property", a, b, pointer[1])]
+            if pointer[2] and equal < 0:
+                return [Node("function", a, b, pointer[1], "signature", self.prefixed(a, head_at, t[at:b].rstrip("; \n")))]
+            return [Node("variable", a, b - t[:b].endswith(";"), pointer[1])]
         if paren >= 0 and (equal < 0 or paren < equal or re.search(r"operator\s*$", t[at:equal].split("operator")[0] + "operator" if "operator" in t[at:equal] else "")):
             before = t[at:paren]
             name = re.search(r"(operator\s*[^\s\w]+|~?\w+)\s*$", before)
@@ -485,12 +490,9 @@ class JavaScript(Scanner):
 
     def link(self, raw: str, target: str, alias: str | None = None) -> None:
         local = target.startswith(".") or target.startswith("/")
-        physical = None
-        if local:
-            base = self.beside(target)
-            tries = [base, *(base + s for s in self.suffixes), *(f"{base}/index{s}" for s in self.suffixes)]
-            physical = next((p for p in tries if p in self.files), base)
-        self.imports.append(Import(raw, target, physical, alias, external=not local))
+        base = self.beside(target) if local else None
+        tries = [base, *(base + s for s in self.suffixes), *(f"{base}/index{s}" for s in self.suffixes)] if local else []
+        self.imports.append(Import(raw, target, base, alias, external=not local, candidates=tries))
 
     def statement(self, a: int, b: int, inside: str | None) -> list[Node]:
         t = self.text[a:b]
@@ -543,13 +545,21 @@ class JavaScript(Scanner):
         m = re.match(r"(module\.exports|exports(?:\.\w+)?|[\w.$\[\]]+)\s*=(?![=>])\s*", t)
         if m:
             value = self.value(a, b, a + m.end(), m[1])
-            if value is None:
-                return [Node("literal", a, b)]
             if re.match(r"(module\.)?exports\b", m[1]):
-                return [Node("custom", a, b, m[1], "export", header="", children=[value])]
+                return [Node("custom", a, b, subtype="export", header="export", children=[value] if value else [])]
+            if value is None:
+                self.required(a + m.end(), b, m[1].split(".")[-1])
+                return [Node("variable", a, b - t.endswith(";"), m[1])]
             return [value]
+        self.required(a, b)
         return [Node("literal", a, b)]
 
+    def required(self, at: int, b: int, alias: str | None = None) -> None:
+        """Note the import of a call of ``require``."""
+        call = re.compile(r"""\s*(require\(\s*["']([^"']+)["']\s*\))""").match(self.text, at, b)
+        if call:
+            self.link(call[1], call[2], alias)
+
     def typed(self, a: int, b: int, t: str) -> list[Node]:
         return []
 
@@ -662,7 +672,7 @@ class TypeScript(JavaScript):
 
 
 def parser(kind: type[Scanner]):
-    def parse(path: str, text: str, files: frozenset[str] = frozenset()) -> tuple[list[Node], list[Import]]:
-        return kind(path, text, files).parse()
+    def parse(path: str, text: str) -> tuple[list[Node], list[Import]]:
+        return kind(path, text).parse()
 
     return parse

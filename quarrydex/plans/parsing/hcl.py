@@ -65,8 +65,8 @@ class Hcl(Scanner):
         return [Node("literal", a, b)]
 
 
-def parse(path: str, text: str, files: frozenset[str] = frozenset()) -> tuple[list[Node], list[Import]]:
-    p = Hcl(path, text, files)
+def parse(path: str, text: str) -> tuple[list[Node], list[Import]]:
+    p = Hcl(path, text)
     nodes, _ = p.parse()
     sources = re.findall(r'(?m)^\s*source\s*=\s*"(\.[^"]*)"', text)
     return nodes, [Import(f'source = "{s}"', s, p.beside(s), external=False) for s in sources]

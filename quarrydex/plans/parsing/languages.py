@@ -23,6 +23,8 @@ EXTENSIONS = {
     ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".tf": "terraform", ".tfvars": "terraform",
     ".md": "markdown", ".markdown": "markdown", ".txt": "text",
 }
+#: Parsers that cut texts into chunks.
+PROSE = ("markdown", "text")
 #: Languages whose files belong to a package.
 PACKAGED = ("python", "c", "cpp", "go", "javascript", "typescript", "terraform")
 
@@ -57,7 +59,14 @@ def extension_map(extra: dict[str, list[str]] | None = None, override: dict[str,
     return out
 
 
-def parse(key: str, path: str, text: str, files: frozenset[str] = frozenset()) -> tuple[list[dict], list[dict]]:
-    """Rows of nodes and of imports of one file."""
-    nodes, imports = PARSERS[key](path, text, files)
+def parse(key: str, path: str, text: str, files: frozenset[str] | None = None, chunks: tuple[int, int] | None = None) -> tuple[list[dict], list[dict]]:
+    """Rows of nodes and of imports of one file.
+
+    With ``files``, the paths of the repository, imports are resolved; without them they
+    keep their candidates.  ``chunks`` has the most and least tokens of a chunk of prose.
+    """
+    nodes, imports = PARSERS[key](path, text, chunks) if chunks and key in PROSE else PARSERS[key](path, text)
+    if files is not None:
+        for i in imports:
+            i.resolve(files)
     return flatten(nodes, Source(text)), [vars(i) for i in imports]

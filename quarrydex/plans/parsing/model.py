@@ -22,12 +22,24 @@ class Node:
 
 @dataclass
 class Import:
+    """``candidates`` are the paths that the import may mean, best first; one that ends in a slash is a folder.
+
+    Which of them exist, the tree tells.
+    """
+
     raw: str
     virtual_path: str | None = None
     physical_path: str | None = None
     alias: str | None = None
     dot: bool = False
     external: bool = True
+    candidates: list[str] = field(default_factory=list)
+
+    def resolve(self, files: frozenset[str]) -> None:
+        """An import of a file of the repository is local."""
+        found = next((c for c in self.candidates if c in files or c.endswith("/") and any(f.startswith(c) for f in files)), None)
+        if found is not None:
+            self.physical_path, self.external = found.rstrip("/"), False
 
 
 class Source:

@@ -12,12 +12,16 @@ _FENCE = re.compile(r"^ {0,3}(```+|~~~+)")
 _ITEM = re.compile(r"^ {0,3}([-*+]|\d+[.)])[ \t]+")
 
 
-def _chunks(text: str, start: int, stop: int) -> list[Node]:
-    return [Node("literal", start + a, start + b) for a, b in chunk_spans(text[start:stop], MAX_TOKENS, MIN_TOKENS)]
+Limits = tuple[int, int]
+_LIMITS = (MAX_TOKENS, MIN_TOKENS)
 
 
-def parse_text(path: str, text: str, files: frozenset[str] = frozenset()) -> tuple[list[Node], list[Import]]:
-    return _chunks(text, 0, len(text)), []
+def _chunks(text: str, start: int, stop: int, limits: Limits) -> list[Node]:
+    return [Node("literal", start + a, start + b) for a, b in chunk_spans(text[start:stop], *limits)]
+
+
+def parse_text(path: str, text: str, limits: Limits = _LIMITS) -> tuple[list[Node], list[Import]]:
+    return _chunks(text, 0, len(text), limits), []
 
 
 def _trim(text: str, start: int, stop: int) -> int:
@@ -26,14 +30,14 @@ def _trim(text: str, start: int, stop: int) -> int:
     return stop
 
 
-def _terminal(text: str, start: int, stop: int, **fields) -> Node:
+def _terminal(text: str, start: int, stop: int, limits: Limits, **fields) -> Node:
     """A section or block without sections below it; long ones get their chunks as children."""
     stop = _trim(text, start, stop)
-    parts = _chunks(text, start, stop)
+    parts = _chunks(text, start, stop, limits)
     return Node("literal", start, stop, children=parts if len(parts) > 1 else [], **fields)
 
 
-def parse_markdown(path: str, text: str, files: frozenset[str] = frozenset()) -> tuple[list[Node], list[Import]]:
+def parse_markdown(path: str, text: str, limits: Limits = _LIMITS) -> tuple[list[Node], list[Import]]:
     """Sections by heading level; blocks before the first heading stand alone."""
     heads: list[tuple[int, int, str]] = []  # offset, level, title
     blocks: list[tuple[int, int]] = []
@@ -57,7 +61,7 @@ def parse_markdown(path: str, text: str, files: frozenset[str] = frozenset()) ->
     first = heads[0][0] if heads else len(text)
     if begin is not None:
         blocks.append((begin, first))
-    nodes = [_terminal(text, a, b) for a, b in blocks]
+    nodes = [_terminal(text, a, b, limits) for a, b in blocks]
 
     def section(k: int) -> tuple[Node, int]:
         start, level, title = heads[k]
@@ -70,8 +74,8 @@ def parse_markdown(path: str, text: str, files: frozenset[str] = frozenset()) ->
         stop = heads[j][0] if j < len(heads) else len(text)
         header = text[start : text.find("\n", start) if "\n" in text[start:] else len(text)]
         if not children:
-            return _terminal(text, start, stop, name=title, header=header), j
-        return Node("custom", start, _trim(text, start, stop), title, "section", header, children=[_terminal(text, start, own), *children]), j
+            return _terminal(text, start, stop, limits, name=title, header=header), j
+        return Node("custom", start, _trim(text, start, stop), title, "section", header, children=[_terminal(text, start, own, limits), *children]), j
 
     k = 0
     while k < len(heads):

@@ -1,9 +1,10 @@
-"""Python sources, with the standard library's own parser."""
+"""Python sources, with the standard library's own parser; where it finds errors, statement by statement."""
 
 from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 
 from .model import Import, Node, Source
@@ -49,6 +50,38 @@ def _header_end(text: str, at: int) -> int:
     return len(text)
 
 
+_BEGIN = re.compile(r"(?m)^(?=[^\s#)\]}])")
+_GOES_ON = re.compile(r"(?:else|elif|except|finally)\b")
+#: Further beginnings of lines that a statement may hold, in strings and brackets, where a text has errors.
+_REACH = 8
+
+
+def _parses(text: str) -> bool:
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
+def _runs(text: str) -> list[tuple[int, int, bool]]:
+    """(start, stop, whether it parses) of stretches of top-level statements; one stretch for a text without errors."""
+    if _parses(text):
+        return [(0, len(text), True)]
+    cuts = sorted({0, *(m.start() for m in _BEGIN.finditer(text) if not _GOES_ON.match(text, m.start())), len(text)})
+    out: list[tuple[int, int, bool]] = []
+    k = 0
+    while k + 1 < len(cuts):
+        end = next((j for j in range(k + 1, min(len(cuts), k + 1 + _REACH)) if _parses(text[cuts[k] : cuts[j]])), None)
+        j = end or k + 1
+        if out and out[-1][2] == (end is not None):
+            out[-1] = (out[-1][0], cuts[j], out[-1][2])
+        else:
+            out.append((cuts[k], cuts[j], end is not None))
+        k = j
+    return [r for r in out if r[2] or text[r[0] : r[1]].strip()]
+
+
 class _Parser:
     def __init__(self, text: str):
         self.source = Source(text)
@@ -142,25 +175,35 @@ class _Parser:
         self.imports.append(Import(raw, path, alias=alias, dot=bool(dots), external=not dots))
 
 
-def _resolve(i: Import, path: str, files: frozenset[str]) -> None:
-    """Local if a dotted prefix is a module of the repository; relative ones count from the file's package."""
+def _candidates(i: Import, path: str) -> list[str]:
+    """Modules of the repository that a dotted prefix may name; relative ones count from the file's package."""
     dots = len(i.virtual_path) - len(i.virtual_path.lstrip("."))
     parts = [p for p in i.virtual_path.lstrip(".").split(".") if p]
     base = path.split("/")[:-1]
     base = base[: len(base) - (dots - 1)] if dots > 1 else base if dots else []
-    for n in range(len(parts), 0, -1):
-        stem = "/".join([*base, *parts[:n]])
-        for candidate in (f"{stem}.py", f"{stem}/__init__.py"):
-            if candidate in files and not any(v in candidate.split("/") for v in VENV_DIRS):
-                i.physical_path, i.external = candidate, False
-                return
-    i.external = not dots
-
-
-def parse(path: str, text: str, files: frozenset[str] = frozenset()) -> tuple[list[Node], list[Import]]:
-    p = _Parser(text)
-    tree = ast.parse(text)
-    nodes = p.block(tree.body, 0, len(text), None)
-    for i in p.imports:
-        _resolve(i, path, files)
-    return nodes, p.imports
+    stems = ["/".join([*base, *parts[:n]]) for n in range(len(parts), 0, -1)]
+    return [c for s in stems for c in (f"{s}.py", f"{s}/__init__.py") if not any(v in c.split("/") for v in VENV_DIRS)]
+
+
+def _shift(nodes: list[Node], by: int) -> list[Node]:
+    for n in nodes:
+        n.start, n.stop = n.start + by, n.stop + by
+        _shift(n.children, by)
+    return nodes
+
+
+def parse(path: str, text: str) -> tuple[list[Node], list[Import]]:
+    """Nodes and imports.  What can't be parsed becomes literals; the statements around it are read as usual."""
+    nodes: list[Node] = []
+    imports: list[Import] = []
+    for start, stop, ok in _runs(text):
+        part = text[start:stop]
+        if ok:
+            p = _Parser(part)
+            nodes += _shift(p.block(ast.parse(part).body, 0, len(part), None), start)
+            imports += p.imports
+        else:
+            nodes.append(Node("literal", stop - len(part.lstrip()), start + len(part.rstrip())))
+    for i in imports:
+        i.candidates = _candidates(i, path)
+    return nodes, imports

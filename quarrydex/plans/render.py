@@ -169,7 +169,7 @@ class Script(Renderer):
             return [f"{pad}{n['header']} {out[0].strip()}", *out[1:]]
         if n["subtype"] == "export" and kids and kids[0]["kind"] != "literal":
             first, *rest = self.node(kids[0], pad, only)
-            word = f"{n['header']} " if n["header"] else ""
+            word = "" if first.strip().startswith(("module.exports", "exports")) else f"{n['header']} "
             return [f"{pad}{word}{first.strip()}", *rest]
         return self._body(n, pad, only)
 

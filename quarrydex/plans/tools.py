@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.vectors import embedder
 from ..operators import files as FL
 from ..operators import graph as G
 from ..operators import reads as R
@@ -21,6 +22,7 @@ from ..schema import SUMMARY_MODES, VISIBILITIES, Settings
 from ..sources.files import read_tree
 from ..sources.store import Store
 from . import ingest, render
+from .index import TextIndex
 
 # --- output
 
@@ -105,30 +107,106 @@ class RefreshControl:
             done.set()
 
 
+class Debounce:
+    """Runs ``action`` with all that was noted, once nothing more has come for ``quiet`` seconds."""
+
+    def __init__(self, action: Callable[[list[str]], object], quiet: float = 1.0):
+        self.action, self.quiet = action, quiet
+        self.lock, self.noted, self.timer = threading.Lock(), set(), None
+
+    def note(self, *paths: str) -> None:
+        with self.lock:
+            self.noted |= set(paths)
+            if self.timer is not None:
+                self.timer.cancel()
+            self.timer = threading.Timer(self.quiet, self.run)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def run(self) -> None:
+        """Run now what is waiting."""
+        with self.lock:
+            paths, self.noted, self.timer = sorted(self.noted), set(), None
+        if paths:
+            self.action(paths)
+
+    def close(self) -> None:
+        with self.lock:
+            timer, self.timer = self.timer, None
+        if timer is not None:
+            timer.cancel()
+            self.run()
+
+
+class Component:
+    """A part of a project of one's own; the engine calls it when it opens, after each scan, and when it closes."""
+
+    def initialize(self, engine: Engine) -> None: ...
+
+    def refresh(self, result: ingest.ScanResult) -> None: ...
+
+    def destroy(self) -> None: ...
+
+
 # --- the engine
 
 
 class Engine:
-    """A project of repositories over a store, and the tools that query it."""
+    """A project of repositories over a store, and the tools that query it.
 
-    def __init__(self, store: Store, repos: dict[str, str], *, settings: Settings | None = None, embed=None, embed_model: str = "hashing"):
+    ``embed`` is a column function of texts; with ``Settings.embedder`` set and no
+    function given, ``with_embedder`` makes one.
+    """
+
+    def __init__(self, store: Store, repos: dict[str, str], *, settings: Settings | None = None, embed=None, embed_model: str | None = None, components: list[Component] | None = None):
         self.store, self.roots, self.settings = store, dict(repos), settings or Settings()
         self.default = next(iter(self.roots))
-        self.embed, self.embed_model = embed, embed_model
-        self.components: list[Callable[[ingest.ScanResult], None]] = []
+        self.embed, self.embed_model = embed, embed_model or self.settings.embedder
+        self.index = TextIndex(store)
+        self.components: list[Component | Callable[[ingest.ScanResult], None]] = list(components or [])
         self.control = RefreshControl(self.refresh, self.settings.refresh_cooldown_s)
-
-    def refresh(self, paths: list[str] | None = None) -> dict[str, ingest.ScanResult]:
-        """Scan every repository, then embed what has no vector."""
+        self.debounce = Debounce(self._refresh_paths, self.settings.refresh_debounce_s)
+        for c in self.components:
+            c.initialize(self)
+
+    @classmethod
+    def with_embedder(cls, store: Store, repos: dict[str, str], settings: Settings | None = None, **options) -> Engine:
+        s = settings or Settings()
+        return cls(store, repos, settings=s, embed=embedder(s.embedder, s.embedding_dim), **options)
+
+    def close(self) -> None:
+        """Finish what waits, then let the components go."""
+        self.debounce.close()
+        for c in self.components:
+            if isinstance(c, Component):
+                c.destroy()
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def refresh(self, paths: list[str] | None = None, progress: Callable[[dict], None] | None = None) -> dict[str, ingest.ScanResult]:
+        """Scan every repository, embed what has no vector, and renew the text index if anything changed."""
         out = {}
         for repo, root in self.roots.items():
-            out[repo] = ingest.scan(self.store, repo, root, settings=self.settings, paths=paths)
-            for hook in self.components:
-                hook(out[repo])
+            out[repo] = ingest.scan(self.store, repo, root, settings=self.settings, paths=paths, progress=progress)
+            for c in self.components:
+                (c.refresh if isinstance(c, Component) else c)(out[repo])
         if self.embed is not None:
-            ingest.embed_missing(self.store, self.embed, self.embed_model)
+            ingest.embed_missing(self.store, self.embed, self.embed_model, self.settings)
+        if not self.index.valid() or any(any(r.counts.values()) for r in out.values()):
+            self.index.refresh()
         return out
 
+    def changed(self, *paths: str) -> None:
+        """Note paths that changed on disk; they are scanned together when things are quiet again."""
+        self.debounce.note(*paths)
+
+    def _refresh_paths(self, paths: list[str]) -> None:
+        self.refresh(paths)
+
     def tool(self, name: str, params: dict | str | None = None, output: str | None = None) -> str:
         """Run a tool by name with its parameters and encode what it returns."""
         if name not in TOOLS or name in self.settings.disabled_tools:
@@ -216,7 +294,7 @@ class Engine:
         asked = spark.createDataFrame([(0, query or "")], "query_id int, needle string")
         text = vector = None
         if query:
-            text = SE.bm25(SE.tokenised(nodes, "id", "fts_needle", "noop"), SE.needle_terms(asked, kind=self.settings.tokenizer))
+            text = self.index.scores(asked, self.settings.tokenizer)
             if self.embed is not None:
                 q = asked.select("query_id", self.embed(F.col("needle")).alias("vector"))
                 vector = SE.cosine_scores(nodes.filter(F.col("embedding_model") == self.embed_model), q, "id", "embedding_code_vec")

@@ -89,7 +89,11 @@ class Settings:
     parser_extensions: dict[str, str] = field(default_factory=dict)
     language_extensions: dict[str, list[str]] = field(default_factory=dict)
     parse_unknown_text: bool = False
+    embedder: str = "hashing"
     embedding_dim: int = 1024
+    embedding_cache: str = "store"
+    embed_batch: int = 128
+    embed_wait_s: float = 0.05
     cache_max_rows: int = 1_000_000
     cache_trim_batch: int = 10_000
     disabled_tools: tuple[str, ...] = ()

@@ -28,6 +28,7 @@ def project(spark, tmp_path):
     (root / ".gitignore").write_text("*.tmp\n")
     (root / "x.tmp").write_text("never")
     (root / "broken.py").write_text("def broken(:")
+    (root / "latin.py").write_bytes(b"# \xe9\n")
     return root, Store(spark, str(tmp_path / "store"))
 
 
@@ -39,26 +40,31 @@ def test_scan_life_cycle(project):
     root, store = project
     seen = []
     first = ingest.scan(store, "r", str(root), progress=seen.append)
-    assert counts(first) == (6, 0, 0) and len(first.errors) == 1 and seen[0]["counts"]["added"] == 6
+    assert counts(first) == (7, 0, 0) and len(first.errors) == first.n_errors == 1 and first.errors[0].startswith("latin.py")
+    assert [x["phase"] for x in seen][:1] == ["listed"] and [x["phase"] for x in seen][-2:] == ["written", "done"] and seen[-1]["counts"]["added"] == 7
+    assert {"phase": "parsed", "files": 8, "of": 8} in seen
     files = {r["path"]: r for r in store.read("files").collect()}
-    assert set(files) == {"pkg/__init__.py", "pkg/alpha.py", "pkg/beta.py", "notes.log", "data.bin", ".gitignore"}
+    assert set(files) == {"pkg/__init__.py", "pkg/alpha.py", "pkg/beta.py", "notes.log", "data.bin", ".gitignore", "broken.py"}
     assert files["notes.log"]["package_id"] is None and files["pkg/alpha.py"]["package_id"]
     packages = {r["virtual_path"]: r["id"] for r in store.read("packages").collect()}
-    assert set(packages) == {"pkg", "pkg.alpha", "pkg.beta"}
+    assert set(packages) == {"pkg", "pkg.alpha", "pkg.beta", "broken"}
     edges = {r["to_package_virtual_path"]: r for r in store.read("import_edges").collect()}
     assert edges[".beta"]["to_package_id"] == packages["pkg.beta"] and edges["json"]["external"]
     nodes = {r["name"]: r for r in store.read("nodes").filter("name IS NOT NULL").collect()}
     assert set(nodes) == {"alpha_value", "Gamma", "delta", "helper"} and nodes["delta"]["parent_node_id"] == nodes["Gamma"]["id"]
     assert nodes["helper"]["search_boost"] == 2.0 and nodes["alpha_value"]["fts_needle"].startswith("def alpha value")
 
-    (root / "broken.py").unlink()
+    (root / "latin.py").unlink()
+    tables = {t: store._manifest(t) for t in ("files", "nodes", "packages", "import_edges")}
     again = ingest.scan(store, "r", str(root))
     assert counts(again) == (0, 0, 0)
+    assert tables == {t: store._manifest(t) for t in tables}  # nothing was written again
     ids = {r["id"] for r in store.read("nodes").collect()}
     (root / "pkg/alpha.py").write_text("def alpha_value(x):\n    return 2\n")
     (root / "pkg/beta.py").unlink()
+    (root / "broken.py").unlink()
     third = ingest.scan(store, "r", str(root))
-    assert counts(third) == (0, 1, 1)
+    assert counts(third) == (0, 1, 2)
     assert {r["name"] for r in store.read("nodes").collect()} == {"alpha_value"} and store.read("import_edges").count() == 0
     assert {r["virtual_path"] for r in store.read("packages").collect()} == {"pkg", "pkg.alpha"}
     assert ids
@@ -122,6 +128,50 @@ def test_tools(project):
     assert [s["name"] for s in tools.tool_schemas(Settings(disabled_tools=("read_files",)))] == ["search_project", "list_files", "summarize_files"]
 
 
+def test_expanded_search_keeps_members(project):
+    """Of a class and its method only the method is a hit of its own, and it stays."""
+    root, store = project
+    with tools.Engine.with_embedder(store, {"r": str(root)}, Settings(refresh_enabled=False, embedding_dim=32, embedding_cache="none")) as engine:
+        engine.refresh()
+        names = [h.get("name") for h in engine.search_project("Gamma delta", limit=10)]
+        assert "delta" in names and "Gamma" not in names
+        assert "Gamma" in [h.get("name") for h in engine.search_project("Gamma delta", limit=10, expand=False)]
+
+
+def test_components_and_debounce(project):
+    root, store = project
+    calls = []
+
+    class Part(tools.Component):
+        def initialize(self, engine):
+            calls.append("open")
+
+        def refresh(self, result):
+            calls.append(result.counts["added"])
+
+        def destroy(self):
+            calls.append("close")
+
+    engine = tools.Engine(store, {"r": str(root)}, settings=Settings(refresh_debounce_s=60), components=[Part()])
+    engine.changed("pkg/alpha.py")
+    engine.changed("pkg/beta.py", "pkg/alpha.py")
+    engine.close()  # what waits is done once
+    assert calls == ["open", 2, "close"] and store.read("files").count() == 2
+    ran = []
+    d = tools.Debounce(ran.append, 0.05)
+    for p in "aba":
+        d.note(p)
+    time.sleep(0.5)
+    assert ran == [["a", "b"]]
+
+
+def test_chunk_settings(project):
+    root, store = project
+    (root / "long.md").write_text("\n\n".join(f"word{i} " * 10 for i in range(30)))
+    ingest.scan(store, "r", str(root), settings=Settings(chunk_max_tokens=20, chunk_min_tokens=5), paths=["long.md"])
+    assert store.read("nodes").filter("parent_node_id IS NOT NULL OR kind = 'literal'").count() >= 30
+
+
 def test_structured_text():
     assert tools.to_structured_text({"b": 1, "a": "x", "c": None, "d": "l1\n```\nl2"}) == "a: x\nb: 1\nd:\n````\nl1\n```\nl2\n````"
     assert tools.to_structured_text(["u", "v"]) == "idx: 0\nvalue: u\n---\nidx: 1\nvalue: v"

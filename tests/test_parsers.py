@@ -79,8 +79,63 @@ def test_python():
 def test_python_try_and_errors():
     _, nodes, _ = parse("python", "try:\n    a()\nexcept E:\n    b()\nfinally:\n    c()\n")
     assert [n["subtype"] for n in nodes if n["kind"] == "block"] == ["try", "except", "finally"]
-    with pytest.raises(SyntaxError):
-        parse("python", "def broken(:")
+
+
+def test_python_with_errors_keeps_the_rest():
+    text, nodes, imports = parse("python", """
+        import os
+        # makes
+        def good(x):
+            return x
+        def broken(:
+            pass
+        @deco
+        class After:
+            def m(self): pass
+        S = '''
+        not code (
+        '''
+        if x:
+            a()
+        else:
+            b()
+    """)
+    names = {n["name"]: n for n in nodes if n["name"]}
+    assert set(names) == {"good", "After", "m"} and names["good"]["comment"] == "# makes" and [i["virtual_path"] for i in imports] == ["os"]
+    assert all(text.encode()[n["start_byte"] : n["end_byte"]].decode() == n["body"] for n in nodes)
+    assert names["After"]["start_line"] == 7 and any("def broken(:" in n["body"] and n["kind"] == "literal" for n in nodes)
+    assert [n["subtype"] for n in nodes if n["kind"] == "block"] == ["if", "else"]
+    assert kinds(parse("python", "def broken(:")[1]) == [("literal", None, None)] and parse("python", "\x00")[1][0]["kind"] == "literal"
+
+
+def test_commonjs_exports():
+    _, nodes, imports = parse("javascript", """
+        const a = require('./a');
+        let c;
+        c = require("c");
+        require('side');
+        module.exports = { a, c };
+        exports.run = function (x) { return x; };
+        exports.N = 3;
+        module.exports.K = class K { m() {} };
+        config.depth = 4;
+    """, "w/m.js", ["w/a.js"])
+    assert [(i["virtual_path"], i["physical_path"], i["alias"]) for i in imports] == [("./a", "w/a.js", "a"), ("c", None, "c"), ("side", None, None)]
+    tops = [n for n in nodes if n["parent_ordinal"] is None]
+    assert [(n["kind"], n["subtype"]) for n in tops[4:8]] == [("custom", "export")] * 4 and all(n["header"] == "export" for n in tops[4:8])
+    assert [(n["kind"], n["name"]) for n in nodes if n["parent_ordinal"] in (tops[5]["ordinal"], tops[7]["ordinal"])] == [("function", "exports.run"), ("class", "module.exports.K")]
+    assert (tops[2]["kind"], tops[2]["name"], tops[3]["kind"], tops[8]["kind"], tops[8]["name"]) == ("variable", "c", "literal", "variable", "config.depth")
+
+
+def test_c_function_pointers():
+    _, nodes, _ = parse("c", """
+        int (*hook)(int, char *);
+        void (*chosen)(void) = start;
+        char (*grid)[8];
+        struct ops { int (*open)(const char *p); long n; };
+    """)
+    assert kinds(nodes) == [("function", "signature", "hook"), ("variable", None, "chosen"), ("variable", None, "grid"), ("class", "struct", "ops")]
+    assert [(n["kind"], n["name"]) for n in nodes if n["parent_ordinal"] is not None] == [("property", "open"), ("property", "n")]
 
 
 def test_go():

@@ -8,7 +8,7 @@ from quarrydex.plans.embedding import embed_cached, embed_long
 from quarrydex.plans.index import TextIndex
 from quarrydex.plans.repository import Repository
 from quarrydex.schema import Settings
-from quarrydex.sources.store import Store
+from quarrydex.sources.store import Store, StoreConflict
 
 
 @pytest.fixture
@@ -48,14 +48,53 @@ def test_migrations(repo):
 
 
 def test_index_is_a_snapshot(repo, spark):
-    repo.nodes.create([{"id": "n1", "fts_needle": "alpha beta alpha"}, {"id": "n2", "fts_needle": "gamma"}])
+    repo.nodes.create([{"id": "n1", "body": "alpha beta alpha"}, {"id": "n2", "body": "gamma"}])
     index = TextIndex(repo.store)
     asked = spark.createDataFrame([(0, "alpha"), (1, "delta")], "query_id int, needle string")
     assert not index.valid() and [r["id"] for r in index.scores(asked).collect()] == ["n1"] and index.valid()
-    repo.nodes.create([{"id": "n3", "fts_needle": "delta alpha"}])
-    assert index.scores(asked).filter("id = 'n3'").count() == 0
-    index.refresh()
-    assert index.scores(asked).filter("id = 'n3'").count() == 2
+    repo.nodes.create([{"id": "n3", "body": "delta alpha"}])
+    assert index.scores(asked).filter("id = 'n3'").count() == 0 and [r["id"] for r in index.validate().collect()] == ["n3"]
+    repo.refresh_indexes()
+    assert index.scores(asked).filter("id = 'n3'").count() == 2 and index.validate().count() == 0
+
+
+def test_needles_follow_the_fields(repo):
+    repo.files.create([{"id": "f", "repo_id": "a", "path": "src/fooBar.py"}])
+    made = repo.nodes.create([{"id": "n", "repo_id": "a", "file_id": "f", "name": "oneTwo", "body": "three"}, {"id": "m", "repo_id": "b"}])
+    needle = {r["id"]: r["fts_needle"] for r in made.collect()}
+    assert needle["n"].split().count("oneTwo") == 3 and needle["n"].split().count("fooBar") == 2 and needle["n"].endswith("three") and needle["m"] == ""
+    repo.nodes.update([{"id": "n", "body": "four", "header": "def oneTwo"}])
+    assert repo.nodes.first(id="n")["fts_needle"].endswith("four") and "def" in repo.nodes.first(id="n")["fts_needle"]
+    assert repo.nodes.create([]).count() == 0 and repo.nodes.update([{"id": "none", "name": "x"}]).count() == 0
+
+
+def test_store_snapshots(spark, tmp_path):
+    """Untouched repositories aren't copied, readers keep their snapshot, two writers don't overwrite each other."""
+    store = Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([(f"n{i}", f"r{i % 5}") for i in range(50)], "id string, repo_id string")
+    store.write("nodes", rows)
+    before = store.read("nodes")
+    version, buckets = store._manifest("nodes")
+    store.write("nodes", rows.filter("repo_id = 'r1' AND id <> 'n1'"), ["r1"])
+    after = store._manifest("nodes")[1]
+    changed = [b for b in after if after[b] != buckets.get(b)]
+    assert len(changed) == 1 and store.read("nodes").count() == 49 and store.read("nodes", "r1").count() == 9 and store.read("nodes", "zz").count() == 0
+    assert before.count() == 50  # the old snapshot is still there for its readers
+    with pytest.raises(StoreConflict):
+        store._commit("nodes", version, buckets)
+    store.write("nodes", rows.limit(0), ["r1"])
+    assert store.read("nodes").count() == 40
+    store.keep_s = -1
+    store.vacuum("nodes")
+    assert store.read("nodes").count() == 40 and store.check() == []
+    at = store._manifest("nodes")[1]
+    import shutil
+
+    shutil.rmtree(tmp_path / "s/nodes" / next(iter(at.values()))[0])
+    assert len(store.check()) == 1 and "scan again" in store.check()[0]
+    (tmp_path / "s/files").mkdir()
+    (tmp_path / "s/files/v-000000000001.json").write_text("{")
+    assert any("can't be read" in x for x in store.check())
 
 
 def test_embedding_cache(repo, spark):
@@ -79,3 +118,22 @@ def test_settings(tmp_path):
     assert cli.load_settings(str(tmp_path / "c.json"), env={}).ignored_dirs == ("x",)
     with pytest.raises(ValueError):
         cli.load_settings(flags={"colour": "red"}, env={})
+    (tmp_path / ".env").write_text('# note\nexport QUARRYDEX_LIST_LIMIT=3\nQUARRYDEX_TOKENIZER="noop"\n\nOTHER=1\n')
+    s = cli.load_settings(env={"QUARRYDEX_TOKENIZER": "word"}, env_file=str(tmp_path / ".env"))
+    assert (s.list_limit, s.tokenizer) == (3, "word")
+
+
+def test_embedder_and_cache_choice(repo, spark):
+    from quarrydex.functions import vectors as V
+    from quarrydex.plans.embedding import vectors_of
+
+    texts = spark.createDataFrame([("one",), ("two",)], "text string")
+    embed = V.embedder("hashing", 8)
+    assert vectors_of(repo.store, texts, embed, "m", Settings(embedding_cache="none")).count() == 2 and repo.store.read("embedding_cache").count() == 0
+    assert vectors_of(repo.store, texts, embed, "m").count() == 2 and repo.store.read("embedding_cache").count() == 2
+    with pytest.raises(ValueError):
+        vectors_of(repo.store, texts, embed, "m", Settings(embedding_cache="odd"))
+    with pytest.raises(ValueError):
+        V.embedder("odd")
+    with pytest.raises(ValueError):
+        V.register_embedder("hashing", V.hashing_embedder)
