@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import path_queries, store_queries, text_queries  # noqa: F401
+from .plans import path_queries, source_queries, store_queries, text_queries  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -181,7 +181,8 @@ class Go(Scanner):
                 target = m[2][1:-1]
                 physical = self.beside(target) if target.startswith(".") else None
                 folder = [f"{target}/"] if physical is None else []
-                self.imports.append(Import(m[0], target, physical, m[1], m[1] == ".", physical is None, folder))
+                alias = m[1] if m[1] != "import" else None
+                self.imports.append(Import(m[0], target, physical, alias, alias == ".", physical is None, folder))
             return [Node("literal", a, b)]
         if word == "func":
             m = re.match(r"func\s*(\([^)]*\))?\s*(\w+)", t)

@@ -45,7 +45,7 @@ def vanished_files(t):
 @query("SELECT o_custkey % 11 AS repo, max(epoch_us(o_orderdate)) AS last_scanned FROM orders GROUP BY 1")
 def high_water_marks(t):
     at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    return t("orders").groupBy((F.col("o_custkey") % 11).alias("repo")).agg(F.max(at).alias("last_scanned"))
+    return SN.high_water(t("orders").select((F.col("o_custkey") % 11).alias("repo"), at.alias("last_updated")), key="repo")
 
 
 @query("""SELECT c_custkey AS id, c_name AS name, c_mktsegment AS kind FROM customer WHERE c_custkey % 4 <> 0
@@ -81,8 +81,7 @@ def cascade_delete(t):
 
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def content_duplicates(t):
-    d = t("documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    return d.filter("n > 1")
+    return SN.duplicates(t("documents"), "text", "doc_id")
 
 
 @query("""WITH old AS (SELECT doc_id, source AS file_id, text, doc_id AS ordinal, vec_id FROM documents JOIN embeddings ON vec_id = doc_id),
@@ -103,7 +102,7 @@ def lru_victims(t):
 
 @query("SELECT event_type AS model, count(*) AS n FROM events GROUP BY 1")
 def cache_sizes(t):
-    return t("events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("n"))
+    return SN.cache_sizes(t("events").withColumnRenamed("event_type", "model"))
 
 
 @query("SELECT w.model, w.hash, coalesce(c.v, 0) AS vector FROM (SELECT DISTINCT event_type AS model, user_id % 50 AS hash FROM events WHERE event_id % 2 = 0) w LEFT JOIN (SELECT event_type AS model, user_id % 50 AS hash, min(1) AS v FROM events WHERE event_id % 7 = 1 AND user_id % 3 = 0 GROUP BY ALL) c USING (model, hash)")
@@ -114,16 +113,23 @@ def cache_lookup(t):
     return SN.cache_lookup(wanted, cache).select("model", "hash", F.coalesce("vector", F.lit(0)).alias("vector"))
 
 
-@query("SELECT DISTINCT event_type AS action, md5(props) AS text_hash FROM events")
+@query("SELECT DISTINCT event_type AS action, sha256(props) AS text_hash FROM events")
 def embedding_queue(t):
     """Pending requests, one per action and text."""
-    return t("events").select(F.col("event_type").alias("action"), F.md5("props").alias("text_hash")).dropDuplicates(["action", "text_hash"])
+    from ..streaming.refresh import pending_requests
 
+    requests = t("events").select("ts", F.col("event_type").alias("action"), F.col("props").alias("text"))
+    return pending_requests(requests).select("action", "text_hash")
 
-@query("SELECT doc_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE vec_id IS NULL OR label = 3")
+
+@query("SELECT doc_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE vec_id IS NULL OR label <> 3 OR label IS NULL")
 def embedding_backfill(t):
-    """Nodes without a vector, or with one of an outdated model (label 3 here)."""
-    return t("documents").join(t("embeddings"), F.col("doc_id") == F.col("vec_id"), "left").filter("vec_id IS NULL OR label = 3").select("doc_id")
+    """Nodes without a vector, or with one of another model than label 3."""
+    from .ingest import due_nodes
+
+    nodes = t("documents").join(t("embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
+    nodes = nodes.select("doc_id", F.col("embedding").alias("embedding_code_vec"), F.col("label").cast("string").alias("embedding_model"))
+    return due_nodes(nodes, "3").select("doc_id")
 
 
 @query("SELECT l_returnflag AS suffix, count(*) AS n, round(sum(l_tax), 6) AS total, round(avg(l_tax), 6) AS average, round(100 * sum(l_tax) / (SELECT sum(l_tax) FROM lineitem), 6) AS percent FROM lineitem GROUP BY 1")
@@ -198,12 +204,20 @@ def dedent(t):
     return t("documents").filter(F.exists(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith(" "))).select("doc_id", X.dedent(indented).alias("text"))
 
 
-@query("SELECT conv_id AS file_id, string_agg('    ' || replace(text, chr(10), chr(10) || '    '), chr(10) ORDER BY turn) AS summary FROM conversations GROUP BY conv_id")
+@query(r"""WITH n AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(trim(text, chr(10)), chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10)) AS body FROM conversations WHERE trim(text, chr(10)) <> '')
+SELECT conv_id AS file_id, string_agg(body, chr(10) ORDER BY turn) AS summary FROM n GROUP BY conv_id""")
 def flat_summary(t):
-    """Text nodes of a file in the order of their positions, indented."""
-    body = F.concat(F.lit("    "), F.replace("text", F.lit("\n"), F.lit("\n    ")))
-    c = t("conversations").groupBy(F.col("conv_id").alias("file_id")).agg(F.sort_array(F.collect_list(F.struct("turn", body.alias("b")))).alias("x"))
-    return c.select("file_id", F.array_join(F.transform("x", lambda s: s["b"]), "\n").alias("summary"))
+    """Text nodes of a file in the order of their positions."""
+    from .render import summaries
+
+    turn = F.col("turn").cast("int")
+    none = [F.lit(None).cast("string").alias(c) for c in ("subtype", "name", "header", "docstring", "comment")]
+    nodes = t("conversations").select(
+        F.col("conv_id").cast("string").alias("file_id"), turn.alias("ordinal"), F.lit(None).cast("int").alias("parent_ordinal"), F.lit("literal").alias("kind"), *none,
+        turn.alias("start_line"), turn.alias("end_line"), turn.alias("start_byte"), (turn + 1).alias("end_byte"), F.col("text").alias("body"),
+    )
+    files = t("conversations").select(F.col("conv_id").cast("string").alias("file_id")).distinct().select("file_id", F.lit("text").alias("language"), F.lit(None).cast("string").alias("text"))
+    return summaries(nodes, files, "documentation").withColumn("file_id", F.col("file_id").cast("long"))
 
 
 @query()
@@ -219,50 +233,28 @@ def chunk_round_trip(t):
     return c.select("doc_id", F.md5(F.array_join(F.transform("x", lambda s: s["text"]), "")).alias("digest"), "n")
 
 
-SAMPLES = [
-    ("python", "pkg/tools.py", 'from os import path\n\nLIMIT = 3\n\n\ndef load(name: str) -> str:\n    """Read."""\n    return name\n\n\nclass Box:\n    """Holds."""\n\n    def put(self, x):\n        self.x = x\n'),
-    ("go", "cmd/main.go", "package main\n\nimport \"fmt\"\n\n// Pair holds two.\ntype Pair struct {\n\ta int\n\tb int\n}\n\nfunc (p *Pair) Sum() int {\n\treturn p.a + p.b\n}\n"),
-    ("c", "src/a.c", "#include \"a.h\"\n\nint twice(int x) {\n    return 2 * x;\n}\n\nenum Kind { ONE, TWO };\n"),
-    ("cpp", "src/b.cpp", "namespace a {\nclass B {\npublic:\n    int c() const;\n};\n}\n"),
-    ("javascript", "web/x.js", "import y from './y.js';\nexport const f = (a) => a + 1;\nclass Z {\n  run() { return 1; }\n}\n"),
-    ("typescript", "web/t.ts", "interface P {\n  x: number;\n}\nexport function g(p: P): number { return p.x; }\nenum E { A, B }\n"),
-    ("terraform", "infra/m.tf", 'resource "disk" "d" {\n  size = 10\n  tags = {\n    a = "b"\n  }\n}\n'),
-    ("markdown", "README.md", "# Title\n\nIntro.\n\n## Part\n\nText.\n"),
-    ("text", "notes.txt", "One line.\n\nAnother.\n"),
-]
-
-
-def _samples(t):
-    spark = t("region").sparkSession
-    rows = [(path, key, text, bytes(text, "utf-8"), 1, "h") for key, path, text in SAMPLES]
-    return spark.createDataFrame(rows, "path string, parser string, text string, content binary, mtime bigint, hash string")
-
+#: Texts of n paragraphs of w words each: what chunks they make can be reckoned.
+_PARAGRAPHS = "p AS (SELECT p_partkey AS k, 1 + p_partkey % 23 AS n, 3 + p_partkey * 7 % 120 AS w FROM part)"
 
-@query()
-def parsed_nodes(t):
-    """Nodes of one small file in every language that has a parser."""
-    from .ingest import parse_files
-
-    n = parse_files(_samples(t)).select("path", "parser", F.explode("nodes").alias("n"))
-    return n.select("path", "parser", "n.ordinal", "n.parent_ordinal", "n.kind", "n.subtype", "n.name", "n.header", "n.start_line", "n.end_line")
-
-
-@query()
-def parsed_imports(t):
-    from .ingest import parse_files
-
-    return parse_files(_samples(t)).select("path", F.explode("imports").alias("i")).select("path", "i.*")
 
+@query(f"""WITH {_PARAGRAPHS}, r AS (SELECT *, n * w <= 512 AS whole, CASE WHEN w >= 64 THEN 1 ELSE 512 // w END AS per FROM p),
+c AS (SELECT *, CASE WHEN whole THEN 1 ELSE (n + per - 1) // per END AS chunks FROM r), e AS (SELECT *, unnest(range(chunks)) AS ordinal FROM c)
+SELECT k, ordinal::INT AS ordinal, (CASE WHEN whole THEN n ELSE least(per, n - ordinal * per) END * w)::INT AS tokens FROM e""")
+def chunk_packing(t):
+    """Paragraphs of under 64 words are packed while 512 hold them, longer ones stand alone, a text of 512 is one chunk."""
+    k, n, w = F.col("p_partkey"), (1 + F.col("p_partkey") % 23).cast("int"), (3 + F.col("p_partkey") * 7 % 120).cast("int")
+    paragraph = F.array_join(F.array_repeat(F.lit("word"), w), " ")
+    docs = t("part").select(k.alias("k"), F.array_join(F.array_repeat(paragraph, n), "\n\n").alias("text"))
+    return chunk(docs, "k", "text").select("k", "ordinal", F.size(X.noop_tokens(F.col("text"))).alias("tokens"))
 
-@query()
-def file_summaries(t):
-    """Documentation-level summaries in each language's shape."""
-    from .ingest import parse_files
-    from .render import summaries
 
-    s = _samples(t)
-    n = parse_files(s).select(F.col("path").alias("file_id"), F.explode("nodes").alias("n")).select("file_id", "n.*")
-    return summaries(n, s.select(F.col("path").alias("file_id"), F.col("parser").alias("language"), "text"), "documentation")
+@query("""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents WHERE text <> '')
+SELECT doc_id, n AS tokens, true AS bounded, n <= 512 AS single FROM w""")
+def chunk_limits(t):
+    """Every chunk keeps to its limit and no word is lost; a text within the limit is one chunk."""
+    c = chunk(t("documents"), "doc_id", "text").withColumn("n", F.size(X.noop_tokens(F.col("text"))))
+    each = c.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.max("n").alias("most"), F.count("*").alias("chunks"), F.max("stop").alias("stop"))
+    return each.select("doc_id", "tokens", (F.col("most") <= 512).alias("bounded"), (F.col("chunks") == 1).alias("single"))
 
 
 @query("""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)
