@@ -21,7 +21,9 @@ from ..operators import tree as TR
 from ..schema import SUMMARY_MODES, VISIBILITIES, Settings
 from ..sources.files import read_tree
 from ..sources.store import Store
+from ..streaming.refresh import EmbeddingQueue
 from . import ingest, render
+from .embedding import vectors_of
 from .index import TextIndex
 
 # --- output
@@ -200,6 +202,15 @@ class Engine:
             self.index.refresh()
         return out
 
+    def embedding_queue(self) -> EmbeddingQueue:
+        """A queue that embeds texts in micro-batches through the cache; it is for the caller to close."""
+
+        def run(texts: list[str]) -> dict[str, list[float]]:
+            asked = self.store.spark.createDataFrame([(t,) for t in texts], "text string")
+            return {r["text"]: list(r["vector"]) for r in vectors_of(self.store, asked, self.embed, self.embed_model, self.settings).collect()}
+
+        return EmbeddingQueue(run, self.settings.embed_batch, self.settings.embed_wait_s)
+
     def changed(self, *paths: str) -> None:
         """Note paths that changed on disk; they are scanned together when things are quiet again."""
         self.debounce.note(*paths)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+from collections import OrderedDict
 from collections.abc import Callable
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +47,64 @@ def debounced(changes: DataFrame, quiet: str = "1 second", late: str = "10 secon
     """(window, repo_id, n): bursts of changes that end with a quiet time; one refresh each."""
     rows = changes.withWatermark("ts", late) if changes.isStreaming else changes
     return rows.groupBy(F.session_window("ts", quiet).alias("window"), "repo_id").agg(F.count("*").alias("n"))
+
+
+class EmbeddingQueue:
+    """Requests for vectors in micro-batches, the urgent ones first.
+
+    ``run`` takes a list of texts and gives a vector of each.  A text that waits already
+    isn't queued twice, but becomes urgent if it is asked for so.  A batch starts when it
+    is full, or ``wait_s`` after its first request.
+    """
+
+    def __init__(self, run: Callable[[list[str]], dict[str, list[float]]], batch: int = 128, wait_s: float = 0.05):
+        self.run, self.batch, self.wait_s = run, batch, wait_s
+        self.lanes: tuple[OrderedDict[str, Future], ...] = (OrderedDict(), OrderedDict())
+        self.ready, self.closed = threading.Condition(), False
+        self.worker = threading.Thread(target=self._work, daemon=True)
+        self.worker.start()
+
+    def put(self, text: str, urgent: bool = False) -> Future:
+        """The vector of ``text``, when its batch is done."""
+        with self.ready:
+            if self.closed:
+                raise RuntimeError("the queue is closed")
+            first, later = self.lanes
+            waiting = first.get(text) or later.get(text)
+            if waiting is not None and not (urgent and text in later):
+                return waiting
+            future = later.pop(text, None) or Future()
+            (first if urgent else later)[text] = future
+            self.ready.notify()
+            return future
+
+    def _take(self) -> dict[str, Future]:
+        out: dict[str, Future] = {}
+        for lane in self.lanes:
+            while lane and len(out) < self.batch:
+                text, future = lane.popitem(last=False)
+                out[text] = future
+        return out
+
+    def _work(self) -> None:
+        while True:
+            with self.ready:
+                self.ready.wait_for(lambda: self.closed or any(self.lanes))
+                if not any(self.lanes):
+                    return
+                self.ready.wait_for(lambda: self.closed or sum(map(len, self.lanes)) >= self.batch, self.wait_s)
+                taken = self._take()
+            try:
+                vectors = self.run(list(taken))
+                for text, future in taken.items():
+                    future.set_result(vectors.get(text))
+            except Exception as e:  # noqa: BLE001
+                for future in taken.values():
+                    future.set_exception(e)
+
+    def close(self) -> None:
+        """Finish what waits, then stop."""
+        with self.ready:
+            self.closed = True
+            self.ready.notify()
+        self.worker.join()

@@ -165,6 +165,34 @@ def test_components_and_debounce(project):
     assert ran == [["a", "b"]]
 
 
+def test_embedding_queue():
+    from quarrydex.streaming.refresh import EmbeddingQueue
+
+    gate, seen = threading.Event(), []
+
+    def run(texts):
+        seen.append(texts)
+        gate.wait(5)
+        if "bad" in texts:
+            raise ValueError("bad")
+        return {t: [float(len(t))] for t in texts}
+
+    q = EmbeddingQueue(run, batch=3, wait_s=0.01)
+    first = q.put("a")
+    time.sleep(0.3)  # a batch of its own
+    rest = [q.put(t) for t in ("b", "cc", "ddd", "b")]
+    urgent = q.put("ddd", urgent=True)
+    assert rest[0] is rest[3] and urgent is rest[2]
+    gate.set()
+    assert first.result(5) == [1.0] and urgent.result(5) == [3.0] and rest[1].result(5) == [2.0]
+    with pytest.raises(ValueError):
+        q.put("bad").result(5)
+    q.close()
+    assert seen[0] == ["a"] and seen[1] == ["ddd", "b", "cc"]
+    with pytest.raises(RuntimeError):
+        q.put("late")
+
+
 def test_chunk_settings(project):
     root, store = project
     (root / "long.md").write_text("\n\n".join(f"word{i} " * 10 for i in range(30)))
