@@ -50,6 +50,8 @@ def document_frequency(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+#: Slices of a score unit that ``ranked`` sorts apart.
+SLICES = 8
 #: (query, term) rows that are sent to every executor; more are joined by shuffles.
 BROADCAST_TERMS = 200_000
 #: The term that stands once for every document in marked postings; no tokenizer gives it.
@@ -110,11 +112,22 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_co
 
 
 def ranked(scores: DataFrame, threshold: float | None = None, most: int | None = None) -> DataFrame:
-    """``scores`` over a threshold with their rank in each query; ties go by id."""
+    """``scores`` over a threshold with their rank in each query; ties go by id.
+
+    With ``most``, tasks keep their best rows only.  Without, a query that matches most of
+    the corpus is ranked in slices of its scores: a slice's ranks follow those of the
+    slices above it, so no task sorts all rows of a query.
+    """
     kept = scores.filter("score IS NOT NULL") if threshold is None else scores.filter(F.col("score") >= threshold)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    out = kept.withColumn("rank", F.row_number().over(order))
-    return out if most is None else out.filter(F.col("rank") <= most)
+    best_first = [F.desc("score"), F.asc("id")]
+    if most is not None:
+        return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first))).filter(F.col("rank") <= most)
+    sliced = kept.withColumn("_slice", F.floor(F.col("score") * SLICES))
+    within = sliced.withColumn("_in", F.row_number().over(Window.partitionBy("query_id", "_slice").orderBy(*best_first)))
+    sizes = within.groupBy("query_id", "_slice").agg(F.max("_in").alias("_n"))
+    above = sizes.select("query_id", "_slice", (F.sum("_n").over(Window.partitionBy("query_id").orderBy(F.desc("_slice"))) - F.col("_n")).alias("_above"))
+    out = within.join(above, ["query_id", "_slice"])
+    return out.select(*scores.columns, (F.col("_in") + F.col("_above")).cast("int").alias("rank"))
 
 
 def fuse(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:

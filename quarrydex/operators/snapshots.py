@@ -96,13 +96,23 @@ def reuse_embeddings(new: DataFrame, old: DataFrame, text: str = "text") -> Data
     return new.join(known, (F.col("file_id") == F.col("_f")) & (F.sha2(text, 256) == F.col("_h")), "left").drop("_f", "_h")
 
 
-def lru_victims(cache: DataFrame, max_rows: int, batch: int) -> DataFrame:
-    """Rows to drop from each model's cache: the oldest, as many as are over or a batch."""
+def lru_victims(cache: DataFrame, max_rows: int, batch: int, span_s: int = 600) -> DataFrame:
+    """Rows to drop from each model's cache: the oldest, as many as are over or a batch.
+
+    Rows are counted by spans of ``span_s`` seconds of their last use; only the span in
+    which the last victim lies is sorted, so no task orders a whole cache.
+    """
+    rows = cache.withColumn("_s", F.floor(F.unix_micros(F.col("last_accessed").cast("timestamp")) / (span_s * 1_000_000)))
+    spans = rows.groupBy("model", "_s").agg(F.count("*").alias("_n"))
     each = Window.partitionBy("model")
-    order = each.orderBy(F.asc_nulls_first("last_accessed"), "id")
-    over = F.col("_n") - max_rows
-    rows = cache.withColumn("_n", F.count("*").over(each)).withColumn("_i", F.row_number().over(order))
-    return rows.filter((over > 0) & (F.col("_i") <= F.greatest(F.lit(batch), over))).drop("_n", "_i")
+    spans = spans.withColumn("_over", F.sum("_n").over(each) - max_rows).withColumn("_before", F.sum("_n").over(each.orderBy(F.asc_nulls_first("_s"))) - F.col("_n"))
+    spans = spans.filter("_over > 0").withColumn("_left", F.greatest(F.lit(batch), F.col("_over")) - F.col("_before")).filter("_left > 0")
+    due = spans.select(F.col("model").alias("_m"), F.col("_s").alias("_t"), "_n", "_left")
+    met = rows.join(due, (F.col("model") == F.col("_m")) & F.col("_s").eqNullSafe(F.col("_t")))
+    whole = met.filter("_n <= _left")
+    order = Window.partitionBy("model").orderBy(F.asc_nulls_first("last_accessed"), "id")
+    part = met.filter("_n > _left").withColumn("_i", F.row_number().over(order)).filter("_i <= _left")
+    return whole.select(*cache.columns).unionAll(part.select(*cache.columns))
 
 
 def cache_lookup(wanted: DataFrame, cache: DataFrame) -> DataFrame:

@@ -85,20 +85,25 @@ def list_tree(spark: SparkSession, root: str, paths: list[str] | None = None, ne
     return spark.createDataFrame([(x,) for x in starts], "path string").repartition(parts).mapInPandas(walk, _LISTED)
 
 
+def _remote(root: str):
+    """Opens files below a root on another file system, each by its own path."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root)
+    return lambda path: system.open_input_stream(f"{base.rstrip('/')}/{path}")
+
+
 def with_content(files: DataFrame, root: str) -> DataFrame:
     """``files`` (path, ...) with their bytes; files that can't be read any more are left out."""
     base = _local(root)
-    if base is None:
-        spark = files.sparkSession
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative(root).alias("path"), "content")
-        return files.join(found, "path")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin = (lambda path: open(os.path.join(base, path), "rb")) if base is not None else _remote(root)
         for pdf in batches:
             content = []
             for path in pdf["path"]:
                 try:
-                    with open(os.path.join(base, path), "rb") as f:
+                    with begin(path) as f:
                         content.append(f.read())
                 except OSError:
                     content.append(None)

@@ -56,3 +56,15 @@ def test_read_tree(spark, tmp_path):
     newest = max(r["mtime"] for r in rows.values())
     assert FS.read_tree(spark, str(tmp_path), newer_than=newest).count() == 0
     assert FS.read_tree(spark, str(tmp_path), []).count() == 0
+
+
+def test_remote_files_are_read_one_by_one(spark, tmp_path, monkeypatch):
+    from quarrydex.sources import files as FS
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.txt").write_text("x")
+    (tmp_path / "a/_y.txt").write_bytes(b"y\xff")
+    listed = spark.createDataFrame([("a/x.txt", 1), ("a/_y.txt", 2), ("a/gone.txt", 3)], "path string, n int")
+    monkeypatch.setattr(FS, "_local", lambda root: None)
+    got = {r["path"]: (bytes(r["content"]), r["n"]) for r in FS.with_content(listed, f"file://{tmp_path}").collect()}
+    assert got == {"a/x.txt": (b"x", 1), "a/_y.txt": (b"y\xff", 2)}
