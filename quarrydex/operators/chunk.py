@@ -62,8 +62,20 @@ def chunk_spans(text: str, max_tokens: int = MAX_TOKENS, min_tokens: int | None
     return split((0, len(text)), 0) if text else []
 
 
-def chunk_documents(docs: DataFrame, id_col: str, text_col: str, max_tokens: int = MAX_TOKENS, min_tokens: int | None = MIN_TOKENS) -> DataFrame:
+#: Chunkers by name: each takes a text and the settings' limits and gives spans.
+CHUNKERS: dict[str, Callable[[str, int, int | None], list[Span]]] = {"recursive": chunk_spans}
+
+
+def chunker(name: str = "recursive", max_tokens: int = MAX_TOKENS, min_tokens: int | None = MIN_TOKENS) -> Callable[[str], list[Span]]:
+    """A chunker with its limits; others can be put into ``CHUNKERS``."""
+    if name not in CHUNKERS:
+        raise ValueError(f"no chunker {name!r}: {sorted(CHUNKERS)}")
+    return lambda text: CHUNKERS[name](text, max_tokens, min_tokens)
+
+
+def chunk_documents(docs: DataFrame, id_col: str, text_col: str, max_tokens: int = MAX_TOKENS, min_tokens: int | None = MIN_TOKENS, name: str = "recursive") -> DataFrame:
     """(id, ordinal, start, stop, text) of every chunk; offsets count characters.  Null and empty texts have none."""
+    cut = chunker(name, max_tokens, min_tokens)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -71,7 +83,7 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, max_tokens: int
                 (key, i, a, b, text[a:b])
                 for key, text in zip(pdf[id_col], pdf[text_col])
                 if text
-                for i, (a, b) in enumerate(chunk_spans(text, max_tokens, min_tokens))
+                for i, (a, b) in enumerate(cut(text))
             ]
             yield pd.DataFrame(rows, columns=[id_col, "ordinal", "start", "stop", "text"])
 

@@ -37,3 +37,11 @@ def test_covers_text(text, most):
     assert "".join(text[a:b] for a, b in spans) == text
     assert all(a < b for a, b in spans)
     assert all(len(text[a:b].split()) <= most for a, b in spans)
+
+
+def test_chunker_by_name():
+    from quarrydex.operators import chunk
+
+    assert chunk.chunker("recursive", 4, None)("a b c. d e f.") == chunk.chunk_spans("a b c. d e f.", 4)
+    with pytest.raises(ValueError):
+        chunk.chunker("odd")
