@@ -37,7 +37,7 @@ from .common import discard, materialize, prepare
 #: Words of a window and of an anchor phrase.
 WINDOW, PHRASE = 50, 8
 #: Words that the documents of a shard have together, on average (memory of a task).
-SHARD_WORDS = 1 << 18
+SHARD_WORDS = 1 << 16
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -125,16 +125,20 @@ def compile_phrases(confirmed: pd.DataFrame, phrase: int) -> ahocorasick.Automat
 
 
 def _locate(window: int, phrase: int):
-    def locate(docs: pd.DataFrame, confirmed: pd.DataFrame) -> pd.DataFrame:
+    def locate(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """A shard's documents through the automaton of its confirmed phrases."""
         out = []
+        confirmed = known[known["alone"].isna()]
         if len(docs) and len(confirmed):
+            alone = known[known["alone"].notna()]
+            left = set(zip(alone["p"].tolist(), alone["q"].tolist()))
             automaton = compile_phrases(confirmed, phrase)
             first, last = confirmed["first"].tolist(), confirmed["last"].tolist()
             for doc_id, tkey, text in zip(docs["doc_id"].tolist(), docs["tkey"].tolist(), docs["text"]):
-                words = text.split()
-                if len(words) < window:
+                if (doc_id, tkey) not in left:
                     continue
+                left.discard((doc_id, tkey))
+                words = text.split()
                 # an occurrence is a source if a later document has its phrase, a target if an earlier one has it
                 use = np.zeros(len(words), np.int8)
                 for end, k in automaton.iter(tuple(word_codes(words).tolist())):
@@ -208,9 +212,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = known.join(alone, ["doc_id", "tkey"], "left_semi").select("doc_id", shard, F.explode(F.arrays_zip("p", "q")).alias("x")).select("doc_id", "shard", "x.p", "x.q")
     recurring = placed.groupBy("p", "q").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     confirmed = placed.select("shard", "p", "q").distinct().join(recurring, ["p", "q"])
-    texts = keyed.filter("doc_id IS NOT NULL").join(alone, ["doc_id", "tkey"], "left_semi").select("doc_id", "tkey", "text", shard)
+    # texts are sent once, to their shards; there the rows marked as alone tell which documents stand for their copies
+    stand = alone.select(shard, F.col("doc_id").alias("p"), F.col("tkey").alias("q"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.lit(True).alias("alone"))
+    known_there = confirmed.select("shard", "p", "q", "first", "last", F.lit(None).cast("boolean").alias("alone")).unionAll(stand)
+    least = 2 * window - 1  # bytes of the shortest text with a window
+    texts = keyed.filter((F.col("doc_id").isNotNull()) & (F.octet_length("text") >= least)).select("doc_id", "tkey", "text", shard)
     located = materialize(
-        texts.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInPandas(_locate(window, phrase), "doc_id long, tkey long, text binary, start array<int>, h1 array<long>, h2 array<long>, use array<int>"),
+        texts.groupBy("shard").cogroup(known_there.groupBy("shard")).applyInPandas(_locate(window, phrase), "doc_id long, tkey long, text binary, start array<int>, h1 array<long>, h2 array<long>, use array<int>"),
         "located",
     )
     discard(sampled)
