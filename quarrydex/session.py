@@ -30,13 +30,14 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it is a scan of fewer partitions than there are cores.
 
     A small table in one row group would keep one core busy; a table of many files
-    is left as it is, without a shuffle.
+    is left as it is, without a shuffle.  Rows go by a hash of their first column, which
+    needs no sort as dealing them out in turn does.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.isStreaming or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
         return df
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
 
 def build(master: str | None = None, app: str = "quarrydex", **conf: str) -> SparkSession:
