@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, prepare
+from .common import begin, materialize, prepare
 
 #: Bytes of features that the fit takes at most.
 SAMPLE_BYTES = 128 << 20
@@ -160,6 +160,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
 
     @F.pandas_udf("array<double>")
     def tails(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        begin("classifier")
         fitted, make = OrdinalModel(*shared.value), Features()
         for texts in batches:
             s = np.array([fitted.score(make(t)) for t in texts])

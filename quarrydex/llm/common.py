@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch handed to Python.
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+#: Set for Python workers, which are kept from stage to stage, so that freed memory goes back to the machine.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: What operators remember in a worker: a name and how to forget it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
 _LOCAL: list[str] = []
 _REGISTERED: list[bool] = []
 
@@ -36,12 +42,28 @@ def prepare(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    for key, value in WORKER_ENV.items():
+        env.setdefault(key, value)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key)
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
 
+def remember(name: str, forget: Callable[[], None]) -> None:
+    """In a worker: ``name`` keeps something between tasks that ``forget`` drops."""
+    _REMEMBERED[name] = forget
+
+
+def begin(name: str) -> None:
+    """In a worker: an operator's task begins; what other operators keep is dropped."""
+    others = [k for k in _REMEMBERED if k != name]
+    for k in others:
+        _REMEMBERED.pop(k)()
+    if others:
+        gc.collect()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for scratch tables of this application."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

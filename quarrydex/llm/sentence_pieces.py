@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import begin, prepare, remember
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -266,7 +266,9 @@ _LOADED: dict[str, Vocabulary] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
-    """A worker's vocabulary, loaded once."""
+    """A worker's vocabulary, loaded once and kept until another operator runs there."""
+    begin("vocabulary")
+    remember("vocabulary", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = Vocabulary(path)
     return _LOADED[path]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, prepare
+from .common import begin, discard, materialize, prepare
 
 #: Words of a window and of an anchor phrase.
 WINDOW, PHRASE = 50, 8
@@ -102,6 +102,7 @@ def window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
 
 def _sample(window: int, phrase: int):
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("substring")
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
