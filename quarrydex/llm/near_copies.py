@@ -30,9 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, prepare
+from .common import begin, discard, materialize, prepare
 from .components import connected_components
 
+#: Shingles of the sets that are ordered together.
+SETS = 1 << 17
 #: Nodes of one shingle that are paired in one block; pairs put out at a time.
 BLOCK, PAIRS = 1 << 12, 1 << 18
 #: Share of a set that the sieve asks for in common, beyond the first of it.
@@ -77,6 +79,7 @@ def keys(docs: DataFrame, shingle: int) -> DataFrame:
     prepare(docs.sparkSession)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("near copies")
         for pdf in batches:
             sets = [shingle_set(t, shingle) for t in pdf["text"]]
             fp = np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64)
@@ -181,10 +184,23 @@ def _sieve(texts: DataFrame, shingle: int, similarity: float, extra: float) -> D
 def _sets(shingle: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = {set_key(s): s for s in (shingle_set(t, shingle) for t in pdf["text"]) if len(s)}
+            rows, found, held = [], {}, 0
+
+            def close() -> None:
+                size = np.fromiter(map(len, found.values()), np.int32, len(found))  # noqa: B023
+                rows.append((np.fromiter(found, np.int64, len(found)).tobytes(), size.tobytes(), np.concatenate(list(found.values())).tobytes()))  # noqa: B023
+
+            for t in pdf["text"]:
+                s = shingle_set(t, shingle)
+                if len(s):
+                    found[set_key(s)] = s
+                    held += len(s)
+                if held >= SETS:
+                    close()
+                    found, held = {}, 0
             if found:
-                size = np.fromiter(map(len, found.values()), np.int32, len(found))
-                yield pd.DataFrame([(np.fromiter(found, np.int64, len(found)).tobytes(), size.tobytes(), np.concatenate(list(found.values())).tobytes())], columns=["node", "size", "token"])
+                close()
+            yield pd.DataFrame(rows, columns=["node", "size", "token"])
 
     return sets
 
@@ -382,8 +398,12 @@ def links(docs: DataFrame, marks: DataFrame, shingle: int, similarity: float, pr
     left = _sieve(texts, shingle, similarity, extra)
     nodes = marks.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
     nodes = materialize(nodes.join(left, F.col("key") == F.col("node")).select("key", "doc_id", "fp"), "sifted")
+    discard(left)
     sets = _ordered(texts.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi"), shingle, similarity)
     postings = sets.select("node", "size", "prefix", (F.octet_length("shared") / 8).cast("int").alias("n_shared")).mapInPandas(_postings, "token long, node long, size int, rest int")
     first = _verified(_stars(postings, similarity).unionAll(propose(nodes.select("key", "fp"))), sets, similarity)
     others = _others(postings, connected_components(first), similarity, block)
-    return first.unionAll(_verified(others, sets, similarity))
+    second = _verified(others, sets, similarity)
+    discard(sets)
+    discard(nodes)
+    return first.unionAll(second)
