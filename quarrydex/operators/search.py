@@ -111,17 +111,19 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_co
     return pairs.select(F.col("_qk").alias("query_id"), F.col("_vk").alias("id"), F.round(score, 6).alias("score")).filter("score IS NOT NULL")
 
 
-def ranked(scores: DataFrame, threshold: float | None = None, most: int | None = None) -> DataFrame:
+def ranked(scores: DataFrame, threshold: float | None = None, most: int | None = None, sliced_ranks: bool = False) -> DataFrame:
     """``scores`` over a threshold with their rank in each query; ties go by id.
 
-    With ``most``, tasks keep their best rows only.  Without, a query that matches most of
-    the corpus is ranked in slices of its scores: a slice's ranks follow those of the
-    slices above it, so no task sorts all rows of a query.
+    With ``most``, tasks keep their best rows only.  Without, one task sorts a query's
+    rows, on disk if need be.  ``sliced_ranks`` is for queries that match more than that
+    allows: they are ranked in slices of their scores, whose ranks follow those of the
+    slices above, which reads the scores twice.
     """
     kept = scores.filter("score IS NOT NULL") if threshold is None else scores.filter(F.col("score") >= threshold)
     best_first = [F.desc("score"), F.asc("id")]
-    if most is not None:
-        return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first))).filter(F.col("rank") <= most)
+    if most is not None or not sliced_ranks:
+        out = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first)))
+        return out if most is None else out.filter(F.col("rank") <= most)
     sliced = kept.withColumn("_slice", F.floor(F.col("score") * SLICES))
     within = sliced.withColumn("_in", F.row_number().over(Window.partitionBy("query_id", "_slice").orderBy(*best_first)))
     sizes = within.groupBy("query_id", "_slice").agg(F.max("_in").alias("_n"))
@@ -169,9 +171,9 @@ def hybrid_search(
     here = F.lit(0) if boost_repo is None else F.when(F.col("repo_id") == boost_repo, 0).otherwise(1)
     rankings = []
     if vector_scores is not None:
-        rankings.append((ranked(vector_scores, s.similarity_threshold), s.vector_weight))
+        rankings.append((ranked(vector_scores, s.similarity_threshold, sliced_ranks=s.sliced_ranks), s.vector_weight))
     if text_scores is not None:
-        rankings.append((ranked(text_scores, s.bm25_threshold), s.text_weight))
+        rankings.append((ranked(text_scores, s.bm25_threshold, sliced_ranks=s.sliced_ranks), s.text_weight))
     if rankings:
         fused = fuse(rankings, s.rrf_k)
         rows = nodes.join(fused, "id")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MODES = ("skip", "definition", "documentation", "source")
 _INDENT = {"python": "    ", "javascript": "  ", "typescript": "  ", "go": "\t", "c": "\t", "cpp": "\t"}
@@ -240,20 +241,19 @@ def node_summary(rows: list[dict], ordinal: int, language: str, mode: str = "def
 
 
 def summaries(nodes: DataFrame, files: DataFrame, mode: str) -> DataFrame:
-    """(file_id, summary) of every file: nodes meet in one group a file."""
+    """(file_id, summary) of every file: its nodes, which one file bounds, meet it in one row."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     columns = ["ordinal", "parent_ordinal", "kind", "subtype", "name", "header", "docstring", "comment", "start_line", "start_byte", "body"]
+    trees = nodes.groupBy(F.col("file_id").alias("_f")).agg(F.collect_list(F.struct(*columns)).alias("nodes"))
+    rows = files.select("file_id", "language", "text").join(trees, F.col("file_id") == F.col("_f"), "left").drop("_f")
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(b):
-            return pd.DataFrame({"file_id": [], "summary": []})
-        rows = a[columns].astype(object).where(a[columns].notna(), None).to_dict("records")
-        f = b.iloc[0]
-        return pd.DataFrame({"file_id": [key[0]], "summary": [file_summary(rows, f["language"], f["text"], mode)]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [file_summary([] if n is None else list(n), lang, text, mode) for n, lang, text in zip(pdf["nodes"], pdf["language"], pdf["text"])]
+            yield pd.DataFrame({"file_id": pdf["file_id"], "summary": out})
 
-    left, right = nodes.select("file_id", *columns), files.select("file_id", "language", "text")
-    return left.groupBy("file_id").cogroup(right.groupBy("file_id")).applyInPandas(run, "file_id string, summary string")
+    return rows.mapInPandas(run, "file_id string, summary string")
 
 
 def node_lines(nodes: Iterator[dict]) -> Iterator[str]:

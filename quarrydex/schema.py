@@ -68,6 +68,7 @@ class SearchSettings:
     similarity_threshold: float = 0.4
     bm25_threshold: float | None = None
     repo_boost: float = 1.2
+    sliced_ranks: bool = False
     kind_boosts: dict[str, float] = field(
         default_factory=lambda: {"function": 2.0, "method": 2.0, "class": 1.5, "const": 1.3, "variable": 1.3, "property": 1.3, "literal": 0.9}
     )

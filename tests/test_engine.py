@@ -193,6 +193,15 @@ def test_embedding_queue():
         q.put("late")
 
 
+def test_sliced_ranks(spark):
+    from quarrydex.operators import search as S
+
+    rows = [(q, i, round((i * 37 % 101) / 7 - 3, 6)) for q in (1, 2) for i in range(200)] + [(1, 900, None)]
+    scores = spark.createDataFrame(rows, "query_id int, id int, score double")
+    plain, sliced = ({(r["query_id"], r["id"]): r["rank"] for r in S.ranked(scores, -1.0, sliced_ranks=x).collect()} for x in (False, True))
+    assert plain == sliced and len(plain) > 200
+
+
 def test_chunk_settings(project):
     root, store = project
     (root / "long.md").write_text("\n\n".join(f"word{i} " * 10 for i in range(30)))
