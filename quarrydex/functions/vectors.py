@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,76 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+#: Rows and bytes of a block of vectors: two blocks' products take at most 32 MB.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 4 << 20
+
+
+def blocks(df: DataFrame, id_col: str, vector_col: str, prefix: str) -> DataFrame:
+    """Rows of up to ``BLOCK_ROWS`` vectors: (dim, ids, values as bytes of doubles), names begun with ``prefix``.
+
+    Null and zero vectors, and those with a null or non-finite component, are in none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column(0), batch.column(1)
+            sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components are NaN
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == dim)
+                rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
+                for k in range(0, len(at), rows):
+                    some = at[k : k + rows]
+                    matrix = values[starts[some, None] + np.arange(dim)]
+                    length = np.einsum("ij,ij->i", matrix, matrix)
+                    good = np.isfinite(length) & (length > 0)
+                    if good.any():
+                        taken = ids.take(pa.array(some[good]))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([dim], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken), pa.array([matrix[good].tobytes()], pa.binary())],
+                            names=[f"{prefix}dim", f"{prefix}ids", f"{prefix}values"],
+                        )
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, vector_col).mapInArrow(run, f"{prefix}dim int, {prefix}ids array<{kind}>, {prefix}values binary")
+
+
+def _in_turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, their terms added one after another."""
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        out += x * y
+    return out
+
+
+def block_scores(a: np.ndarray, b: np.ndarray, least: float | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``a``, row of ``b``, cosine to six decimals) of the pairs from ``least`` on.
+
+    With ``most``, only those that are among a row of ``b``'s best ``most``, and all that
+    tie with them.  A product whose last decimal hangs on the order of the additions is
+    reckoned again, term by term, so that equal vectors have equal scores.
+    """
+    la, lb = np.sqrt(_in_turn(a, a)), np.sqrt(_in_turn(b, b))
+    raw = (b @ a.T) / lb[:, None] / la
+    near = 2e-6  # a rounding moves a score by less than half of this
+    floor = np.full((len(b), 1), -np.inf if least is None else least - near)
+    if most is not None and most < len(a):
+        floor = np.maximum(floor, np.partition(raw, len(a) - most, axis=1)[:, len(a) - most, None] - near)
+    j, i = np.nonzero(raw >= floor)
+    score = raw[j, i]
+    scaled = np.abs(score) * 1e6
+    doubtful = np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6)
+    for k in range(0, len(doubtful), BLOCK_ROWS):
+        some = doubtful[k : k + BLOCK_ROWS]
+        score[some] = _in_turn(a[i[some]], b[j[some]]) / (la[i[some]] * lb[j[some]])
+    score = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score) + 0.0
+    if least is not None:
+        keep = score >= least
+        i, j, score = i[keep], j[keep], score[keep]
+    return i, j, score
+
+
 def fit_dim(vector: Column, dim: int) -> Column:
     """A vector cut or padded with zeros to ``dim`` components."""
     pad = F.array_repeat(F.lit(0.0).cast("float"), F.greatest(F.lit(dim) - F.size(vector), F.lit(0)))

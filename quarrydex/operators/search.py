@@ -8,6 +8,11 @@ document's length, and statistics, frequencies and scores share that one exchang
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +55,8 @@ def document_frequency(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+#: Scored pairs that a worker sends at once.
+PAIR_ROWS = 100_000
 #: Slices of a score unit that ``ranked`` sorts apart.
 SLICES = 8
 #: (query, term) rows that are sent to every executor; more are joined by shuffles.
@@ -98,17 +105,39 @@ def score_postings(found: DataFrame, terms: DataFrame, stats: DataFrame, k: floa
     return found.join(small(weighed), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(query_id, id, score): every vector against a stated set of query vectors.
+def cosine_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, least: float | None = None, most: int | None = None) -> DataFrame:
+    """(query_id, id, score): every vector against a stated set of query vectors of its dimension.
 
-    The query side is a small table by nature; Spark broadcasts it when its size allows.
-    Zero and null vectors have no score.
+    Blocks of vectors meet blocks of queries, and a pair of blocks is one product of
+    matrices.  With ``least`` and ``most`` a pair gives only what ``ranked`` with the same
+    can take: scores from ``least`` on, and of each query the best ``most``, ties by id.
+    Null and zero vectors have no score, nor have those with null or non-finite components.
     """
-    sized = lambda df, key, v: df.select(F.col(key).alias(f"_{v}k"), F.col(v).alias(f"_{v}"), V.norm(F.col(v)).alias(f"_{v}n"))
-    q = sized(queries.select("query_id", F.col("vector").alias("q")), "query_id", "q")
-    pairs = sized(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), "id", "v").filter("_vn > 0").crossJoin(q.filter("_qn > 0"))
-    score = F.try_divide(V.dot(F.col("_v"), F.col("_q")), F.col("_vn") * F.col("_qn"))
-    return pairs.select(F.col("_qk").alias("query_id"), F.col("_vk").alias("id"), F.round(score, 6).alias("score")).filter("score IS NOT NULL")
+    kinds = [queries.schema["query_id"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()]
+    stored = V.blocks(spread(vectors.select(id_col, vector_col)), id_col, vector_col, "v_")
+    asked = V.blocks(queries.select("query_id", "vector").hint("rebalance"), "query_id", "vector", "q_")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dim, ids, query_ids = batch.column("v_dim")[k].as_py(), batch.column("v_ids")[k].values, batch.column("q_ids")[k].values
+                if dim != batch.column("q_dim")[k].as_py():
+                    continue
+                a, b = (np.frombuffer(batch.column(c)[k].as_py()).reshape(-1, dim) for c in ("v_values", "q_values"))
+                i, j, score = V.block_scores(a, b, least, most)
+                if most is not None and len(i) > most:
+                    place = np.empty(len(ids), np.int64)
+                    place[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+                    order = np.lexsort((place[i], -score, j))
+                    first = np.searchsorted(j[order], j[order])
+                    order = order[np.arange(len(order)) - first < most]
+                    i, j, score = i[order], j[order], score[order]
+                for p in range(0, len(i), PAIR_ROWS):
+                    part = slice(p, p + PAIR_ROWS)
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(j[part])), ids.take(pa.array(i[part])), pa.array(score[part])], names=["query_id", "id", "score"])
+
+    # no join on dimensions: a shuffle by them would put everything into one task
+    return stored.crossJoin(asked).mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
 
 def ranked(scores: DataFrame, threshold: float | None = None, most: int | None = None, sliced_ranks: bool = False) -> DataFrame:

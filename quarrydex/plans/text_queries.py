@@ -105,8 +105,8 @@ cos AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarit
     FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)"""
 
 
-def _vector_scores(t):
-    return S.cosine_scores(t("embeddings"), _query_vectors(t), "vec_id", "embedding")
+def _vector_scores(t, **wanted):
+    return S.cosine_scores(t("embeddings"), _query_vectors(t), "vec_id", "embedding", **wanted)
 
 
 @query(f"WITH {_COS} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM cos WHERE NOT isnan(score)) WHERE rank <= 10")
@@ -116,7 +116,7 @@ def cosine_topk(t):
 
 @query(f"WITH {_COS} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM cos WHERE score >= 0.4 AND NOT isnan(score)")
 def cosine_threshold(t):
-    return S.ranked(_vector_scores(t), 0.4)
+    return S.ranked(_vector_scores(t, least=0.4), 0.4)
 
 
 @query("SELECT label, list(x ORDER BY i) AS embedding FROM (SELECT label, i, round(avg(embedding[i]::DOUBLE), 9) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i) GROUP BY label")
@@ -165,7 +165,7 @@ def _search(t, text=True, vector=True, **options):
     found = S.hybrid_search(
         _nodes(t), queries,
         text_scores=_text_scores(t) if text else None,
-        vector_scores=S.cosine_scores(t("embeddings"), vectors, "vec_id", "embedding") if vector else None,
+        vector_scores=S.cosine_scores(t("embeddings"), vectors, "vec_id", "embedding", SearchSettings().similarity_threshold) if vector else None,
         **{"limit": 10} | options,
     )
     return found.select("query_id", "position", "id", "score")

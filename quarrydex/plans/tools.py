@@ -308,7 +308,7 @@ class Engine:
             text = self.index.scores(asked, self.settings.tokenizer)
             if self.embed is not None:
                 q = asked.select("query_id", self.embed(F.col("needle")).alias("vector"))
-                vector = SE.cosine_scores(nodes.filter(F.col("embedding_model") == self.embed_model), q, "id", "embedding_code_vec")
+                vector = SE.cosine_scores(nodes.filter(F.col("embedding_model") == self.embed_model), q, "id", "embedding_code_vec", s.similarity_threshold)
         parts = [F.col("repo_id").isin(repos or list(self.roots))]
         parts += [F.col("kind") == kind] if kind else []
         parts += [F.col("visibility") == visibility] if visibility else []
