@@ -111,7 +111,7 @@ def _vector_scores(t, **wanted):
 
 @query(f"WITH {_COS} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM cos WHERE NOT isnan(score)) WHERE rank <= 10")
 def cosine_topk(t):
-    return S.ranked(_vector_scores(t), most=10)
+    return S.ranked(_vector_scores(t, most=10), most=10)
 
 
 @query(f"WITH {_COS} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM cos WHERE score >= 0.4 AND NOT isnan(score)")
