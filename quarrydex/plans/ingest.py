@@ -14,8 +14,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import paths as P
 from ..functions import text as X
@@ -35,6 +38,8 @@ _NODE = (
 _IMPORT = "struct<raw:string,virtual_path:string,physical_path:string,alias:string,dot:boolean,external:boolean,candidates:array<string>>"
 #: Errors that a result lists; ``n_errors`` counts them all.
 LISTED_ERRORS = 100
+#: Files whose nodes a worker holds at once.
+PARSED_ROWS = 1000
 #: Files after which a scan tells again how far it is.
 PROGRESS_FILES = 100
 
@@ -54,24 +59,28 @@ def parse_files(files: DataFrame, chunks: tuple[int, int] | None = None) -> Data
     candidates, see ``resolve_candidates``.  ``chunks`` bounds the tokens of a chunk of prose.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, content, key in zip(pdf["path"], pdf["content"], pdf["parser"]):
-                if not isinstance(key, str):
-                    out.append(("bare_file", None, [], []))
-                    continue
-                try:
-                    nodes, imports = parse(key, path, bytes(content).decode("utf-8"), None, chunks)
-                    out.append(("parsed_file", None, nodes, imports))
-                except Exception as e:  # noqa: BLE001
-                    out.append(("error", f"{type(e).__name__}: {e}"[:500], [], []))
-            status, error, nodes, imports = zip(*out) if out else ((), (), (), ())
-            yield pd.DataFrame({"path": pdf["path"], "mtime": pdf["mtime"], "hash": pdf["hash"], "parser": pdf["parser"], "status": status, "error": error, "nodes": nodes, "imports": imports})
-
-    return files.select("path", "mtime", "hash", "parser", "content").mapInPandas(
-        run, f"path string, mtime bigint, hash string, parser string, status string, error string, nodes array<{_NODE}>, imports array<{_IMPORT}>"
-    )
+    schema = f"path string, mtime bigint, hash string, parser string, status string, error string, nodes array<{_NODE}>, imports array<{_IMPORT}>"
+    made = [pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PARSED_ROWS):
+                some = batch.slice(at, PARSED_ROWS)
+                out = []
+                for path, content, key in zip(*(some.column(c).to_pylist() for c in ("path", "content", "parser"))):
+                    if key is None:
+                        out.append(("bare_file", None, [], []))
+                        continue
+                    try:
+                        nodes, imports = parse(key, path, bytes(content).decode("utf-8"), None, chunks)
+                        out.append(("parsed_file", None, nodes, imports))
+                    except Exception as e:  # noqa: BLE001
+                        out.append(("error", f"{type(e).__name__}: {e}"[:500], [], []))
+                kept = [some.column(f.name) for f in made[:4]]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(x, f.type) for x, f in zip(zip(*out), made[4:])], schema=pa.schema(made))
+
+    read = files.select("path", F.col("mtime").cast("long").alias("mtime"), "hash", "parser", "content")
+    return read.mapInArrow(run, schema)
 
 
 def node_needle(s: Settings, path: str = "path"):
