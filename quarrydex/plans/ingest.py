@@ -99,14 +99,19 @@ def with_needles(nodes: DataFrame, files: DataFrame, s: Settings) -> DataFrame:
 def resolve_candidates(imports: DataFrame, names: DataFrame) -> DataFrame:
     """``imports`` (path, i, e) with ``physical_path`` and ``external``: the first candidate that the tree has, if any.
 
-    ``names`` are the tree's paths; candidates meet them in a join.
+    ``names`` are the tree's paths; candidates meet them in a join, and are no longer in ``e``.
     """
     up = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(up) - 1), lambda n: F.concat(F.array_join(F.slice(up, 1, n), "/"), F.lit("/")))
     there = names.select("path").unionAll(names.filter(F.instr("path", "/") > 0).select(F.explode(folders))).distinct().select(F.col("path").alias("candidate"))
-    asked = imports.select("path", "i", F.posexplode("e.candidates").alias("k", "candidate"))
-    best = asked.join(there, "candidate").groupBy("path", "i").agg(F.regexp_replace(F.min_by("candidate", "k"), "/$", "").alias("_found"))
-    out = imports.join(best, ["path", "i"], "left")
+    # the imports are read once: a candidate's row carries its import along, and meets the others again by a row number
+    row = F.struct(*[F.col("e").dropFields("candidates").alias("e") if c == "e" else c for c in imports.columns])
+    numbered = imports.select(F.monotonically_increasing_id().alias("_row"), row.alias("_import"), F.col("e.candidates").alias("_c"))
+    numbered = numbered.select("_row", "_import", F.posexplode_outer("_c").alias("_k", "_candidate"))
+    met = numbered.join(there.select(F.col("candidate").alias("_candidate"), F.lit(True).alias("_there")), "_candidate", "left")
+    best = F.min_by("_candidate", F.when(F.col("_there"), F.col("_k")))
+    out = met.groupBy("_row", "_import.path", "_import.i").agg(F.first("_import").alias("_import"), F.regexp_replace(best, "/$", "").alias("_found"))
+    out = out.select("_import.*", "_found")
     return out.withColumn("physical_path", F.coalesce("_found", "e.physical_path")).withColumn("external", F.col("e.external") & F.col("_found").isNull()).drop("_found")
 
 
