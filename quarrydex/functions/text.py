@@ -5,6 +5,10 @@ Everything here is built from built-in functions and runs in the JVM.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +41,41 @@ def tokens(text: Column, kind: str = "code") -> Column:
     return {"noop": noop_tokens, "word": word_tokens}.get(kind, code_tokens)(text)
 
 
+_WORD_BYTES = bytes(b for b in range(256) if chr(b).isascii() and chr(b).isalnum())
+_OTHERS = bytes(set(range(256)) - set(_WORD_BYTES))
+_KEPT = bytes.maketrans(_OTHERS, b" " * len(_OTHERS))
+_LOWERED = _KEPT.lower()
+_CLASSES = bytes(b"0"[0] if chr(c).isdigit() else b"A"[0] if chr(c).isupper() else c if c == 32 else b"a"[0] for c in _KEPT)
+#: Where words turn from one class of characters to another.
+_TURNS = (b"aA", b"AAa", b"0a", b"0A", b"a0", b"A0")
+_BOUNDARY_BYTES = re.compile(rb"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
+
+
+def term_counter(kind: str = "code", wanted: dict[bytes, int] | None = None) -> Callable[[bytes | None], tuple[int, dict]]:
+    """A function from a text in UTF-8 to its number of lower-case tokens and how often each stands in it.
+
+    It gives what ``tokens`` does, on a worker: for the kinds ``word`` and ``code``, whose
+    tokens are ASCII.  With ``wanted``, its terms alone are counted, under its numbers.
+    """
+
+    def count(text: bytes | None) -> tuple[int, dict]:
+        if not text:
+            return 0, {}
+        terms = text.translate(_LOWERED).split()
+        if kind != "word":
+            shapes = text.translate(_CLASSES)
+            if any(turn in shapes for turn in _TURNS):  # most texts have none
+                each = shapes.split()
+                turned = {shape for shape in set(each) if any(turn in shape for turn in _TURNS)}
+                for word in [w for w, shape in zip(text.translate(_KEPT).split(), each) if shape in turned]:
+                    terms += [piece.lower() for piece in _BOUNDARY_BYTES.split(word)]
+        if wanted is None:
+            return len(terms), Counter(terms)
+        return len(terms), {wanted[t]: n for t, n in Counter(filter(wanted.__contains__, terms)).items()}
+
+    return count
+
+
 def without_stop_words(found: Column, stop: list[str]) -> Column:
     """Tokens whose lower-case form isn't a stop word."""
     if not stop:

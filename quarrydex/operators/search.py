@@ -15,12 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
 from ..schema import SearchSettings
-from ..session import spread
+from ..session import many_tasks, spread
 
 K1, B = 1.2, 0.75
 
@@ -57,6 +58,8 @@ def document_frequency(tokens: DataFrame) -> DataFrame:
 
 #: Scored pairs that a worker sends at once.
 PAIR_ROWS = 100_000
+#: Documents whose terms, and (document, query) scores, that a worker holds at once.
+POSTED_DOCUMENTS, SCORED_PAIRS = 1000, 2_000_000
 #: Slices of a score unit that ``ranked`` sorts apart.
 SLICES = 8
 #: (query, term) rows that are sent to every executor; more are joined by shuffles.
@@ -105,6 +108,126 @@ def score_postings(found: DataFrame, terms: DataFrame, stats: DataFrame, k: floa
     return found.join(small(weighed), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def _distinct_ids(docs: DataFrame, id_col: str) -> bool:
+    return docs.groupBy(id_col).count().filter("count > 1").isEmpty()
+
+
+def document_postings(docs: DataFrame, id_col: str, text_col: str, kind: str = "code") -> DataFrame:
+    """``postings`` of all terms, counted document by document on the workers.
+
+    Documents of equal id and length are counted together, which takes the shuffles of
+    ``postings``; so do tokens that aren't ASCII words.
+    """
+    if kind == "noop" or not _distinct_ids(docs, id_col):
+        return postings(tokenised(docs, id_col, text_col, kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = X.term_counter(kind)
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for at in range(0, batch.num_rows, POSTED_DOCUMENTS):
+                rows, terms, sizes, tfs = [], [], [], []
+                for k, text in enumerate(texts.slice(at, POSTED_DOCUMENTS).to_pylist(), at):
+                    size, found = count(text)
+                    rows += [k] * len(found)
+                    sizes += [size] * len(found)
+                    terms += found
+                    tfs += found.values()
+                ids = batch.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(tfs, pa.int64())], names=["id", "term", "len", "tf"])
+
+    key = docs.schema[id_col].dataType.simpleString()
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"id {key}, term string, len int, tf bigint")
+
+
+def document_bm25(
+    docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, kind: str = "code", k: float = K1, b: float = B, least: float | None = None, most: int | None = None
+) -> DataFrame:
+    """``bm25`` of texts, scored document by document on the workers, without a shuffle.
+
+    A first pass counts lengths and document frequencies of the needles' terms, a second
+    scores.  With ``least`` and ``most``, only what ``ranked`` with the same can take
+    leaves a worker.  Too many needles, ids that repeat (their texts count as one if they
+    have the same length) and tokens that aren't ASCII words take the plan of ``bm25``.
+    """
+    many_tasks(docs.sparkSession)
+    asked = terms.filter("term IS NOT NULL").limit(BROADCAST_TERMS + 1).collect()  # bounded
+    if kind == "noop" or len(asked) > BROADCAST_TERMS or not _distinct_ids(docs, id_col):
+        return bm25(tokenised(docs, id_col, text_col, kind), terms, k, b)
+    context = docs.sparkSession.sparkContext
+    words = {t: at for at, t in enumerate(sorted({r["term"].encode() for r in asked}))}
+    query_ids = sorted({r["query_id"] for r in asked})
+    place = {q: at for at, q in enumerate(query_ids)}
+    pairs = np.array(sorted((words[r["term"].encode()], place[r["query_id"]]) for r in asked), np.int64).reshape(-1, 2)
+    shared = context.broadcast(words)
+    texts = spread(docs.select(id_col, text_col))
+
+    def counted(batch: pa.RecordBatch, count) -> tuple[np.ndarray, ...]:
+        """Lengths of a batch's documents; document, term and frequency of their wanted terms."""
+        sizes, owners, codes, tfs = [], [], [], []
+        for at, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            size, found = count(text)
+            sizes.append(size)
+            owners += [at] * len(found)
+            codes += found
+            tfs += found.values()
+        return tuple(np.array(x, np.int64) for x in (sizes, owners, codes, tfs))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = X.term_counter(kind, shared.value)
+        df, n, length = np.zeros(len(shared.value), np.int64), 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, POSTED_DOCUMENTS):
+                sizes, _, codes, _ = counted(batch.slice(at, POSTED_DOCUMENTS), count)
+                df += np.bincount(codes, minlength=len(df))
+                n, length = n + len(sizes), length + int(sizes.sum())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], some])), pa.array(np.concatenate([[n, length], df[some]]))], names=["code", "n"])
+
+    sums = {r["code"]: r["n"] for r in texts.mapInArrow(tally, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    n_docs, df = sums.get(-2, 0), np.array([sums.get(c, 0) for c in range(len(words))], np.float64)
+    mean = sums.get(-1, 0) / n_docs if n_docs else 0.0
+    weights = context.broadcast((np.log((n_docs - df + 0.5) / (df + 0.5) + 1), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))))
+    at_once = max(1, min(POSTED_DOCUMENTS, SCORED_PAIRS // max(1, len(query_ids))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = X.term_counter(kind, shared.value)
+        idf, of_term, begin = weights.value
+        fan, n_queries, keys = np.diff(begin), len(query_ids), pa.array(query_ids, key_type)
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                some = batch.slice(start, at_once)
+                sizes, owners, codes, tfs = counted(some, count)
+                part = idf[codes] * tfs * (k + 1) / (tfs + k * (1 - b + b * sizes[owners] / mean)) if len(codes) else np.zeros(0)
+                times = fan[codes]
+                entry = np.repeat(begin[codes] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                cells = np.repeat(owners, times) * n_queries + of_term[entry]
+                score = np.bincount(cells, np.repeat(part, times), minlength=len(sizes) * n_queries)
+                hit = np.flatnonzero(score)  # every part is over zero
+                doc, asking, score = hit // n_queries, hit % n_queries, np.floor(score[hit] * 1e6 + 0.5) / 1e6
+                if least is not None:
+                    keep = score >= least
+                    doc, asking, score = doc[keep], asking[keep], score[keep]
+                if most is not None and len(doc) > most:
+                    keep = _best(some.column(0), doc, asking, score, most)
+                    doc, asking, score = doc[keep], asking[keep], score[keep]
+                for p in range(0, len(doc), PAIR_ROWS):
+                    cut = slice(p, p + PAIR_ROWS)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(asking[cut])), some.column(0).take(pa.array(doc[cut])), pa.array(score[cut])], names=["query_id", "id", "score"])
+
+    key_type = to_arrow_type(terms.schema["query_id"].dataType)
+    kinds = [terms.schema["query_id"].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()]
+    return texts.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+
+
+def _best(ids: pa.Array, row: np.ndarray, group: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Places of each group's best ``most`` scores, ties by id."""
+    place = np.empty(len(ids), np.int64)
+    place[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    order = np.lexsort((place[row], -score, group))
+    return order[np.arange(len(order)) - np.searchsorted(group[order], group[order]) < most]
+
+
 def cosine_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, least: float | None = None, most: int | None = None) -> DataFrame:
     """(query_id, id, score): every vector against a stated set of query vectors of its dimension.
 
@@ -126,11 +249,7 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, id_col: str, vector_co
                 a, b = (np.frombuffer(batch.column(c)[k].as_py()).reshape(-1, dim) for c in ("v_values", "q_values"))
                 i, j, score = V.block_scores(a, b, least, most)
                 if most is not None and len(i) > most:
-                    place = np.empty(len(ids), np.int64)
-                    place[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
-                    order = np.lexsort((place[i], -score, j))
-                    first = np.searchsorted(j[order], j[order])
-                    order = order[np.arange(len(order)) - first < most]
+                    order = _best(ids, i, j, score, most)
                     i, j, score = i[order], j[order], score[order]
                 for p in range(0, len(i), PAIR_ROWS):
                     part = slice(p, p + PAIR_ROWS)

@@ -81,14 +81,14 @@ def _needles(t):
     return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
 
 
-def _text_scores(t):
-    return S.bm25(S.tokenised(t("documents"), "doc_id", "text"), S.needle_terms(_needles(t)))
+def _text_scores(t, **wanted):
+    return S.document_bm25(t("documents"), "doc_id", "text", S.needle_terms(_needles(t)), **wanted)
 
 
 @query(f"WITH {_BM25} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM bm) WHERE rank <= 10")
 def bm25_topk(t):
     """The ten best documents for every benchmark item."""
-    return S.ranked(_text_scores(t), most=10)
+    return S.ranked(_text_scores(t, most=10), most=10)
 
 
 @query(f"WITH {_BM25} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM bm WHERE score >= 20")

@@ -40,6 +40,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
 
+#: Partitions that a large shuffle may have before adaptive execution joins the small ones.
+MOST_TASKS = 512
+
+
+def many_tasks(spark: SparkSession) -> None:
+    """Let large shuffles have more partitions than the session's number, so that a task's share stays small."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if spark.conf.get(key, None) is None and int(spark.conf.get("spark.sql.shuffle.partitions")) < MOST_TASKS:
+        spark.conf.set(key, MOST_TASKS)
+
+
 def build(master: str | None = None, app: str = "quarrydex", **conf: str) -> SparkSession:
     """A session with the engine's settings; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
