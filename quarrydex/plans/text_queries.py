@@ -93,7 +93,7 @@ def bm25_topk(t):
 
 @query(f"WITH {_BM25} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM bm WHERE score >= 20")
 def bm25_threshold(t):
-    return S.ranked(_text_scores(t), 20.0)
+    return S.ranked(_text_scores(t, least=20.0), 20.0)
 
 
 def _query_vectors(t):
