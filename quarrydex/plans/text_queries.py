@@ -64,7 +64,7 @@ def document_frequency(t):
 
 @query(f"SELECT doc_id AS id, term, n AS len, count(*) AS tf FROM (SELECT doc_id, len(w)::INT AS n, unnest(w) AS term FROM (SELECT doc_id, {terms_sql('text')} AS w FROM documents)) GROUP BY ALL")
 def postings(t):
-    return S.postings(S.tokenised(t("documents"), "doc_id", "text"))
+    return S.document_postings(t("documents"), "doc_id", "text")
 
 
 _BM25 = f"""
