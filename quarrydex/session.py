@@ -40,8 +40,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
 
-#: Partitions that a large shuffle may have before adaptive execution joins the small ones.
-MOST_TASKS = 512
+#: Partitions that a large shuffle may have before adaptive execution joins the small ones, and to what size it joins them.
+MOST_TASKS, TASK_BYTES = 512, 16 << 20
 
 
 def many_tasks(spark: SparkSession) -> None:
@@ -49,6 +49,9 @@ def many_tasks(spark: SparkSession) -> None:
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     if spark.conf.get(key, None) is None and int(spark.conf.get("spark.sql.shuffle.partitions")) < MOST_TASKS:
         spark.conf.set(key, MOST_TASKS)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark.conf.get(size) == "67108864b":  # Spark's own, not the session's
+        spark.conf.set(size, TASK_BYTES)
 
 
 def build(master: str | None = None, app: str = "quarrydex", **conf: str) -> SparkSession:
