@@ -92,7 +92,7 @@ def bm25(tokens: DataFrame, terms: DataFrame, k: float = K1, b: float = B) -> Da
     # conditions in the sums, not filters: these would be pushed below the exchange that the plans share
     mark = F.col("term") == MARKER
     n = F.sum(F.when(mark, F.col("tf")).otherwise(0))
-    stats = found.agg(n.alias("n_docs"), (F.sum(F.when(mark, F.col("len")).otherwise(0)) / n).alias("avg_len"))
+    stats = found.agg(n.alias("n_docs"), (F.sum(F.when(mark, F.col("len") * F.col("tf")).otherwise(0)) / n).alias("avg_len"))
     return score_postings(found, terms, stats, k, b)
 
 
