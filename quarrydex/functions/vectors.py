@@ -28,6 +28,26 @@ def cosine(a: Column, b: Column) -> Column:
 BLOCK_ROWS, BLOCK_BYTES = 2048, 4 << 20
 
 
+def matrices(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, rows, their vectors as doubles) of an array of lists, in pieces of up to ``BLOCK_ROWS`` vectors.
+
+    Null and zero vectors, and those with a null or non-finite component, are in none.
+    """
+    sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components are NaN
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == dim)
+        rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
+        for k in range(0, len(at), rows):
+            some = at[k : k + rows]
+            matrix = values[starts[some, None] + np.arange(dim)]
+            length = np.einsum("ij,ij->i", matrix, matrix)
+            good = np.isfinite(length) & (length > 0)
+            if good.any():
+                yield dim, some[good], matrix[good]
+
+
 def blocks(df: DataFrame, id_col: str, vector_col: str, prefix: str) -> DataFrame:
     """Rows of up to ``BLOCK_ROWS`` vectors: (dim, ids, values as bytes of doubles), names begun with ``prefix``.
 
@@ -36,24 +56,13 @@ def blocks(df: DataFrame, id_col: str, vector_col: str, prefix: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors = batch.column(0), batch.column(1)
-            sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components are NaN
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            for dim in np.unique(sizes[sizes > 0]).tolist():
-                at = np.flatnonzero(sizes == dim)
-                rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
-                for k in range(0, len(at), rows):
-                    some = at[k : k + rows]
-                    matrix = values[starts[some, None] + np.arange(dim)]
-                    length = np.einsum("ij,ij->i", matrix, matrix)
-                    good = np.isfinite(length) & (length > 0)
-                    if good.any():
-                        taken = ids.take(pa.array(some[good]))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([dim], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken), pa.array([matrix[good].tobytes()], pa.binary())],
-                            names=[f"{prefix}dim", f"{prefix}ids", f"{prefix}values"],
-                        )
+            ids = batch.column(0)
+            for dim, rows, matrix in matrices(batch.column(1)):
+                taken = ids.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([dim], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken), pa.array([matrix.tobytes()], pa.binary())],
+                    names=[f"{prefix}dim", f"{prefix}ids", f"{prefix}values"],
+                )
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, vector_col).mapInArrow(run, f"{prefix}dim int, {prefix}ids array<{kind}>, {prefix}values binary")

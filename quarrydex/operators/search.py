@@ -9,6 +9,7 @@ document's length, and statistics, frequencies and scores share that one exchang
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ from ..functions import vectors as V
 from ..schema import SearchSettings
 from ..session import many_tasks, spread
 
+if TYPE_CHECKING:
+    from .fusion import Scoring
+
 K1, B = 1.2, 0.75
 
 
@@ -140,6 +144,48 @@ def document_postings(docs: DataFrame, id_col: str, text_col: str, kind: str = "
     return spread(docs.select(id_col, text_col)).mapInArrow(run, f"id {key}, term string, len int, tf bigint")
 
 
+def _asked_terms(terms: DataFrame) -> tuple[dict[bytes, int], list, np.ndarray] | None:
+    """Numbers of the needles' terms, ids of their queries, and (term, query) pairs in order; none of too many."""
+    asked = terms.filter("term IS NOT NULL").limit(BROADCAST_TERMS + 1).collect()  # bounded
+    if len(asked) > BROADCAST_TERMS:
+        return None
+    words = {t: at for at, t in enumerate(sorted({r["term"].encode() for r in asked}))}
+    query_ids = sorted({r["query_id"] for r in asked})
+    place = {q: at for at, q in enumerate(query_ids)}
+    return words, query_ids, np.array(sorted((words[r["term"].encode()], place[r["query_id"]]) for r in asked), np.int64).reshape(-1, 2)
+
+
+def _counted(texts: pa.Array, count) -> tuple[np.ndarray, ...]:
+    """Lengths of documents; document, term and frequency of their wanted terms."""
+    sizes, owners, codes, tfs = [], [], [], []
+    for at, text in enumerate(texts.cast(pa.binary()).to_pylist()):
+        size, found = count(text)
+        sizes.append(size)
+        owners += [at] * len(found)
+        codes += found
+        tfs += found.values()
+    return tuple(np.array(x, np.int64) for x in (sizes, owners, codes, tfs))
+
+
+def _corpus_weights(tallies: DataFrame, n_words: int) -> tuple[float, np.ndarray]:
+    """Mean length and each term's idf, from (code, n): documents that have a term, all under -2, their length under -1."""
+    sums = {r["code"]: r["n"] for r in tallies.groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    n_docs, df = sums.get(-2, 0), np.array([sums.get(c, 0) for c in range(n_words)], np.float64)
+    return sums.get(-1, 0) / n_docs if n_docs else 0.0, np.log((n_docs - df + 0.5) / (df + 0.5) + 1)
+
+
+def _pair_scores(sizes, owners, codes, tfs, mean: float, weights: tuple[np.ndarray, ...], n_queries: int, k: float, b: float) -> tuple[np.ndarray, ...]:
+    """(document, query, score) of counted documents."""
+    idf, of_term, begin = weights
+    part = idf[codes] * tfs * (k + 1) / (tfs + k * (1 - b + b * sizes[owners] / mean)) if len(codes) else np.zeros(0)
+    times = np.diff(begin)[codes]
+    entry = np.repeat(begin[codes] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    cells = np.repeat(owners, times) * n_queries + of_term[entry]
+    score = np.bincount(cells, np.repeat(part, times), minlength=len(sizes) * n_queries)
+    hit = np.flatnonzero(score)  # every part is over zero
+    return hit // n_queries, hit % n_queries, np.floor(score[hit] * 1e6 + 0.5) / 1e6
+
+
 def document_bm25(
     docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, kind: str = "code", k: float = K1, b: float = B, least: float | None = None, most: int | None = None
 ) -> DataFrame:
@@ -151,60 +197,36 @@ def document_bm25(
     have the same length) and tokens that aren't ASCII words take the plan of ``bm25``.
     """
     many_tasks(docs.sparkSession)
-    asked = terms.filter("term IS NOT NULL").limit(BROADCAST_TERMS + 1).collect()  # bounded
-    if kind == "noop" or len(asked) > BROADCAST_TERMS or not _distinct_ids(docs, id_col):
+    asked = _asked_terms(terms)
+    if kind == "noop" or asked is None or not _distinct_ids(docs, id_col):
         return bm25(tokenised(docs, id_col, text_col, kind), terms, k, b)
+    words, query_ids, pairs = asked
     context = docs.sparkSession.sparkContext
-    words = {t: at for at, t in enumerate(sorted({r["term"].encode() for r in asked}))}
-    query_ids = sorted({r["query_id"] for r in asked})
-    place = {q: at for at, q in enumerate(query_ids)}
-    pairs = np.array(sorted((words[r["term"].encode()], place[r["query_id"]]) for r in asked), np.int64).reshape(-1, 2)
     shared = context.broadcast(words)
     texts = spread(docs.select(id_col, text_col))
 
-    def counted(batch: pa.RecordBatch, count) -> tuple[np.ndarray, ...]:
-        """Lengths of a batch's documents; document, term and frequency of their wanted terms."""
-        sizes, owners, codes, tfs = [], [], [], []
-        for at, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-            size, found = count(text)
-            sizes.append(size)
-            owners += [at] * len(found)
-            codes += found
-            tfs += found.values()
-        return tuple(np.array(x, np.int64) for x in (sizes, owners, codes, tfs))
-
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = X.term_counter(kind, shared.value)
         df, n, length = np.zeros(len(shared.value), np.int64), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, POSTED_DOCUMENTS):
-                sizes, _, codes, _ = counted(batch.slice(at, POSTED_DOCUMENTS), count)
+                sizes, _, codes, _ = _counted(batch.slice(at, POSTED_DOCUMENTS).column(1), count)
                 df += np.bincount(codes, minlength=len(df))
                 n, length = n + len(sizes), length + int(sizes.sum())
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], some])), pa.array(np.concatenate([[n, length], df[some]]))], names=["code", "n"])
 
-    sums = {r["code"]: r["n"] for r in texts.mapInArrow(tally, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()}
-    n_docs, df = sums.get(-2, 0), np.array([sums.get(c, 0) for c in range(len(words))], np.float64)
-    mean = sums.get(-1, 0) / n_docs if n_docs else 0.0
-    weights = context.broadcast((np.log((n_docs - df + 0.5) / (df + 0.5) + 1), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))))
+    mean, idf = _corpus_weights(texts.mapInArrow(tally, "code bigint, n bigint"), len(words))
+    weights = context.broadcast((idf, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))))
     at_once = max(1, min(POSTED_DOCUMENTS, SCORED_PAIRS // max(1, len(query_ids))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = X.term_counter(kind, shared.value)
-        idf, of_term, begin = weights.value
-        fan, n_queries, keys = np.diff(begin), len(query_ids), pa.array(query_ids, key_type)
+        keys = pa.array(query_ids, key_type)
         for batch in batches:
             for start in range(0, batch.num_rows, at_once):
                 some = batch.slice(start, at_once)
-                sizes, owners, codes, tfs = counted(some, count)
-                part = idf[codes] * tfs * (k + 1) / (tfs + k * (1 - b + b * sizes[owners] / mean)) if len(codes) else np.zeros(0)
-                times = fan[codes]
-                entry = np.repeat(begin[codes] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                cells = np.repeat(owners, times) * n_queries + of_term[entry]
-                score = np.bincount(cells, np.repeat(part, times), minlength=len(sizes) * n_queries)
-                hit = np.flatnonzero(score)  # every part is over zero
-                doc, asking, score = hit // n_queries, hit % n_queries, np.floor(score[hit] * 1e6 + 0.5) / 1e6
+                doc, asking, score = _pair_scores(*_counted(some.column(1), count), mean, weights.value, len(query_ids), k, b)
                 if least is not None:
                     keep = score >= least
                     doc, asking, score = doc[keep], asking[keep], score[keep]
@@ -300,8 +322,8 @@ def hybrid_search(
     nodes: DataFrame,
     queries: DataFrame,
     *,
-    text_scores: DataFrame | None = None,
-    vector_scores: DataFrame | None = None,
+    text_scores: DataFrame | Scoring | None = None,
+    vector_scores: DataFrame | Scoring | None = None,
     settings: SearchSettings | None = None,
     boost_repo: str | None = None,
     filters: Column | None = None,
@@ -313,21 +335,32 @@ def hybrid_search(
     Ranks are taken over all nodes, whatever their repository or kind; ``filters``
     apply to the fused rows only.  ``nodes`` has id, name, repo_id and, for boosts,
     search_boost.  With neither ranker, nodes come in name order, those of the
-    boosted repository first.
+    boosted repository first.  With a limit, scores given as ``Scoring`` are ranked where
+    it can matter only (``fusion.best_ranks``).
     """
+    from .fusion import Scoring, best_ranks  # which reckons with the steps above
+
     s = settings or SearchSettings()
     here = F.lit(0) if boost_repo is None else F.when(F.col("repo_id") == boost_repo, 0).otherwise(1)
-    rankings = []
-    if vector_scores is not None:
-        rankings.append((ranked(vector_scores, s.similarity_threshold, sliced_ranks=s.sliced_ranks), s.vector_weight))
-    if text_scores is not None:
-        rankings.append((ranked(text_scores, s.bm25_threshold, sliced_ranks=s.sliced_ranks), s.text_weight))
-    if rankings:
-        fused = fuse(rankings, s.rrf_k)
+    given = [(vector_scores, s.similarity_threshold, s.vector_weight), (text_scores, s.bm25_threshold, s.text_weight)]
+    given = [g for g in given if g[0] is not None]
+    if given:
+        boost = F.coalesce(F.col("search_boost").cast("double"), F.lit(1.0))
+        own = F.when(F.col("repo_id") == boost_repo, s.repo_boost).otherwise(1.0) if boost_repo is not None and s.repo_boost != 1.0 else None
+        ranks = None
+        if limit is not None and all(isinstance(scores, Scoring) for scores, _, _ in given):
+            ranks = best_ranks(
+                nodes, [(scores, weight, threshold) for scores, threshold, weight in given],
+                filters=filters, boost=boost if own is None else boost * own, k=s.rrf_k, need=offset + limit,
+            )
+        if ranks is None:
+            whole = [scores.whole() if isinstance(scores, Scoring) else scores for scores, _, _ in given]
+            ranks = [ranked(scores, threshold, sliced_ranks=s.sliced_ranks) for scores, (_, threshold, _) in zip(whole, given)]
+        fused = fuse([(r, weight) for r, (_, _, weight) in zip(ranks, given)], s.rrf_k)
         rows = nodes.join(fused, "id")
-        score = F.col("rrf") * F.coalesce(F.col("search_boost").cast("double"), F.lit(1.0))
-        if boost_repo is not None and s.repo_boost != 1.0:
-            score = score * F.when(F.col("repo_id") == boost_repo, s.repo_boost).otherwise(1.0)
+        score = F.col("rrf") * boost
+        if own is not None:
+            score = score * own
         rows = rows.withColumn("score", F.round(score, 9)).drop("rrf")
         order = [F.desc("score"), F.asc_nulls_last("name"), F.asc("id")]
     else:

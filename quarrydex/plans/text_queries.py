@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import fusion
 from ..operators import search as S
 from ..schema import SearchSettings
 from .registry import code_sql, query, terms_sql, words_sql
@@ -134,10 +135,10 @@ def token_windows(t):
 # --- hybrid search: documents are nodes, their vectors those of equal id
 
 
-def _nodes(t):
+def _nodes(t, *more):
     return t("documents").select(
         F.col("doc_id").alias("id"), F.concat("lang", F.lit("-"), F.length("text")).alias("name"), F.col("source").alias("repo_id"), F.col("lang").alias("kind"),
-        F.when(F.col("lang") == "en", 2.0).when(F.col("lang") == "de", 1.5).otherwise(1.0).cast("float").alias("search_boost"),
+        F.when(F.col("lang") == "en", 2.0).when(F.col("lang") == "de", 1.5).otherwise(1.0).cast("float").alias("search_boost"), *more,
     )
 
 
@@ -164,8 +165,8 @@ def _search(t, text=True, vector=True, **options):
     vectors = t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).join(queries.select("query_id"), "query_id")
     found = S.hybrid_search(
         _nodes(t), queries,
-        text_scores=_text_scores(t) if text else None,
-        vector_scores=S.cosine_scores(t("embeddings"), vectors, "vec_id", "embedding", SearchSettings().similarity_threshold) if vector else None,
+        text_scores=fusion.text_scoring(_nodes(t, "text"), "id", "text", S.needle_terms(queries), of_nodes=True) if text else None,
+        vector_scores=fusion.vector_scoring(t("embeddings"), vectors, "vec_id", "embedding", SearchSettings().similarity_threshold) if vector else None,
         **{"limit": 10} | options,
     )
     return found.select("query_id", "position", "id", "score")
